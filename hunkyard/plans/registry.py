@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from hunkyard.plans import hierarchy_queries
+from hunkyard.plans import diff_queries, hierarchy_queries
 
-MODULES = [hierarchy_queries]
-FLAGSHIP = "p1_found"
+MODULES = [diff_queries, hierarchy_queries]
+FLAGSHIP = "chunk_pack"
 
 
 def queries() -> dict:
