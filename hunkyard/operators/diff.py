@@ -21,8 +21,12 @@ _REST = 1_000_000_000
 
 
 def patch_lines(files: DataFrame, key: str = "diff_id", patch: str = "patch") -> DataFrame:
-    """``key, hunk_no, pos, line, is_header`` of every patch line from the first hunk header on."""
-    each = files.select(key, F.posexplode(T.lines(F.col(patch))).alias("pos", "line")).withColumn("is_header", F.rlike("line", F.lit(HUNK)))
+    """``key, hunk_no, pos, line, is_header`` of every patch line from the first hunk header on.
+
+    Whole patches are exchanged by file before they are exploded, which moves less than their numbered lines would; all
+    windows by file or hunk then need no further exchange.
+    """
+    each = files.select(key, patch).repartition(key).select(key, F.posexplode(T.lines(F.col(patch))).alias("pos", "line")).withColumn("is_header", F.rlike("line", F.lit(HUNK)))
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return each.withColumn("hunk_no", F.sum(F.col("is_header").cast("int")).over(w).cast("int")).where("hunk_no > 0")
 
@@ -82,15 +86,15 @@ def added_line_numbers(files: DataFrame, key: str = "diff_id", patch: str = "pat
 
 def skip_reason(path: Column, status: Column, patch: Column) -> Column:
     """Why a file is left out of a review, the first reason that holds, or null."""
-    body = F.filter(T.lines(patch), lambda x: F.rlike(x, F.lit(HUNK)))
-    from_first = F.regexp_replace(F.coalesce(patch, F.lit("")), r"(?s)^(?:(?!^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@)[^\r\n]*(?:\r\n|[\n\r]))*", "")
-    adds = F.exists(T.lines(from_first), lambda x: x.startswith("+"))
+    header = rf"(?:\A|{T.LINE_END})@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@"
+    has_hunk = F.rlike(patch, F.lit(header))
+    adds = F.rlike(patch, F.lit(rf"(?s){header}.*?(?:{T.LINE_END})\+"))
     hit = T.first_match(path, T.IGNORED_PATHS)
     return (
         F.when(hit.isNotNull(), F.concat(F.lit("ignored by pattern: "), hit))
         .when(status == "removed", F.lit("removed file"))
         .when(F.coalesce(F.regexp_replace(patch, r"[\s\p{Z}]", ""), F.lit("")) == "", F.lit("empty patch"))
-        .when(F.size(body) == 0, F.lit("no parseable hunks"))
+        .when(~has_hunk, F.lit("no parseable hunks"))
         .when(~adds, F.lit("no added or modified lines"))
     )
 
@@ -107,20 +111,21 @@ def rendered_lines(files: DataFrame, key: str = "diff_id", context: int = CONTEX
     """``key, hunk_no, part, pos, cost``: the tokens of each line a hunk is shown as.
 
     Tokens never reach over white space, so costs add up: header, heading of the columns, diff lines with two tokens
-    for number and mark, and the surrounding lines of the whole file.
+    for number and mark, and the surrounding lines of the whole file. Of the whole file only those lines are exploded.
     """
     n = numbered_lines(files, key)
+    added = F.when(F.col("kind") == "+", F.col("new_line"))
+    by = Window.partitionBy(key, "hunk_no")
+    n = n.withColumn("lo", F.min(added).over(by)).withColumn("hi", F.max(added).over(by))
     body = F.when(F.rlike("line", F.lit(r"^[ +-]")), F.substring("line", 2, _REST)).otherwise(F.col("line"))
-    shown = n.select(key, "hunk_no", F.lit(1).alias("part"), "pos", F.when(F.col("kind").isin("@", "\\"), T.tokens(F.col("line"))).otherwise(T.tokens(body) + 2).alias("cost"))
-    columns = n.where("kind = '@'").select(key, "hunk_no", F.lit(1).alias("part"), (F.col("pos") + F.lit(0.5)).alias("pos"), F.lit(COLUMNS_LINE).alias("cost"))
-    ctx = hunk_context(files, context, key)
-    whole = files.select(F.col(key).alias("k"), F.posexplode(T.lines(F.col("full_content"))).alias("at", "text")).select("k", (F.col("at") + 1).alias("at"), T.tokens(F.col("text")).alias("t"))
-    around = ctx.where("first_line <= last_line").join(whole, (F.col(key) == F.col("k")) & F.col("at").between(F.col("first_line"), F.col("last_line"))).select(key, "hunk_no", F.lit(2).alias("part"), F.col("at").alias("pos"), (F.col("t") + 2).alias("cost"))
-    heading = ctx.where("first_line <= last_line").select(key, "hunk_no", F.lit(2).alias("part"), F.lit(0).alias("pos"), F.lit(CONTEXT_HEADING).alias("cost"))
-    out = shown.withColumn("pos", F.col("pos").cast("double"))
-    for x in (columns, around, heading):
-        out = out.unionByName(x.withColumn("pos", F.col("pos").cast("double")))
-    return out
+    own = F.when(F.col("kind").isin("@", "\\"), T.tokens(F.col("line"))).otherwise(T.tokens(body) + 2)
+    parts = F.when(F.col("kind") == "@", F.array(own, F.lit(COLUMNS_LINE))).otherwise(F.array(own))
+    shown = n.select(key, "hunk_no", F.lit(1).alias("part"), "pos", F.posexplode(parts).alias("k", "cost")).select(key, "hunk_no", "part", (F.col("pos") + F.col("k") / 2).alias("pos"), "cost")
+    heads = n.where("kind = '@' and lo is not null").select(F.col(key).alias("k"), "hunk_no", F.greatest(F.col("lo") - context, F.lit(1)).alias("first"), (F.col("hi") + context).alias("last"))
+    whole = files.where("full_content is not null").select(key, "full_content").join(heads, F.col(key) == F.col("k"))
+    near = F.expr("slice(all_lines, cast(first as int), cast(greatest(least(last, size(all_lines)) - first + 1, 0) as int))")
+    around = whole.withColumn("all_lines", T.lines(F.col("full_content"))).where("first <= size(all_lines)").select(key, "hunk_no", F.posexplode(F.concat(F.array(F.lit(CONTEXT_HEADING)), F.transform(near, lambda x: T.tokens(x) + 2))).alias("at", "cost"))
+    return shown.unionByName(around.select(key, "hunk_no", F.lit(2).alias("part"), F.col("at").cast("double").alias("pos"), "cost"))
 
 
 def kept_files(files: DataFrame) -> DataFrame:
@@ -144,13 +149,13 @@ def chunks(files: DataFrame, key: str = "diff_id") -> DataFrame:
     The fold runs over one array of costs a file and keeps only chunks, so no text is collected.
     """
     kept = kept_files(files).withColumn("budget", F.greatest(F.coalesce("max_tokens", F.lit(0)), F.lit(LEAST_BUDGET)))
-    line = rendered_lines(kept, key)
-    whole = line.groupBy(key, "hunk_no").agg(F.sum("cost").alias("hunk_cost"))
     head = kept.select(F.col(key).alias("k"), "frame", "budget")
-    sized = whole.join(head, F.col(key) == F.col("k")).drop("k").withColumn("large", F.col("frame") + F.col("hunk_cost") > F.col("budget"))
-    small = sized.where("not large").select(key, "frame", "budget", F.struct("hunk_no", F.lit(0).alias("part"), F.lit(0.0).alias("pos"), F.col("hunk_cost").cast("bigint").alias("cost"), F.lit(False).alias("split")).alias("item"))
-    large = line.join(sized.where("large").select(F.col(key).alias("k2"), F.col("hunk_no").alias("h2"), "frame", "budget"), (F.col(key) == F.col("k2")) & (F.col("hunk_no") == F.col("h2"))).select(key, "frame", "budget", F.struct("hunk_no", "part", "pos", F.col("cost").cast("bigint").alias("cost"), F.lit(True).alias("split")).alias("item"))
-    arrays = small.unionByName(large).groupBy(key).agg(F.first("frame").alias("frame"), F.first("budget").alias("budget"), F.array_sort(F.collect_list("item")).alias("items"))
+    by = Window.partitionBy(key, "hunk_no")
+    line = rendered_lines(kept, key).join(head, F.col(key) == F.col("k")).drop("k").repartition(key)
+    line = line.withColumn("hunk_cost", F.sum("cost").over(by)).withColumn("is_first", (F.col("part") == 1) & (F.col("pos") == F.min(F.when(F.col("part") == 1, F.col("pos"))).over(by)))
+    line = line.withColumn("split", F.col("frame") + F.col("hunk_cost") > F.col("budget")).where("split or is_first")
+    item = F.struct("hunk_no", "part", "pos", F.when(F.col("split"), F.col("cost")).otherwise(F.col("hunk_cost")).cast("bigint").alias("cost"), "split")
+    arrays = line.groupBy(key).agg(F.first("frame").alias("frame"), F.first("budget").alias("budget"), F.array_sort(F.collect_list(item)).alias("items"))
     fold = F.expr("""
         aggregate(items, named_struct('done', cast(array() as array<struct<t:bigint,c:boolean>>), 't', cast(-1 as bigint), 'c', false, 'h', -1),
           (a, x) -> if(a.t < 0, named_struct('done', a.done, 't', frame + x.cost, 'c', x.split, 'h', x.hunk_no),

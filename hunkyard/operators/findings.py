@@ -16,7 +16,7 @@ ATTEMPTS = 3
 
 def severity_rank(c: Column) -> Column:
     """0 for low up to 3 for critical; any other value counts as 0."""
-    return F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), c) - 1, F.lit(0)).cast("int")
+    return F.greatest(F.array_position(F.array(*map(F.lit, SEVERITIES)), c) - 1, F.lit(0)).cast("int")
 
 
 def urgency(c: Column) -> Column:
