@@ -63,7 +63,7 @@ def prioritize(findings: DataFrame, keys: list[str], order: str, fallback: int =
     urgent = findings.where(F.col("severity").isin(*PRIORITY))
     rest = findings.join(urgent.select(*keys).distinct(), keys, "left_anti")
     w = Window.partitionBy(*keys).orderBy(urgency(F.col("severity")), order)
-    first = rest.withColumn("n", F.row_number().over(w)).where(F.col("n") <= fallback).drop("n")
+    first = rest.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= fallback).drop("__n")
     return urgent.unionByName(first).withColumn("urgency", urgency(F.col("severity")))
 
 

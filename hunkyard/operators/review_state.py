@@ -33,7 +33,7 @@ def parse_marker(body: Column) -> Column:
 def append_marker(body: Column, marker: Column) -> Column:
     """The body with the marker at its end, in place of an earlier one."""
     clean = F.regexp_replace(F.regexp_replace(F.coalesce(body, F.lit("")), MARKER, ""), r"\s+$", "")
-    return F.trim(F.concat(clean, F.lit("\n\n"), marker))
+    return F.regexp_replace(F.concat(clean, F.lit("\n\n"), marker), r"^\s+|\s+$", "")
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
@@ -45,8 +45,8 @@ def latest(rows: DataFrame, keys: list[str], order: list[str], keep: list[str])
 def listed(rows: DataFrame, keys: list[str], order: list[Column], line: Column, most: int = LISTED_COMMITS) -> DataFrame:
     """The first ``most`` lines of each key as one text, with a last line that counts the rest."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    shown = rows.withColumn("line", line).withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
-    text = shown.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    shown = rows.select(*keys, line.alias("__line"), F.row_number().over(w).alias("__n")).where(F.col("__n") <= most)
+    text = shown.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", "__line"))), lambda x: x["__line"]), "\n").alias("text"))
     size = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     j = text.join(size, keys)
     return j.select(*keys, "n", F.when(F.col("n") > most, F.concat("text", F.lit("\n... and "), (F.col("n") - most).cast("string"), F.lit(" more"))).otherwise(F.col("text")).alias("text"))
