@@ -2,8 +2,9 @@
 
 Method: each file is lexed, its canonical layout is derived and compared with the original one: extreme expansion marks
 minified code, perfect uniformity generated code, dominance of literals data. Vendored copies show by the banner of
-another project, by the package folder they lie in or by the package's name in front of their functions. One pass
-without a shuffle; only a row whose own text says too little takes the verdict of other rows of the same file.
+another project, by the package folder they lie in or by the package's name in front of their functions. Texts are read
+once, in a pass without a shuffle whose few columns are written down; only a row whose own text says too little takes
+the verdict of other rows of the same file.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hunkyard.session import durable
+
 EXPANSION = 6.0
 UNIFORM = 0.5
 LITERAL = 0.75
@@ -148,6 +151,6 @@ def classify(df: DataFrame) -> DataFrame:
                 enough.append(e)
             yield pa.RecordBatch.from_arrays([b.column("diff_id"), b.column("repo"), b.column("file_path"), pa.array(kinds, pa.string()), pa.array(enough, pa.bool_())], ["diff_id", "repo", "file_path", "kind", "enough"])
 
-    judged = df.select("diff_id", "repo", "file_path", "full_content", "patch").mapInArrow(run, "diff_id bigint, repo string, file_path string, kind string, enough boolean")
+    judged = durable(df.select("diff_id", "repo", "file_path", "full_content", "patch").mapInArrow(run, "diff_id bigint, repo string, file_path string, kind string, enough boolean"))
     known = judged.where("kind is not null").groupBy("repo", "file_path").agg(F.min("kind").alias("other"))
     return judged.join(known, ["repo", "file_path"], "left").select("diff_id", F.when(F.col("kind").isNull() & ~F.col("enough"), F.col("other")).otherwise(F.col("kind")).alias("kind"))
