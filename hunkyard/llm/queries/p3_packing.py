@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hunkyard.llm.packing import LIST_LIMIT, keep, pack
+from hunkyard.session import durable
 from hunkyard.sources.tables import table
 
 # The budget of a review where a repository has none of its own.
@@ -30,12 +31,13 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    files = _files(spark, d)
-    pieces = pack(files.select("grp", "item", "tokens", "capacity"))
+    """Every piece with its container and chunk; the narrow tables in between are written, as each is read again."""
+    files = durable(_files(spark, d))
+    pieces = durable(pack(files.select("grp", "item", "tokens", "capacity")))
     limits = files.groupBy("grp").agg(F.max("max_chunks").alias("max_chunks"), F.max("capacity").alias("max_tokens"))
     kept = keep(pieces, limits)
     placed = pieces.join(kept.select("grp", "bin", "chunk_no"), ["grp", "bin"], "left").join(files.select("item", "repo", "pr", "file_path", "capacity"), "item")
-    return placed, limits
+    return durable(placed), limits
 
 
 def p3_assigned(spark: SparkSession, d: str) -> DataFrame:
