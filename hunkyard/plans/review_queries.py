@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hunkyard.operators import findings as N
 from hunkyard.operators import locate as L
 from hunkyard.operators import review_state as R
+from hunkyard.operators.responses import parse_responses
 from hunkyard.operators.retrieve import nearest
 from hunkyard.plans.diff_queries import _PL, sql_lines
 from hunkyard.sources.tables import table
@@ -32,6 +33,15 @@ def finding_validate(spark: SparkSession, d: str) -> DataFrame:
     return N.validate(_findings(spark, d), ["user_id", "attempt"], F.col("line") <= 98)
 
 
+def response_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as raw answers, fenced or in prose, and read back under the schema."""
+    f = _findings(spark, d)
+    body = F.concat(F.lit('{"findings": [{"message": "'), F.col("category"), F.lit('", "severity": "'), F.col("severity"), F.lit('", "confidence": '), F.when(F.col("line") % 10 == 0, "null").otherwise(F.col("confidence").cast("string")), F.lit("}]}"))
+    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("I found "), body))
+    p = parse_responses(f.select("event_id", F.lit("security").alias("agent"), text.alias("text")), ["event_id"], "agent", "text")
+    return p.select("event_id", "valid", F.size("findings").cast("bigint").alias("kept"), "risk_level")
+
+
 def attempt_select(spark: SparkSession, d: str) -> DataFrame:
     return N.choose_attempt(finding_validate(spark, d), ["user_id"])
 
@@ -197,7 +207,7 @@ def push_join(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (finding_validate, attempt_select, severity_rollup, issue_priority, inline_select, finding_key, broad_retrieve, evidence_topk, risk_scan, evidence_stats, snippet_locate, patch_first, patch_apply, marker_roundtrip, latest_review, commit_summary, trace_summary, chunk_report, index_sizes, base64_round_trip, json_extract, upsert_plan, queue_state, push_join)
+    for f in (finding_validate, response_parse, attempt_select, severity_rollup, issue_priority, inline_select, finding_key, broad_retrieve, evidence_topk, risk_scan, evidence_stats, snippet_locate, patch_first, patch_apply, marker_roundtrip, latest_review, commit_summary, trace_summary, chunk_report, index_sizes, base64_round_trip, json_extract, upsert_plan, queue_state, push_join)
 }
 
 _F = """f AS (SELECT event_id, user_id, event_id % 3 AS attempt, CASE event_type WHEN 'error' THEN 'correctness' WHEN 'purchase' THEN 'security' WHEN 'click' THEN 'maintainability' WHEN 'view' THEN 'policy' ELSE 'other' END AS category,
@@ -232,6 +242,8 @@ SELECT {keys}, count(*) AS n, string_agg(line, chr(10) ORDER BY n) FILTER (n <=
 
 ORACLES = {
     "finding_validate": f"WITH {_V} SELECT * FROM v",
+    "response_parse": f"""WITH {_F}, g AS (SELECT event_id, severity, line % 10 <> 0 AND severity <> 'unknown' AND confidence >= {N.LEAST_CONFIDENCE} AS valid FROM f)
+ SELECT event_id, valid, valid::BIGINT AS kept, CASE WHEN valid THEN severity ELSE 'low' END AS risk_level FROM g""",
     "attempt_select": f"WITH {_V} SELECT user_id, min(attempt) FILTER (valid) AS chosen, coalesce(min(attempt) FILTER (valid) + 1, count(*))::BIGINT AS tried FROM v GROUP BY 1",
     "severity_rollup": f"""WITH {_F}, g AS (SELECT user_id, category, count(*) AS n, {", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in N.SEVERITIES)}, {_LEVEL}[max({_RANK}) + 1] AS risk_level FROM f GROUP BY 1, 2)
  SELECT *, CASE WHEN high + critical > 0 THEN n || ' (' || (high + critical) || ' high)' ELSE n::VARCHAR END AS cell FROM g""",
