@@ -18,6 +18,7 @@ from hunkyard.operators.colocate import map_groups
 
 SALTS = 32
 LIST_LIMIT = 10_000
+SLOT_BLOCK = 10_000
 
 
 def fill(capacity: int, lengths: dict[int, int]) -> dict[int, int]:
@@ -103,7 +104,10 @@ def pack(items: DataFrame) -> DataFrame:
     rest = cut.where("size > 0")
     hist = rest.groupBy("grp", "size").agg(F.max("capacity").alias("capacity"), F.count("*").alias("n")).select("grp", F.col("capacity").cast("long"), F.col("size").cast("long"), "n")
     slots = map_groups(hist, ["grp"], _ranges, "grp string, size bigint, low bigint, per bigint, first bigint, times bigint")
-    slots = slots.select("grp", "size", "low", "per", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("per") * F.col("times") - 1)).alias("k"))
+    # a pattern may be used millions of times: its slots are cut into blocks and spread before they are made
+    end = F.col("per") * F.col("times") - 1
+    blocks = slots.select("grp", "size", "low", "per", "first", end.alias("end"), F.explode(F.sequence(F.lit(0).cast("long"), end, F.lit(SLOT_BLOCK).cast("long"))).alias("from")).repartition("grp", "size", "from")
+    slots = blocks.select("grp", "size", "low", "per", "first", F.explode(F.sequence("from", F.least(F.col("end"), F.col("from") + SLOT_BLOCK - 1))).alias("k"))
     slots = slots.select("grp", "size", (F.col("low") + F.col("k")).alias("rank"), F.concat(F.lit("#"), (F.col("first") + F.floor(F.col("k") / F.col("per"))).cast("string")).alias("bin"))
     ranked = _rank(rest.select("grp", "item", F.col("size").cast("long"), (F.col("full") + 1).alias("piece")), ["grp", "size"], [F.col("item")])
     packed = ranked.join(slots, ["grp", "size", "rank"]).select("grp", "item", "piece", F.col("size").alias("tokens"), "bin")
