@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hunkyard.functions.payloads import without_json_comments
+
 NS = ["repo", "git_ref"]
 EXTENSIONS = [".ts", ".tsx", ".js", ".jsx"]
 CONTEXT_LIMIT = 8
@@ -67,15 +69,63 @@ def candidate_paths(importer: Column, spec: Column, base: Column | None = None)
     return F.when(root.isNull(), F.array().cast("array<string>")).when(F.rlike(r, F.lit(r"\.(?:tsx?|jsx?)$")), F.array(r)).otherwise(made)
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """``repo, git_ref, path, specifier, target``: the files of the snapshot that each import means.
+def module_configs(files: DataFrame, content: str = "content") -> DataFrame:
+    """``repo, git_ref, dir, base, paths`` of the tsconfig.json and jsconfig.json files of a snapshot.
 
-    ``imports``: repo, git_ref, path, specifier; ``files``: repo, git_ref, path. Files found by candidate paths lend
-    their own names to the search, as does the text of the import.
+    Comments are allowed. A file that does not parse is left out; without baseUrl the base is the file's own folder.
     """
+    kind = "struct<compilerOptions: struct<baseUrl: string, paths: map<string, array<string>>>>"
+    f = files.where(F.rlike("path", F.lit(r"(?:^|/)(?:ts|js)config\.json$")))
+    j = f.withColumn("j", F.from_json(without_json_comments(F.col(content)), kind)).where(F.try_parse_json(without_json_comments(F.col(content))).isNotNull())
+    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    base = normal_path(F.concat_ws("/", folder, F.coalesce(F.col("j.compilerOptions.baseUrl"), F.lit(""))))
+    return j.select(*NS, folder.alias("dir"), base.alias("base"), F.coalesce(F.col("j.compilerOptions.paths"), F.expr("map()").cast("map<string,array<string>>")).alias("paths"))
+
+
+def with_config(imports: DataFrame, configs: DataFrame) -> DataFrame:
+    """``imports`` with ``base`` and ``paths`` of the config in the deepest folder above the importing file.
+
+    The folders above a file are exploded and looked up by equality, so no join by prefix is needed.
+    """
+    parts = F.split("path", "/")
+    ups = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     spec = imports.select(*NS, "path", "specifier").distinct()
+    near = spec.select(*NS, "path").distinct().withColumn("dir", F.explode(ups)).join(configs, [*NS, "dir"])
+    deepest = near.groupBy(*NS, "path").agg(F.max_by(F.struct("base", "paths"), F.length("dir")).alias("c"))
+    return spec.join(deepest, [*NS, "path"], "left").select(*NS, "path", "specifier", F.coalesce("c.base", F.lit("")).alias("base"), F.col("c.paths").alias("paths"))
+
+
+def _alias_roots(spec: Column, base: Column, paths: Column) -> Column:
+    """What an import means under the aliases of its config; a star stands for any text."""
+
+    def one(e: Column) -> Column:
+        head, tail = F.substring_index(e["key"], "*", 1), F.substring(e["key"], F.instr(e["key"], "*") + 1, F.length(e["key"]))
+        star = F.instr(e["key"], "*") > 0
+        fits = F.when(star, spec.startswith(head) & spec.endswith(tail)).otherwise(spec == e["key"])
+        inner = F.substring(spec, F.length(head) + 1, F.length(spec) - F.length(head) - F.length(tail))
+        made = F.transform(e["value"], lambda t: F.concat_ws("/", base, F.when(star, F.replace(t, F.lit("*"), inner)).otherwise(t)))
+        return F.when(fits, made).otherwise(F.array().cast("array<string>"))
+
+    return F.coalesce(F.flatten(F.transform(F.map_entries(paths), one)), F.array().cast("array<string>"))
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, configs: DataFrame | None = None) -> DataFrame:
+    """``repo, git_ref, path, specifier, target``: the files of the snapshot that each import means.
+
+    ``imports``: repo, git_ref, path, specifier; ``files``: repo, git_ref, path; ``configs`` as :func:`module_configs`.
+    Files found by candidate paths lend their own names to the search, as does the text of the import. Aliases come
+    before rooted paths, and only an import that is not relative uses them.
+    """
     there = files.select(*NS, F.col("path").alias("target")).distinct()
-    found = spec.withColumn("target", F.explode(candidate_paths(F.col("path"), F.col("specifier")))).join(there, [*NS, "target"], "left_semi")
+    if configs is None:
+        spec = imports.select(*NS, "path", "specifier").distinct()
+        cand = candidate_paths(F.col("path"), F.col("specifier"))
+    else:
+        spec = with_config(imports, configs)
+        alias = F.when(F.col("specifier").startswith("."), F.array().cast("array<string>")).otherwise(_alias_roots(F.col("specifier"), F.col("base"), F.col("paths")))
+        by_alias = F.flatten(F.transform(alias, lambda r: candidate_paths(F.lit(""), F.concat(F.lit("/"), r))))
+        cand = F.when(F.size(alias) > 0, by_alias).otherwise(candidate_paths(F.col("path"), F.col("specifier"), F.col("base")))
+    found = spec.select(*NS, "path", "specifier", F.explode(cand).alias("target")).join(there, [*NS, "target"], "left_semi")
     by_found = found.select(*NS, "path", "specifier", F.explode(path_keys(F.col("target"))).alias("key"))
     by_text = spec.select(*NS, "path", "specifier", F.explode(specifier_keys(F.col("specifier"))).alias("key"))
     keys = by_found.unionByName(by_text).distinct()
@@ -162,3 +212,37 @@ def risk(changed: Column, direct: Column, second: Column, depend: Column, text:
     say = lambda n, what: F.when(n > 0, F.concat(n.cast("string"), F.lit(what)))
     reasons = F.concat_ws("; ", F.coalesce(say(changed, " changed symbol(s)"), F.lit("file-level or unscoped change")), say(direct, " direct caller(s)"), say(second, " transitive caller(s)"), say(depend, " importing/dependent file(s)"), F.when(F.size(hit) > 0, F.concat(F.lit("sensitive path: "), F.array_join(F.slice(hit, 1, 5), ", "))))
     return score, level, reasons
+
+
+def repo_map(functions: DataFrame, most: int = 20) -> DataFrame:
+    """``repo, git_ref, name, path, start_line, n_callers, callers`` of each function by its bare name.
+
+    Of several functions of a name the last by path and line counts. ``callers`` names the first ``most`` of them.
+    """
+    nodes = functions.groupBy(*NS, "name").agg(F.max(F.struct("path", "start_line", "calls")).alias("v")).select(*NS, "name", "v.*")
+    calls = nodes.select(*NS, F.col("name").alias("caller"), F.concat(F.lit("`"), F.col("name"), F.lit("` ("), F.element_at(F.split("path", "/"), -1), F.lit(":"), F.col("start_line").cast("string"), F.lit(")")).alias("text"), F.explode("calls").alias("name"))
+    w = Window.partitionBy(*NS, "name").orderBy("caller")
+    shown = calls.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).groupBy(*NS, "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), ", ").alias("callers"))
+    size = calls.groupBy(*NS, "name").agg(F.count("*").alias("n_callers"))
+    return nodes.drop("calls").join(size, [*NS, "name"], "left").join(shown, [*NS, "name"], "left").select(*NS, "name", "path", "start_line", F.coalesce("n_callers", F.lit(0)).alias("n_callers"), F.coalesce("callers", F.lit("no known callers")).alias("callers"))
+
+
+def _parts_of(stem: Column) -> Column:
+    """Every part of a name, so that containment becomes equality."""
+    n = F.length(stem)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(stem, i, k)))))
+
+
+def test_targets(files: DataFrame, tests: DataFrame) -> DataFrame:
+    """``repo, git_ref, path, test_path`` of the tests to run for each file; a null test means all of them.
+
+    A test fits a file if one's name without suffix contains the other's. The parts of names are joined by equality, so
+    files and tests of a snapshot are never paired with each other.
+    """
+    stem = lambda c: F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    f = files.select(*NS, "path", stem(F.col("path")).alias("stem"))
+    t = tests.select(*NS, F.col("path").alias("test_path"), stem(F.col("path")).alias("test_stem"))
+    inside = f.join(t.select(*NS, "test_path", F.explode(_parts_of(F.col("test_stem"))).alias("stem")), [*NS, "stem"]).select(*NS, "path", "test_path")
+    around = f.select(*NS, "path", F.explode(_parts_of(F.col("stem"))).alias("test_stem")).join(t, [*NS, "test_stem"]).select(*NS, "path", "test_path")
+    hit = inside.unionByName(around).distinct()
+    return f.select(*NS, "path").distinct().join(hit, [*NS, "path"], "left")

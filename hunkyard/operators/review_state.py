@@ -5,34 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The form of the marker that a review leaves in a comment.
+# The name of the marker that a review leaves in a comment; pass another where comments already carry one.
 MARKER_NAME = "review-state"
-MARKER = r"(?s)<!--\s*review-state(.*?)-->"
 SHORT_SHA = 8
 LISTED_COMMITS = 20
 MESSAGE_CHARS = 60
 
 
-def build_marker(repo: Column, pr: Column, head: Column, mode: Column, base: Column | None = None) -> Column:
+def _pattern(name: str) -> str:
+    return rf"(?s)<!--\s*\Q{name}\E(.*?)-->"
+
+
+def build_marker(repo: Column, pr: Column, head: Column, mode: Column, base: Column | None = None, name: str = MARKER_NAME) -> Column:
     """The marker text; an empty or null head is ``unknown``, an empty or null base is left out."""
-    parts = [F.lit(MARKER_NAME), F.concat(F.lit("repo="), repo), F.concat(F.lit("pr="), pr.cast("string")), F.concat(F.lit("head="), F.coalesce(F.when(head != "", head), F.lit("unknown"))), F.concat(F.lit("mode="), mode)]
+    parts = [F.lit(name), F.concat(F.lit("repo="), repo), F.concat(F.lit("pr="), pr.cast("string")), F.concat(F.lit("head="), F.coalesce(F.when(head != "", head), F.lit("unknown"))), F.concat(F.lit("mode="), mode)]
     if base is not None:
         parts.append(F.when(base != "", F.concat(F.lit("base="), base)))
     return F.concat(F.lit("<!-- "), F.concat_ws(" ", *parts), F.lit(" -->"))
 
 
-def parse_marker(body: Column) -> Column:
+def parse_marker(body: Column, name: str = MARKER_NAME) -> Column:
     """The marker's keys and values as a map: parts without = are dropped, quotes stripped, the last of a key wins."""
-    inner = F.regexp_extract(F.coalesce(body, F.lit("")), MARKER, 1)
+    inner = F.regexp_extract(F.coalesce(body, F.lit("")), _pattern(name), 1)
     parts = F.filter(F.split(F.trim(inner), r"\s+"), lambda x: F.instr(x, "=") > 0)
     pairs = F.transform(parts, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_replace(F.substring(x, F.instr(x, "=") + 1, F.length(x)), '^"+|"+$', "").alias("v")))
     unique = F.aggregate(pairs, F.expr("cast(map() as map<string,string>)"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["k"]), F.create_map(p["k"], p["v"])))
     return unique
 
 
-def append_marker(body: Column, marker: Column) -> Column:
+def append_marker(body: Column, marker: Column, name: str = MARKER_NAME) -> Column:
     """The body with the marker at its end, in place of an earlier one."""
-    clean = F.regexp_replace(F.regexp_replace(F.coalesce(body, F.lit("")), MARKER, ""), r"\s+$", "")
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce(body, F.lit("")), _pattern(name), ""), r"\s+$", "")
     return F.regexp_replace(F.concat(clean, F.lit("\n\n"), marker), r"^\s+|\s+$", "")
 
 

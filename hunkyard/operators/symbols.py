@@ -131,3 +131,25 @@ def python_imports(files: DataFrame, key: str, content: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.string()) for c in out[1:])], ["row_id", "local_name", "imported_name", "module"])
 
     return cols.mapInArrow(run, "row_id bigint, local_name string, imported_name string, module string")
+
+
+def python_functions(files: DataFrame, key: str, content: str) -> DataFrame:
+    """Every function of Python texts, nested and conditional ones included, with the names it calls."""
+    cols = files.selectExpr(f"`{key}` as row_id", f"`{content}` as content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[], [], [], []]
+            for i, t in zip(b.column("row_id").to_pylist(), b.column("content").to_pylist()):
+                try:
+                    nodes = [n for n in ast.walk(ast.parse(t or "")) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
+                    continue
+                for n in nodes:
+                    calls = {c.func.id if isinstance(c.func, ast.Name) else c.func.attr for c in ast.walk(n) if isinstance(c, ast.Call) and isinstance(c.func, (ast.Name, ast.Attribute))}
+                    for col, v in zip(out, (i, n.name, n.lineno, sorted(calls))):
+                        col.append(v)
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["row_id", "name", "start_line", "calls"])
+
+    return cols.mapInArrow(run, "row_id bigint, name string, start_line int, calls array<string>")

@@ -61,7 +61,8 @@ def callers_depth2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def import_resolve(spark: SparkSession, d: str) -> DataFrame:
-    return G.resolve_imports(_dependencies(spark, d), _files(spark, d))
+    f = _files(spark, d)
+    return G.resolve_imports(_dependencies(spark, d), f, G.module_configs(f))
 
 
 def dependents(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +96,18 @@ def impact_risk(spark: SparkSession, d: str) -> DataFrame:
     return j.select(*G.NS, "path", score.alias("risk_score"), level.alias("risk_level"), reasons.alias("reasons"))
 
 
-QUERIES = {f.__name__: f for f in (text_symbols, text_dependencies, python_symbols, python_imports, caller_edges, callers_depth2, import_resolve, dependents, changed_symbols, context_topk, impact_risk)}
+def repo_map(spark: SparkSession, d: str) -> DataFrame:
+    f = _files(spark, d).where("path like '%.py'")
+    return G.repo_map(S.python_functions(f, "src_id", "content").withColumnRenamed("row_id", "src_id").join(f.drop("content"), "src_id"))
+
+
+def test_targets(spark: SparkSession, d: str) -> DataFrame:
+    f = _files(spark, d).select(*G.NS, "path")
+    is_test = F.rlike("path", F.lit(r"(?:^|/)test_[^/]*$"))
+    return G.test_targets(f.where(~is_test), f.where(is_test))
+
+
+QUERIES = {f.__name__: f for f in (text_symbols, text_dependencies, python_symbols, python_imports, caller_edges, callers_depth2, import_resolve, dependents, changed_symbols, context_topk, impact_risk, repo_map, test_targets)}
 
 _NAME = "CASE " + " ".join(f"WHEN regexp_matches(line, {sql_text(p)}) THEN regexp_extract(line, {sql_text(p)}, 1)" for p in S.DEFINITIONS) + " END"
 
@@ -129,7 +141,12 @@ _PATH_KEYS = """pk AS (SELECT DISTINCT repo, git_ref, path, unnest([path, bare,
 _DEPENDENTS = f"""{_DEPS}, {_PATH_KEYS},
 dep AS (SELECT DISTINCT pk.repo, pk.git_ref, pk.path, deps.path AS dependent FROM pk JOIN deps ON deps.repo = pk.repo AND deps.git_ref = pk.git_ref AND deps.dependency = pk.key WHERE deps.path <> pk.path)"""
 
+_STEM = lambda e: f"regexp_replace(string_split({e}, '/')[-1], '([^/])\\.[^.]*$', '\\1')"
+
 ORACLES = {
+    "test_targets": f"""WITH {_FILES}, f AS (SELECT repo, git_ref, path, {_STEM("path")} AS stem FROM files WHERE NOT regexp_matches(path, '(^|/)test_[^/]*$')),
+t AS (SELECT repo, git_ref, path AS test_path, {_STEM("path")} AS ts FROM files WHERE regexp_matches(path, '(^|/)test_[^/]*$'))
+SELECT f.repo, f.git_ref, f.path, test_path FROM f LEFT JOIN t ON t.repo = f.repo AND t.git_ref = f.git_ref AND (contains(ts, stem) OR contains(stem, ts))""",
     "text_symbols": f"WITH {_SYM} SELECT id, repo, git_ref, end_line::BIGINT AS end_line, len(calls)::BIGINT AS n_calls FROM sym",
     "text_dependencies": f"WITH {_FILES}, {_DEPS} SELECT src_id, specifier, dependency FROM deps",
     "caller_edges": f"WITH {_EDGES} SELECT * FROM edges",

@@ -100,3 +100,24 @@ def test_callers_against_brute_force(spark):
     one = {(a, b, 1) for a, b in e}
     two = {(a, c, 2) for a, b in e for b2, c in e if b == b2 and (a, c) not in e}
     assert got == one | two
+
+
+def test_aliases_of_the_deepest_config(spark):
+    f = files(spark, {
+        "tsconfig.json": '{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["src/*"], "exact": ["src/one.ts"]}}}',
+        "app/tsconfig.json": '// c\n{"compilerOptions": {"baseUrl": "./lib", /* x */ "paths": {"~/*/end": ["deep/*"]}}}',
+        "bad/jsconfig.json": "{", "src/math.ts": "", "src/one.ts": "", "app/lib/deep/x.tsx": "", "app/lib/util.js": "", "src/u.ts": "", "app/v.ts": "",
+    })
+    imports = spark.createDataFrame([("r", "x", p, s) for p, s in [("src/u.ts", "@/math"), ("src/u.ts", "exact"), ("app/v.ts", "~/x/end"), ("app/v.ts", "util"), ("app/v.ts", "@/lib/none"), ("src/u.ts", "./one")]], "repo string, git_ref string, path string, specifier string")
+    got = {(r.path, r.specifier, r.target) for r in G.resolve_imports(imports, f, G.module_configs(f)).collect()}
+    assert got == {("src/u.ts", "@/math", "src/math.ts"), ("src/u.ts", "exact", "src/one.ts"), ("app/v.ts", "~/x/end", "app/lib/deep/x.tsx"), ("app/v.ts", "util", "app/lib/util.js"), ("src/u.ts", "./one", "src/one.ts")}
+
+
+def test_repo_map_and_test_targets(spark):
+    f = files(spark, {"a.py": "def f():\n    def g():\n        h()\n    g()\nif 1:\n    def h(): pass\n", "b.py": "def f():\n    h()\n", "bad.py": "def ("})
+    m = {r.name: (r.path, r.start_line, r.n_callers, r.callers) for r in G.repo_map(S.python_functions(f, "src_id", "content").withColumnRenamed("row_id", "src_id").join(f.drop("content", "name"), "src_id")).collect()}
+    assert m == {"f": ("b.py", 1, 0, "no known callers"), "g": ("a.py", 2, 0, "no known callers"), "h": ("a.py", 6, 2, "`f` (b.py:1), `g` (a.py:2)")}
+    p = spark.createDataFrame([("r", "x", p) for p in ["src/login.py", "src/x.py", "t/test_login.py", "t/test_.py", "src/my_test_.py"]], "repo string, git_ref string, path string")
+    is_test = F.rlike("path", F.lit("/test_[^/]*$"))
+    got = {(r.path, r.test_path) for r in G.test_targets(p.where(~is_test), p.where(is_test)).collect()}
+    assert got == {("src/login.py", "t/test_login.py"), ("src/x.py", None), ("src/my_test_.py", "t/test_.py")}
