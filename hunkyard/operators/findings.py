@@ -77,3 +77,25 @@ def finding_key(source: Column, line: Column, *texts: Column) -> Column:
     text = F.concat_ws(" ", *(F.when(t != "", t) for t in texts))
     key = F.concat_ws(":", source, F.coalesce(line.cast("string"), F.lit("?")), F.substring(F.md5(text), 1, 8))
     return F.when(F.regexp_replace(text, r"[\s\p{Z}]", "") != "", key)
+
+
+def unite(results: dict[str, DataFrame], error: str = "error") -> DataFrame:
+    """The findings of several reviewers in one shape, with their ``source``; columns that one lacks are null.
+
+    A result with an ``error`` column loses the rows in which it is set, and nothing else fails with them.
+    """
+    out: DataFrame | None = None
+    for name, df in results.items():
+        part = df.where(F.col(error).isNull()).drop(error) if error in df.columns else df
+        part = part.withColumn("source", F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no results to unite")
+    return out
+
+
+def distinct_evidence(evidence: DataFrame, order: str = "rank") -> DataFrame:
+    """Evidence without repeated pairs of finding and clause, the first of each by ``order``."""
+    rest = [c for c in evidence.columns if c not in ("finding_key", "clause_id")]
+    g = evidence.groupBy("finding_key", "clause_id").agg(F.min(F.struct(order, *(c for c in rest if c != order))).alias("v"))
+    return g.select("finding_key", "clause_id", *(F.col(f"v.{c}").alias(c) for c in rest)).select(*evidence.columns)

@@ -10,6 +10,7 @@ from hunkyard.operators import diff as D
 from hunkyard.operators import graph as G
 from hunkyard.operators import symbols as S
 from hunkyard.plans.diff_queries import _PL, sql_lines, sql_text
+from hunkyard.sources.files import snapshot
 from hunkyard.sources.tables import table
 
 
@@ -107,7 +108,13 @@ def test_targets(spark: SparkSession, d: str) -> DataFrame:
     return G.test_targets(f.where(~is_test), f.where(is_test))
 
 
-QUERIES = {f.__name__: f for f in (text_symbols, text_dependencies, python_symbols, python_imports, caller_edges, callers_depth2, import_resolve, dependents, changed_symbols, context_topk, impact_risk, repo_map, test_targets)}
+def snapshot_cap(spark: SparkSession, d: str) -> DataFrame:
+    """The files of each snapshot that the index takes in, the first five hundred by path."""
+    s = snapshot(table(spark, d, "source_files").join(_files(spark, d).select("src_id"), "src_id"), G.NS, F.coalesce("size_bytes", F.lit(0)))
+    return s.select(*G.NS, "path", "src_id")
+
+
+QUERIES = {f.__name__: f for f in (text_symbols, text_dependencies, python_symbols, python_imports, caller_edges, callers_depth2, import_resolve, dependents, changed_symbols, context_topk, impact_risk, repo_map, test_targets, snapshot_cap)}
 
 _NAME = "CASE " + " ".join(f"WHEN regexp_matches(line, {sql_text(p)}) THEN regexp_extract(line, {sql_text(p)}, 1)" for p in S.DEFINITIONS) + " END"
 
@@ -147,6 +154,8 @@ ORACLES = {
     "test_targets": f"""WITH {_FILES}, f AS (SELECT repo, git_ref, path, {_STEM("path")} AS stem FROM files WHERE NOT regexp_matches(path, '(^|/)test_[^/]*$')),
 t AS (SELECT repo, git_ref, path AS test_path, {_STEM("path")} AS ts FROM files WHERE regexp_matches(path, '(^|/)test_[^/]*$'))
 SELECT f.repo, f.git_ref, f.path, test_path FROM f LEFT JOIN t ON t.repo = f.repo AND t.git_ref = f.git_ref AND (contains(ts, stem) OR contains(stem, ts))""",
+    "snapshot_cap": f"""WITH {_FILES}, r AS (SELECT repo, git_ref, path, src_id, row_number() OVER (PARTITION BY repo, git_ref ORDER BY path) AS n FROM files
+ WHERE {_EXT.replace("jsx|ts|tsx)", "jsx|ts|tsx|json)")} AND coalesce(size_bytes, 0) <= 250000) SELECT repo, git_ref, path, src_id FROM r WHERE n <= 500""",
     "text_symbols": f"WITH {_SYM} SELECT id, repo, git_ref, end_line::BIGINT AS end_line, len(calls)::BIGINT AS n_calls FROM sym",
     "text_dependencies": f"WITH {_FILES}, {_DEPS} SELECT src_id, specifier, dependency FROM deps",
     "caller_edges": f"WITH {_EDGES} SELECT * FROM edges",

@@ -98,6 +98,13 @@ def evidence_stats(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("domain").agg(F.countDistinct("id").alias("processed"), F.countDistinct(F.when(F.col("clause_id").isNotNull(), F.col("id"))).alias("with_evidence"), F.count("clause_id").alias("pieces"), F.countDistinct("clause_id").alias("clauses"))
 
 
+def policy_join(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the raters' opinions on them, kept without any; opinions seen and found abusive, per source."""
+    o = table(spark, d, "labels").select("doc_id", "toxic")
+    j = table(spark, d, "documents").select("doc_id", "source").join(o, "doc_id", "left")
+    return j.groupBy("source").agg(F.countDistinct("doc_id").alias("documents"), F.count("toxic").alias("scanned"), F.count_if(F.col("toxic") == 1).alias("violated"))
+
+
 def _targets(spark: SparkSession, d: str) -> DataFrame:
     """The latest delivery of each changed file that patches refer to."""
     f = table(spark, d, "diff_files").where("repo is not null and pr is not null and file_path is not null")
@@ -207,7 +214,7 @@ def push_join(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (finding_validate, response_parse, attempt_select, severity_rollup, issue_priority, inline_select, finding_key, broad_retrieve, evidence_topk, risk_scan, evidence_stats, snippet_locate, patch_first, patch_apply, marker_roundtrip, latest_review, commit_summary, trace_summary, chunk_report, index_sizes, base64_round_trip, json_extract, upsert_plan, queue_state, push_join)
+    for f in (finding_validate, response_parse, attempt_select, severity_rollup, issue_priority, inline_select, finding_key, broad_retrieve, evidence_topk, risk_scan, evidence_stats, snippet_locate, patch_first, patch_apply, marker_roundtrip, latest_review, commit_summary, trace_summary, chunk_report, policy_join, index_sizes, base64_round_trip, json_extract, upsert_plan, queue_state, push_join)
 }
 
 _F = """f AS (SELECT event_id, user_id, event_id % 3 AS attempt, CASE event_type WHEN 'error' THEN 'correctness' WHEN 'purchase' THEN 'security' WHEN 'click' THEN 'maintainability' WHEN 'view' THEN 'policy' ELSE 'other' END AS category,
@@ -275,6 +282,7 @@ SELECT patch_id, s::BIGINT AS start_line, (s + m - 1)::BIGINT AS end_line, 'diff
  l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, span ORDER BY exported_at DESC NULLS LAST, parent DESC NULLS LAST, name DESC NULLS LAST, start_time DESC NULLS LAST, end_time DESC NULLS LAST, status DESC NULLS LAST) AS rn FROM s) WHERE rn = 1)
  SELECT trace_id, count(*) AS spans, count(*) FILTER (starts_with(name, 'llm.')) AS llm_calls, count(*) FILTER (status = 'error') AS errors, round(max(CASE WHEN parent IS NULL THEN end_time - start_time END) * 1000, 1) AS root_ms FROM l GROUP BY 1""",
     "chunk_report": "WITH m AS (SELECT repo, pr, chunk_id, max(file_path) AS file_path, max(token_count) AS t FROM review_chunks WHERE chunk_id IS NOT NULL GROUP BY 1, 2, 3), " + _listed("m", "repo, pr", "chunk_id", "'- `' || file_path || '`: ' || coalesce(t::VARCHAR, '?') || ' tokens'"),
+    "policy_join": "SELECT source, count(DISTINCT doc_id) AS documents, count(toxic) AS scanned, count(*) FILTER (toxic = 1) AS violated FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
     "index_sizes": "SELECT repo, count(DISTINCT path) AS files, count(content) AS texts, coalesce(string_agg(DISTINCT lower(language), '+' ORDER BY lower(language)), '') AS languages FROM source_files GROUP BY 1",
     "base64_round_trip": "SELECT doc_id, length(to_base64(encode(text)))::BIGINT AS blob_chars, true AS same FROM documents WHERE text IS NOT NULL",
     "json_extract": "SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events",

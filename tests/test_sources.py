@@ -95,3 +95,26 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 2
     t = trace_files(spark.createDataFrame([("0123456789abcdef", "s", None)], "trace_id string, span_id string, note string")).first()
     assert t.file == "trace-0123456789ab.json" and json.loads(t.record)["span_id"] == "s"
+
+
+def test_trees_and_snapshots(spark, tmp_path):
+    from hunkyard.sources.files import read_tree, snapshot
+
+    for p, t in {"a.py": b"x = 1", "sub/b.js": "größe".encode(), "node_modules/c.js": b"", ".hid/d.py": b"", "e.txt": b"", "big.py": b"x" * 99, "bad.py": b"a\xffb"}.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_bytes(t)
+    got = {r.path: (r.content, r.language) for r in read_tree(spark, str(tmp_path), ["py", "js"], most_bytes=50).collect()}
+    assert got == {"a.py": ("x = 1", "python"), "sub/b.js": ("größe", "javascript"), "bad.py": ("a\ufffdb", "python")}
+    df = spark.createDataFrame([("r", f"f{i:03}.py", 10) for i in range(8)] + [("r", "a.txt", 1), ("r", "a.py", 999), ("s", "dist/a.py", 1), (None, "z.ts", 1)], "repo string, path string, n int")
+    assert sorted((r.repo or "", r.path) for r in snapshot(df, ["repo"], F.col("n"), 3, 100).collect()) == [("", "z.ts"), ("r", "f000.py"), ("r", "f001.py"), ("r", "f002.py")]
+
+
+def test_results_united_and_evidence_deduplicated(spark):
+    from hunkyard.operators.findings import distinct_evidence, unite
+
+    a = spark.createDataFrame([("m", 1, None), ("n", 2, "boom")], "message string, line int, error string")
+    b = spark.createDataFrame([("o", "hint")], "message string, fix string")
+    got = sorted((r.source, r.message, r.line, r.fix) for r in unite({"a": a, "b": b}).collect())
+    assert got == [("a", "m", 1, None), ("b", "o", None, "hint")]
+    e = spark.createDataFrame([("k", "c", 2, 0.1), ("k", "c", 1, 0.9), ("k", "d", 1, 0.5)], "finding_key string, clause_id string, rank int, score double")
+    assert sorted(map(tuple, distinct_evidence(e).collect())) == [("k", "c", 1, 0.9), ("k", "d", 1, 0.5)]
