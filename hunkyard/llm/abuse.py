@@ -39,6 +39,8 @@ VIOLENT = frozenset("kill die dead burn bleed slash slashed choke hang beat stra
 PEOPLE = frozenset("women woman girls gay gays immigrants immigrant foreigners muslims jews blacks disabled refugees trans frauen auslander fluchtlinge juden schwule femmes etrangers juifs arabes mujeres extranjeros inmigrantes gitanos".split())
 PORN = frozenset("porn porno blowjob blowjobs horny tits titten tetas nudes nacktbilder nacktfotos jerking wank ficken follar".split())
 DEMEAN = frozenset("stupid vermin parasite parasites plague disease animals steal kitchen filth subhuman disgust disgusts worthless useless pathetic brainless lazy herd ungeziefer dreck dumm cuisine parasites vermine plaga cocina ratas inutiles basura".split())
+# Words met in disguise too, though no abuse by themselves.
+DISGUISED = frozenset("stupid pathetic worthless useless worm waste oxygen brainless clown parasite lazy scumbag piece disgusting filthy monkey".split())
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deinen euch tu te toi ton ta tes vous votre eres usted vosotros ti contigo tus".split())
 FIRST = frozenset("i me my myself mine ich mich mir mein meine je moi mon ma mes yo mi mio soy".split())
 ZH = {"insult": "脑残 白痴 蠢货 混蛋 傻逼 傻瓜 垃圾人 废物 王八蛋 智障 贱人 婊子 闭嘴 人渣 畜生 狗东西 蠢猪".split(), "sexual": "裸照 裸聊 色情 脱光 上床 性爱".split(), "porn": "裸照 裸聊 色情".split(), "demean": "害虫 厨房 垃圾人 畜生 低等".split(), "violent": "去死 弄死 打死 砍死 走着瞧 杀了你".split(), "people": "女人 同性恋 外国人 外地人 黑人 残疾人".split(), "second": "你".split()}
@@ -50,14 +52,17 @@ _SPEAKER = re.compile(r"(?m)^\s*(?:[-*>#]+\s*)?dev\d+:\s*")
 _SPLIT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|[\n\r]+|\s//\s")
 _SPACED = re.compile(r"(?<![\w'])(?:[^\W\d_][ .\-_*·]){2,}[^\W\d_](?![\w'])")
 _ID = re.compile(r"`[^`]*`|https?://\S+|\b[\w$]*(?:[_/][\w.]+)+(?:\(\))?|\b\w+(?:\.\w+)+\b")
-_WORD = re.compile(r"[^\W\d_](?:[\w*'@$!]*[^\W_]|[\w*@$]*)|[@$*\d][\w@$*!]*[^\W_]|[一-鿿]+|'|\"")
+_WORD = re.compile(r"[^\W\d_](?:[\w*'@$!]*[\w*@$])?|[@$*\d][\w@$*!]*[^\W_]|[一-鿿]+|'|\"")
 _RUN = re.compile(r"(.)\1{2,}")
 _TWICE = re.compile(r"(.)\1+")
 _HAN = re.compile(r"[一-鿿]")
+_HAN_GAP = re.compile(r"(?<=[一-鿿])[ \-_*·.]{1,2}(?=[一-鿿])")
+WINDOW, STEP, LONG = 10, 3, 12
 _ALL = INSULT | SEXUAL
-_SQUEEZED = {_TWICE.sub(r"\1", w): w for w in sorted(_ALL | {"piece", "stupid", "pathetic", "worthless"})}
+_KNOWN = _ALL | DISGUISED
+_SQUEEZED = {_TWICE.sub(r"\1", w): w for w in sorted(_KNOWN)}
 _BY_LENGTH: dict[int, list[str]] = {}
-for _w in sorted(_ALL):
+for _w in sorted(_KNOWN):
     _BY_LENGTH.setdefault(len(_w), []).append(_w)
 
 
@@ -73,8 +78,10 @@ def fold(text: str) -> str:
 def plain(word: str) -> str:
     """The word behind a disguise: a known one if the signs allow it, otherwise the word itself, or # for an identifier."""
     if word.isalpha():
-        if word in _ALL:
+        if word in _KNOWN:
             return word
+        if word[0] == "a" and word[1:] in INSULT:  # an article that lost its space
+            return word[1:]
         w = _RUN.sub(r"\1", word)
         return _SQUEEZED.get(_TWICE.sub(r"\1", word), w) if w != word else word
     if "*" in word:
@@ -86,7 +93,7 @@ def plain(word: str) -> str:
     if "'" in word:
         return word
     w = word.translate(LEET)
-    if w in _ALL:
+    if w in _KNOWN:
         return w
     return _SQUEEZED.get(_TWICE.sub(r"\1", w), "#")
 
@@ -98,10 +105,18 @@ def sentences(text: str) -> list[str]:
         s = s.strip()
         if s:
             s = _SPACED.sub(lambda m: re.sub(r"[ .\-_*·]", "", m[0]), s)
-            out.append(_ID.sub(" # ", s))
+            out.append(_ID.sub(" # ", _HAN_GAP.sub("", s)))
     return out
 
 
+def windows(sentence: str) -> list[str]:
+    """A sentence and, if it is long, overlapping stretches of it: a missing full stop shall not dilute what it says."""
+    words = sentence.split()
+    if len(words) <= LONG:
+        return [sentence]
+    return [sentence, *(" ".join(words[i : i + WINDOW]) for i in range(0, len(words) - WINDOW + STEP, STEP))]
+
+
 def _hash(s: str) -> int:
     return zlib.crc32(s.encode()) % DIMENSIONS
 
@@ -173,8 +188,8 @@ class Model:
         return v
 
     def score(self, text: str | None) -> float:
-        """The severity of the worst sentence; 0 for a null, empty or blank text."""
-        return max((self.severity(features(s)) for s in sentences(text or "")), default=0.0)
+        """The severity of the worst sentence or stretch; 0 for a null, empty or blank text."""
+        return max((self.severity(features(w)) for s in sentences(text or "") for w in windows(s)), default=0.0)
 
 
 def _fit(rows: list[tuple[int, ...]], grade: np.ndarray, weight: np.ndarray, start: np.ndarray, cuts: np.ndarray, prior: np.ndarray, steps: int, decay: float) -> tuple[np.ndarray, np.ndarray]:
