@@ -115,27 +115,15 @@ def _doubled(nodes: DataFrame) -> DataFrame:
         j = s.join(t, (F.col("ns") == F.col("tns")) & (F.col("ptr") == F.col("tid")))
         return j.select("ns", "id", "parent", F.col("tptr").alias("ptr"), (F.col("hops") + F.col("thops")).alias("hops"), F.col("tdone").alias("done"), F.least("least", "tleast").alias("least"))
 
-    parts: list[DataFrame] = []
-    left = state.where(~F.col("done")).count()
-    state_done = state.where("done")
-    open_ = state.where("not done")
-    all_ = state
+    left = state.where("not done").count()
     while left:
-        nxt = durable(jump(open_, all_))
-        still = nxt.where(~F.col("done")).count()
-        parts.append(state_done)
-        state_done, open_ = nxt.where("done"), nxt.where("not done")
+        # done rows are kept out of the jump: they all point at roots, which would make those hot keys
+        state = durable(jump(state.where("not done"), state).unionByName(state.where("done")))
+        still = state.where("not done").count()
         if still == left:
             break
-        # the next jump needs the pointers of every node that a pointer can land on
-        all_ = state_done.unionByName(open_)
-        for p in parts:
-            all_ = all_.unionByName(p)
         left = still
-    parts.append(state_done)
-    trees = parts[0]
-    for p in parts[1:]:
-        trees = trees.unionByName(p)
+    open_, trees = state.where("not done"), state.where("done")
     trees = trees.select("ns", "id", "parent", F.col("ptr").alias("root_id"), F.col("hops").alias("depth"))
     if not left:
         return trees
