@@ -1,6 +1,7 @@
 """Unified diffs as rows: hunks, numbered lines, reasons for skipping, token costs, chunks.
 
-Patches are exploded into lines once; the windows that number them share one exchange by file.
+What needs no running numbers is computed on arrays inside a file's own row, without a shuffle. For numbered lines, whole
+patches are exchanged once by file and exploded there; all windows share that exchange.
 """
 
 from __future__ import annotations
@@ -52,21 +53,59 @@ def numbered_lines(files: DataFrame, key: str = "diff_id", patch: str = "patch")
     return s.select(key, "hunk_no", "pos", "kind", F.when(F.col("kind").isin("-", " "), old_at).alias("old_line"), F.when(F.col("kind").isin("+", " "), new_at).alias("new_line"), "line")
 
 
+def hunked(files: DataFrame, keep: list[str], patch: str = "patch") -> DataFrame:
+    """``keep, hs``: the hunks of each patch as an array of hunk_no, header, body (lines); text before them is dropped.
+
+    Everything that needs no running numbers is computed on this array inside the file's own row, without a shuffle.
+    Lines and places of headers are columns of their own, so that they are found once a file and not once a hunk.
+    """
+    f = files.select(*keep, T.lines(F.col(patch)).alias("__ls"))
+    f = f.select(*keep, "__ls", F.filter(F.transform("__ls", lambda x, i: F.when(F.rlike(x, F.lit(HUNK)), i)), lambda i: i.isNotNull()).alias("__at"))
+    one = lambda p, k: F.struct((k + 1).alias("hunk_no"), F.get("__ls", p).alias("header"), F.slice("__ls", p + 2, F.coalesce(F.get("__at", k + 1), F.size("__ls")) - p - 1).alias("body"))
+    return f.select(*keep, F.transform("__at", one).alias("hs"))
+
+
+def _number(header: Column, n: int, default: int | None = None) -> Column:
+    c = F.regexp_extract(header, HUNK, n)
+    value = F.try_to_number(c, F.lit("9999999999")).cast("bigint")
+    return value if default is None else F.when(c == "", F.lit(default).cast("bigint")).otherwise(value)
+
+
+def _count(body: Column, test) -> Column:
+    return F.size(F.filter(body, test)).cast("bigint")
+
+
 def hunks(files: DataFrame, key: str = "diff_id", patch: str = "patch") -> DataFrame:
     """One row for each hunk: starts and counts (a missing count is 1) and its lines by kind."""
-    s = patch_lines(files, key, patch)
-    first = F.substring("line", 1, 1)
-    body = ~F.col("is_header")
-    g = s.groupBy(key, "hunk_no").agg(
-        F.max(F.when(F.col("is_header"), _header(1))).alias("old_start"),
-        F.max(F.when(F.col("is_header"), _header(2, 1))).alias("old_count"),
-        F.max(F.when(F.col("is_header"), _header(3))).alias("new_start"),
-        F.max(F.when(F.col("is_header"), _header(4, 1))).alias("new_count"),
-        F.count_if(body).alias("n_lines"),
-        F.count_if(body & (first == "+")).alias("n_added"),
-        F.count_if(body & (first == "-")).alias("n_removed"),
+    h = hunked(files, [key], patch).select(key, F.explode("hs").alias("h")).select(key, "h.hunk_no", "h.header", "h.body")
+    head = F.col("header")
+    return h.select(
+        key,
+        "hunk_no",
+        _number(head, 1).alias("old_start"),
+        _number(head, 2, 1).alias("old_count"),
+        _number(head, 3).alias("new_start"),
+        _number(head, 4, 1).alias("new_count"),
+        F.size("body").cast("bigint").alias("n_lines"),
+        _count(F.col("body"), lambda x: x.startswith("+")).alias("n_added"),
+        _count(F.col("body"), lambda x: x.startswith("-")).alias("n_removed"),
     )
-    return g
+
+
+def _with_changes(hs: Column) -> Column:
+    """Hunks with ``lo`` and ``hi``, the first and last added line on the new side, null without any."""
+
+    def on_new_side(h: Column, upto: Column) -> Column:
+        return _number(h["header"], 3) + _count(F.slice(h["body"], F.lit(1), upto - 1), lambda x: ~x.startswith("-") & ~x.startswith("\\"))
+
+    def one(h: Column) -> Column:
+        plus = F.transform(h["body"], lambda x: x.startswith("+"))
+        first = F.array_position(plus, F.lit(True)).cast("int")
+        last = F.size(plus) + 1 - F.array_position(F.reverse(plus), F.lit(True)).cast("int")
+        some = first > 0
+        return F.struct(h["hunk_no"].alias("hunk_no"), h["header"].alias("header"), h["body"].alias("body"), F.when(some, on_new_side(h, first)).alias("lo"), F.when(some, on_new_side(h, last)).alias("hi"))
+
+    return F.transform(hs, one)
 
 
 def added_line_numbers(files: DataFrame, key: str = "diff_id", patch: str = "patch") -> DataFrame:
@@ -99,63 +138,75 @@ def skip_reason(path: Column, status: Column, patch: Column) -> Column:
     )
 
 
+def _context(h: Column, whole: Column, context: int) -> tuple[Column, Column]:
+    """First and last line of the whole file shown around a hunk."""
+    return F.greatest(h["lo"] - context, F.lit(1)), F.least(h["hi"] + context, F.size(whole).cast("bigint"))
+
+
 def hunk_context(files: DataFrame, context: int = CONTEXT_LINES, key: str = "diff_id") -> DataFrame:
     """``key, hunk_no, first_line, last_line``: the lines of the whole file shown around a hunk's changes."""
-    n = numbered_lines(files, key).where("kind = '+'").groupBy(key, "hunk_no").agg(F.min("new_line").alias("lo"), F.max("new_line").alias("hi"))
-    size = files.select(F.col(key).alias("k"), F.size(T.lines(F.col("full_content"))).alias("n")).where("n > 0")
-    j = n.join(size, n[key] == size["k"])
-    return j.select(key, "hunk_no", F.greatest(F.col("lo") - context, F.lit(1)).alias("first_line"), F.least(F.col("hi") + context, F.col("n").cast("bigint")).alias("last_line"))
+    f = hunked(files, [key, "full_content"]).select(key, "hs", T.lines(F.col("full_content")).alias("whole")).where("size(whole) > 0")
+    h = f.select(key, "whole", F.explode(_with_changes(F.col("hs"))).alias("h")).where("h.lo is not null")
+    first, last = _context(F.col("h"), F.col("whole"), context)
+    return h.select(key, "h.hunk_no", first.alias("first_line"), last.alias("last_line"))
 
 
-def rendered_lines(files: DataFrame, key: str = "diff_id", context: int = CONTEXT_LINES) -> DataFrame:
-    """``key, hunk_no, part, pos, cost``: the tokens of each line a hunk is shown as.
+def _costs(h: Column, whole: Column, context: int) -> Column:
+    """The tokens of each line that a hunk is shown as, in order.
 
     Tokens never reach over white space, so costs add up: header, heading of the columns, diff lines with two tokens
-    for number and mark, and the surrounding lines of the whole file. Of the whole file only those lines are exploded.
+    for number and mark, and the surrounding lines of the whole file with their heading.
     """
-    n = numbered_lines(files, key)
-    added = F.when(F.col("kind") == "+", F.col("new_line"))
-    by = Window.partitionBy(key, "hunk_no")
-    n = n.withColumn("lo", F.min(added).over(by)).withColumn("hi", F.max(added).over(by))
-    body = F.when(F.rlike("line", F.lit(r"^[ +-]")), F.substring("line", 2, _REST)).otherwise(F.col("line"))
-    own = F.when(F.col("kind").isin("@", "\\"), T.tokens(F.col("line"))).otherwise(T.tokens(body) + 2)
-    parts = F.when(F.col("kind") == "@", F.array(own, F.lit(COLUMNS_LINE))).otherwise(F.array(own))
-    shown = n.select(key, "hunk_no", F.lit(1).alias("part"), "pos", F.posexplode(parts).alias("k", "cost")).select(key, "hunk_no", "part", (F.col("pos") + F.col("k") / 2).alias("pos"), "cost")
-    heads = n.where("kind = '@' and lo is not null").select(F.col(key).alias("k"), "hunk_no", F.greatest(F.col("lo") - context, F.lit(1)).alias("first"), (F.col("hi") + context).alias("last"))
-    whole = files.where("full_content is not null").select(key, "full_content").join(heads, F.col(key) == F.col("k"))
-    near = F.expr("slice(all_lines, cast(first as int), cast(greatest(least(last, size(all_lines)) - first + 1, 0) as int))")
-    around = whole.withColumn("all_lines", T.lines(F.col("full_content"))).where("first <= size(all_lines)").select(key, "hunk_no", F.posexplode(F.concat(F.array(F.lit(CONTEXT_HEADING)), F.transform(near, lambda x: T.tokens(x) + 2))).alias("at", "cost"))
-    return shown.unionByName(around.select(key, "hunk_no", F.lit(2).alias("part"), F.col("at").cast("double").alias("pos"), "cost"))
+    body = F.transform(h["body"], lambda x: F.when(x.startswith("\\"), T.tokens(x)).otherwise(T.tokens(F.when(F.rlike(x, F.lit(r"^[ +-]")), F.substring(x, 2, _REST)).otherwise(x)) + 2))
+    first, last = _context(h, whole, context)
+    shown = F.coalesce(h["lo"].isNotNull() & (F.size(whole) > 0) & (first <= last), F.lit(False))
+    near = F.slice(whole, F.when(shown, first).otherwise(1).cast("int"), F.when(shown, last - first + 1).otherwise(0).cast("int"))
+    around = F.when(shown, F.concat(F.array(F.lit(CONTEXT_HEADING)), F.transform(near, lambda x: T.tokens(x) + 2))).otherwise(F.array().cast("array<int>"))
+    return F.concat(F.array(T.tokens(h["header"]), F.lit(COLUMNS_LINE)), body, around)
+
+
+def hunk_costs(files: DataFrame, keep: list[str], context: int = CONTEXT_LINES) -> DataFrame:
+    """``keep, costs``: for each file an array of hunk_no, the costs of its lines in order, and their sum."""
+    f = hunked(files, [*keep, "full_content"]).select(*keep, "hs", T.lines(F.col("full_content")).alias("whole"))
+    f = f.select(*keep, "whole", _with_changes(F.col("hs")).alias("hs"))
+    f = f.select(*keep, F.transform("hs", lambda h: F.struct(h["hunk_no"].alias("hunk_no"), _costs(h, F.col("whole"), context).alias("each"))).alias("cs"))
+    return f.select(*keep, F.transform("cs", lambda c: F.struct(c["hunk_no"].alias("hunk_no"), c["each"].alias("each"), F.aggregate(c["each"], F.lit(0).cast("bigint"), lambda n, x: n + x).alias("cost"))).alias("costs"))
+
+
+def _frame() -> Column:
+    return F.lit(FRAME_TOKENS) + T.tokens(F.col("file_path")) + T.tokens(F.coalesce("language", F.lit("unknown"))) + T.tokens(F.col("status"))
 
 
 def kept_files(files: DataFrame) -> DataFrame:
     """The files that are not skipped, with the tokens of the frame around their hunks; a null language is ``unknown``."""
-    kept = files.where(skip_reason(F.col("file_path"), F.col("status"), F.col("patch")).isNull())
-    return kept.withColumn("frame", F.lit(FRAME_TOKENS) + T.tokens(F.col("file_path")) + T.tokens(F.coalesce("language", F.lit("unknown"))) + T.tokens(F.col("status")))
+    return files.where(skip_reason(F.col("file_path"), F.col("status"), F.col("patch")).isNull()).withColumn("frame", _frame())
 
 
 def file_tokens(files: DataFrame, key: str = "diff_id") -> DataFrame:
-    """``key, tokens``: the tokens of each file as shown in a review; 0 for skipped files."""
-    kept = kept_files(files)
-    cost = rendered_lines(kept, key).groupBy(key).agg(F.sum("cost").alias("cost"))
-    all_ = files.select(key).join(kept.select(key, "frame").join(cost, key), key, "left")
-    return all_.select(key, F.coalesce(F.col("frame") + F.col("cost"), F.lit(0)).cast("bigint").alias("tokens"))
+    """``key, tokens``: the tokens of each file as shown in a review; 0 for skipped files. No shuffle."""
+    kept = skip_reason(F.col("file_path"), F.col("status"), F.col("patch")).isNull()
+    framed = files.withColumn("frame", _frame()).withColumn("is_kept", kept)
+    # a skipped file keeps its row and loses its texts, so that nothing is counted for it
+    bare = framed.select(key, "frame", "is_kept", F.when(F.col("is_kept"), F.col("patch")).alias("patch"), F.when(F.col("is_kept"), F.col("full_content")).alias("full_content"))
+    c = hunk_costs(bare, [key, "frame", "is_kept"])
+    total = F.aggregate("costs", F.lit(0).cast("bigint"), lambda n, x: n + x["cost"])
+    return c.select(key, F.when(F.col("is_kept"), F.col("frame") + total).otherwise(0).cast("bigint").alias("tokens"))
 
 
 def chunks(files: DataFrame, key: str = "diff_id") -> DataFrame:
     """``key, chunk_no, token_count, compressed`` of each file of ``files``, which also has ``max_tokens``.
 
     Hunks are packed in order while frame and hunks fit the budget; a hunk too large for one chunk is split by lines.
-    The fold runs over one array of costs a file and keeps only chunks, so no text is collected.
+    The fold runs over the costs in the file's own row: no shuffle, and no text is collected.
     """
     kept = kept_files(files).withColumn("budget", F.greatest(F.coalesce("max_tokens", F.lit(0)), F.lit(LEAST_BUDGET)))
-    head = kept.select(F.col(key).alias("k"), "frame", "budget")
-    by = Window.partitionBy(key, "hunk_no")
-    line = rendered_lines(kept, key).join(head, F.col(key) == F.col("k")).drop("k").repartition(key)
-    line = line.withColumn("hunk_cost", F.sum("cost").over(by)).withColumn("is_first", (F.col("part") == 1) & (F.col("pos") == F.min(F.when(F.col("part") == 1, F.col("pos"))).over(by)))
-    line = line.withColumn("split", F.col("frame") + F.col("hunk_cost") > F.col("budget")).where("split or is_first")
-    item = F.struct("hunk_no", "part", "pos", F.when(F.col("split"), F.col("cost")).otherwise(F.col("hunk_cost")).cast("bigint").alias("cost"), "split")
-    arrays = line.groupBy(key).agg(F.first("frame").alias("frame"), F.first("budget").alias("budget"), F.array_sort(F.collect_list(item)).alias("items"))
+    c = hunk_costs(kept, [key, "frame", "budget"])
+
+    def item(hunk_no: Column, cost: Column, split: bool) -> Column:
+        return F.struct(hunk_no.alias("hunk_no"), cost.cast("bigint").alias("cost"), F.lit(split).alias("split"))
+
+    items = F.flatten(F.transform("costs", lambda h: F.when(F.col("frame") + h["cost"] > F.col("budget"), F.transform(h["each"], lambda x: item(h["hunk_no"], x, True))).otherwise(F.array(item(h["hunk_no"], h["cost"], False)))))
+    arrays = c.select(key, "frame", "budget", items.alias("items"))
     fold = F.expr("""
         aggregate(items, named_struct('done', cast(array() as array<struct<t:bigint,c:boolean>>), 't', cast(-1 as bigint), 'c', false, 'h', -1),
           (a, x) -> if(a.t < 0, named_struct('done', a.done, 't', frame + x.cost, 'c', x.split, 'h', x.hunk_no),
