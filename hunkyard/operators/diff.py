@@ -77,7 +77,7 @@ def _count(body: Column, test) -> Column:
 
 def hunks(files: DataFrame, key: str = "diff_id", patch: str = "patch") -> DataFrame:
     """One row for each hunk: starts and counts (a missing count is 1) and its lines by kind."""
-    h = hunked(files, [key], patch).select(key, F.explode("hs").alias("h")).select(key, "h.hunk_no", "h.header", "h.body")
+    h = hunked(files, [key], patch).select(key, F.inline("hs"))
     head = F.col("header")
     return h.select(
         key,
@@ -146,9 +146,9 @@ def _context(h: Column, whole: Column, context: int) -> tuple[Column, Column]:
 def hunk_context(files: DataFrame, context: int = CONTEXT_LINES, key: str = "diff_id") -> DataFrame:
     """``key, hunk_no, first_line, last_line``: the lines of the whole file shown around a hunk's changes."""
     f = hunked(files, [key, "full_content"]).select(key, "hs", T.lines(F.col("full_content")).alias("whole")).where("size(whole) > 0")
-    h = f.select(key, "whole", F.explode(_with_changes(F.col("hs"))).alias("h")).where("h.lo is not null")
-    first, last = _context(F.col("h"), F.col("whole"), context)
-    return h.select(key, "h.hunk_no", first.alias("first_line"), last.alias("last_line"))
+    h = f.select(key, "whole", F.inline(_with_changes(F.col("hs")))).where("lo is not null")
+    first, last = _context(F.struct("lo", "hi"), F.col("whole"), context)
+    return h.select(key, "hunk_no", first.alias("first_line"), last.alias("last_line"))
 
 
 def _costs(h: Column, whole: Column, context: int) -> Column:
