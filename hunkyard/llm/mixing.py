@@ -1,32 +1,46 @@
 """A training mix: each source with its target share of all tokens, small sources repeated up to a limit.
 
-Method: tokens are summed per source, repetition rates derived from them, and each document is emitted floor(rate) times
+Method: tokens are summed per source, repetition rates derived from them by water filling under the limits, and each document is emitted floor(rate) times
 and once more with the rate's fraction as probability, drawn from a hash of mix, document and seed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_RATES = 10_000
 
 
-def rates(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:
+def rates(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, whole: bool = False) -> DataFrame:
     """``mix_id, source, share, tokens, max_repeats, rate`` of each source of a mix that has tokens.
 
     ``sizes``: source, n_tokens a document; ``targets``: mix_id, source, weight, max_repeats. Shares are the positive
     weights of the sources that have tokens, scaled to 1; several rows of a source in a mix add their weights and take
-    the least limit. The size of a mix is ``total_tokens``; without it, the largest at which no source needs more
-    repeats than allowed, so that every share is met. A source that would need more is cut at its limit.
+    the least limit. The size of a mix is ``total_tokens`` or, without it, the largest at which no source needs more
+    repeats than allowed, so that every share is met; with ``whole``, it is at least the tokens of its sources. A source
+    that would need more repeats than allowed is cut at its limit, and what it lacks is shared out over the others by
+    weight, as far as their limits go.
     """
     have = sizes.where("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
     t = targets.where("weight > 0 and max_repeats > 0 and source is not null and mix_id is not null").groupBy("mix_id", "source").agg(F.sum("weight").alias("weight"), F.min("max_repeats").alias("max_repeats"))
-    j = t.join(have, "source")
-    of_mix = j.groupBy("mix_id").agg(F.sum("weight").alias("all_weights"), F.min(F.col("max_repeats") * F.col("tokens") / F.col("weight")).alias("least"))
-    size = F.lit(float(total_tokens)) if total_tokens else F.col("least") * F.col("all_weights")
+    j = t.join(have, "source").withColumn("most", F.col("max_repeats") * F.col("tokens").cast("double"))
+    of_mix = j.groupBy("mix_id").agg(F.sum("weight").alias("all_weights"), F.sum("tokens").cast("double").alias("all_tokens"), F.min(F.col("most") / F.col("weight")).alias("least"))
     j = j.join(of_mix, "mix_id").withColumn("share", F.col("weight") / F.col("all_weights"))
-    return j.select("mix_id", "source", "share", "tokens", "max_repeats", F.least(F.col("share") * size / F.col("tokens"), F.col("max_repeats").cast("double")).alias("rate"))
+    if not (total_tokens or whole):
+        wanted = F.col("share") * F.col("least") * F.col("all_weights")
+    else:
+        size = F.lit(float(total_tokens)) if total_tokens else F.greatest("all_tokens", F.col("least") * F.col("all_weights"))
+        mix = Window.partitionBy("mix_id")
+        full = F.col("most") / F.col("weight")
+        first = mix.orderBy(full, "source").rowsBetween(Window.unboundedPreceding, 0)
+        # The mix's size when this source has just reached its limit: it and those before it are full, the others at the same level.
+        at_limit = F.sum("most").over(first) + full * (F.col("all_weights") - F.sum("weight").over(first))
+        j = j.withColumn("full", at_limit <= size)
+        left = size - F.sum(F.when(F.col("full"), F.col("most")).otherwise(0.0)).over(mix)
+        level = left / F.sum(F.when(~F.col("full"), F.col("weight"))).over(mix)
+        wanted = F.when(~F.col("full"), F.col("weight") * level)
+    return j.select("mix_id", "source", "share", "tokens", "max_repeats", F.least(wanted / F.col("tokens"), F.col("max_repeats").cast("double")).alias("rate"))
 
 
 def emit(docs: DataFrame, rate: DataFrame, seed: int = 42) -> DataFrame:

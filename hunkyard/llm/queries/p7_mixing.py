@@ -18,13 +18,13 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     """Every copy of every document of every mix."""
     n = _sizes(spark, d)
-    return emit(n, rates(n, table(spark, d, "mix_targets")))
+    return emit(n, rates(n, table(spark, d, "mix_targets"), whole=True))
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and actual shares of every mix."""
     n = _sizes(spark, d)
-    r = rates(n, table(spark, d, "mix_targets"))
+    r = rates(n, table(spark, d, "mix_targets"), whole=True)
     return shares(emit(n, r), r)
 
 
