@@ -32,6 +32,11 @@ PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 BLOB = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
 LITERAL = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`((?:[^`\\\n]|\\.)*)`')
+# An unquoted value of configuration or of a comment; a line's first sign may be the mark of a patch.
+VALUE = re.compile(r"(?:(?<=[\s=:,;(\[{])|^([+-]?))((?:[A-Za-z0-9+/_-]{16,}={0,2}|(?=[^\s\"'`=:,;(\[{]*(?:%[0-9a-fA-F]{2}|\\[xu0-7]))[^\s\"'`=:,;(\[{]{16,})(?![A-Za-z0-9+/_=%\\-]))")
+# A line that ends with a part of an encoded value, and a line that is such a part as a whole, with its quotes and glue.
+PART_END = re.compile(r"(?:(?<![A-Za-z0-9+/_=-])|(?<==))(?:(?P<blob>[A-Za-z0-9+/_-]{16,}={0,2})[\"'`]{0,3}[ \t]*[\\,+.&]{0,2}|(?<=[\"'`])(?P<quoted>[^\s\"'`]{2,})[\"'`][ \t]*(?:[\\+&]|\.\.?)?)[ \t]*\r?\n")
+PART = re.compile(r"[ \t]*[ \t>*#/]{0,8}?(?:[rbuf]{0,2}([\"'`]{1,3}))?([A-Za-z0-9+/_-]{2,}={0,2}|(?<=[\"'`])[^\s\"'`]{2,})([\"'`]{0,3})[ \t]*[\\,+.&;)\]}]*[ \t]*\r?(?:\n|\Z)")
 GLUE = re.compile(r"\s*(?:\+|\.|&|\.\.)?\s*\Z")
 NAMED = re.compile(r"([A-Za-z_$][\w$.-]*?)[\"']?\]?\s*(?:\??:\s*(?:[&\w<>\[\]' |]+\s*)?=|:=|=>|=|:|\|\||\?\?|,)\s*(?:[rbuf]{0,2}|@)\Z")
 DEFAULTED = re.compile(r"([A-Za-z_$][\w$.-]*)[\"']?\]?\s*\)?\s*(?:\|\||\?\?|or)\s*\Z")
@@ -50,7 +55,10 @@ CANDIDATE = re.compile(
     r"pass|pw|ref\w{0,8}(?::\s*&?\w+)?\s*:?=\s*[\"'`]|secret|token|credential|bearer|basic |clave|contrasena|zugang|schluessel|mot_?de|senha|kennwort|auth|login|log in|works on|is valid|\s-u |--user|rotate|revoke|_?key[\w\"']{0,12}\]?\s*[=:|?,]|key['\"]?\s*(?:\]|\)|\s)|-----begin|identity|_pem|pem\b"
     r"|://[^\s/@:]*:[^\s/@]+@|akia|asia[a-z0-9]{16}|gh[pousr]_|github_pat_|npm_|glpat-|aiza|xox[abeprs]-|[sr]k_(?:live|test)_|pypi-|hf_|qfl_|mbx_|nf:|vq-|eyj|\(\s*['\"`][^'\"`]*\.[^'\"`]*['\"`]\s*,\s*['\"`]|identified by"
     r"|(?:\\x[0-9a-f]{2}){8}|(?:%[0-9a-f]{2}){8}|[a-z0-9+/]{40}"
+    r"|^[+\- ]?[^\S\n]*(?:#|//|--|/\*|\*|;|<!--)[^\n]*?(?:(?<![a-z0-9+/_-])[a-z0-9+/_-]{16}|%[0-9a-f]{2}|\\[xu0-7])",
+    re.M,
 )
+CANDIDATE_CONFIG = re.compile(CANDIDATE.pattern + r"|(?<![a-z0-9+/_-])[a-z0-9+/_-]{16}|%[0-9a-f]{2}|\\[xu0-7]", re.M)
 
 # Words of names that hold secrets, and last words that make a name speak about one.
 SECRET_WORDS = frozenset("password passwd passwort passphrase passcode pwd pw pass secret token credential credentials bearer contrasena clave zugangsschluessel kennwort senha mdp login auth pin".split())
@@ -290,6 +298,12 @@ def line_spans(line: str, config: bool) -> list[tuple[int, int]]:
                 out.append(m.span(2))
             elif not covered(m.start(2)) and re.search(r"(?i)login|auth", m[1]) and _userpass(m[2]):
                 out.append(m.span(2))
+        for m in VALUE.finditer(line):
+            if not covered(m.start(2)):
+                for v, at in ((m[2], m.start(2)), *([(m[0], m.start())] if m[1] else [])):
+                    if not NOT_SECRET.match(v) and encoded(v):
+                        out.append((at, m.end()))
+                        break
     for m in SHELL_DEFAULT.finditer(line):
         if names_secret(m[1]) and strong(m[2]):
             out.append(m.span(2))
@@ -300,32 +314,72 @@ def line_spans(line: str, config: bool) -> list[tuple[int, int]]:
     return out
 
 
+def blocks(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """Encoded credentials over several lines: start of the first line, end of the last, and the spans of the parts.
+
+    Joined are lines of nothing but a part of the value, with quotes and glue around, and the end of the line in front.
+    In a patch, the old and the new side are joined each for itself.
+    """
+    done = 0
+    for m in PART_END.finditer(text):
+        if m.start() < done:
+            continue
+        quoted = m["blob"] is None
+        parts, at = [m.span(m.lastgroup or 0)], m.end()
+        first = text.rfind("\n", 0, m.start()) + 1
+        marks = [text[first : first + 1]]
+        if parts[0][0] == first and marks[0] in "+-":  # the mark of a patch, unless lines below have none
+            parts[0] = (first + 1, parts[0][1])
+        while at < len(text):
+            mark = text[at] if text[at] in "+- " else ""
+            p = PART.match(text, at + len(mark))
+            if not p or quoted and not p[1] or "-----" in p[0]:
+                break
+            parts.append(p.span(2))
+            marks.append(mark)
+            at = p.end()
+        if len(parts) < 2:
+            continue
+        done = at
+        if not all(x in "+- " and x for x in marks):  # no patch: such a sign is part of the value
+            parts = [(a - 1, b) if a and text[a - 1] in "+-" and (a == 1 or text[a - 2] == "\n") else (a, b) for a, b in parts]
+            marks = [" "] * len(parts)
+        for other in "-+" if "-" in marks and "+" in marks else " - ":
+            side = [x for x, k in zip(parts, marks) if k != other or other == " "]
+            # The line in front may end with a word that is no part; the last lines may be code already.
+            hit = next((h for h in (side, side[1:], side[:-1]) if len(h) > 1 and _joined(text, h)), None)
+            if hit:
+                yield text.rfind("\n", 0, hit[0][0]) + 1, hit[-1][1], hit
+            if other == " ":
+                break
+
+
+def _joined(text: str, parts: list[tuple[int, int]]) -> bool:
+    v = "".join(text[a:b] for a, b in parts)
+    return len(v) >= 16 and not NOT_SECRET.match(v) and encoded(v)
+
+
 CONFIG = re.compile(r"(?i)(?:\.(?:env|local|ini|ya?ml|toml|cfg|conf|properties|md|sh|bash|txt|json|tfvars|http)|(?:^|/)\.env[\w.]*|dockerfile)$")
 
 
 def find(text: str, path: str | None) -> list[tuple[int, list[tuple[int, int]]]]:
     """Line numbers from 1 with a credential, each with the spans of the whole text to mask.
 
-    A key block over several lines counts at its first line; its body lines are spans of that line too.
+    A key block or an encoded value over several lines counts at its first line; its other lines are spans of that line too.
     """
     low = text.lower()
     if len(low) != len(text):  # a letter whose small form is longer
         low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
     config = bool(path and CONFIG.search(path))
-    out: list[tuple[int, list[tuple[int, int]]]] = []
-    line_no = 0
+    gate = CANDIDATE_CONFIG if config else CANDIDATE
+    lines: dict[int, list[tuple[int, int]]] = {}
+    keys: list[tuple[int, int]] = []
     skip_to = -1
-    counted = 0
     at = 0
-    while True:
-        m = CANDIDATE.search(low, at)
-        if not m:
-            return out
+    while m := gate.search(low, at):
         a = text.rfind("\n", 0, m.start()) + 1
         b = text.find("\n", m.end())
         b = len(text) if b < 0 else b
-        line_no += text.count("\n", counted, a)
-        counted = a
         at = b + 1
         if a < skip_to:
             continue
@@ -337,13 +391,25 @@ def find(text: str, path: str | None) -> list[tuple[int, list[tuple[int, int]]]]
             spans: list[tuple[int, int]] = []
             if pem:
                 spans, skip_to = _key_block(text, a + pem.end(), e)
+                keys.append((a, skip_to))
             if not spans:
                 spans = [(a + s, a + t) for s, t in line_spans(line, config)]
             if spans:
-                out.append((line_no + 1 + text.count("\n", counted, a), spans))
+                lines[a] = spans
             if skip_to > e:
                 break
             a = e + 1
+    for start, end, spans in blocks(text):
+        if not any(a <= start < b for a, b in keys):
+            for a in [a for a in lines if start < a <= end]:
+                spans = spans + lines.pop(a)
+            lines[start] = lines.get(start, []) + spans
+    out, line_no, counted = [], 1, 0
+    for a in sorted(lines):
+        line_no += text.count("\n", counted, a)
+        counted = a
+        out.append((line_no, lines[a]))
+    return out
 
 
 def _key_block(text: str, start: int, line_end: int) -> tuple[list[tuple[int, int]], int]:

@@ -69,3 +69,42 @@ def test_table(spark):
     got = sorted(tuple(r) for r in scan(df.drop("row_id"), "id", "p", ["a", "b"]).collect())
     assert got == [("a", 1, 1), ("a", 1, 1), ("a", 3, 2), ("b", 3, 3)]
     assert scan(df.drop("row_id").limit(0), "id", "p", ["a", "b"]).count() == 0
+
+
+def b64(s):
+    return base64.b64encode(s.encode()).decode()
+
+
+URL_B64 = b64("postgres://svc_a:Mosaic!Meadow83@db.internal.net:5432/app?pool=20&ssl=require")
+DER = base64.b64encode(b"\x30\x81\x93\x02\x01\x00\x30\x0d\x06\x09\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01\x05\x00\x04\x7f" + bytes(range(127))).decode()
+
+
+def test_encoded_values_without_quotes():
+    for path, x in [("a.env", f"DB_URL_B64={URL_B64}"), ("a.yaml", f"  dsn: {URL_B64}"), ("a.yaml", f"+{URL_B64}"), ("a.properties", "dsn = postgres%3A%2F%2Fsvc_a%3AMosaic!Meadow83%40db.internal.net"), ("a.py", f"# dsn was {URL_B64}"), ("a.yaml", f"  blob: {DER}")]:
+        hits = find("first\n" + x + "\nlast", path)
+        assert [n for n, _ in hits] == [2], x
+        assert URL_B64 not in mask("first\n" + x + "\nlast", hits) and find(mask("first\n" + x + "\nlast", hits), path) == []
+    for path, x in [("a.yaml", "path: /usr/local/share/app/config"), ("a.yaml", f"note: {b64('the quick brown fox jumps over')}"), ("a.py", f"dsn = {URL_B64}")]:
+        assert find(x, path) == [], x
+
+
+def test_encoded_values_over_several_lines():
+    for v in (URL_B64, DER):
+        parts = [v[i : i + 24] for i in range(0, len(v), 24)]
+        for path, t in [
+            ("a.py", 'x = """' + "\n".join(parts) + '"""\n'),
+            ("a.py", "first\nx = (\n" + "\n".join(f'    "{p}"' for p in parts) + "\n)\n"),
+            ("a.js", "x = " + " +\n  ".join(f"'{p}'" for p in parts) + ";\n"),
+            ("a.js", "x = " + " +\n  ".join(f"'{v[i:i + 8]}'" for i in range(0, len(v), 8)) + ";\n"),
+            ("a.yaml", "data:\n  url: |\n" + "".join(f"    {p}\n" for p in parts) + "  other: 1\n"),
+            ("a.yaml", "@@ -1 +1,9 @@\n data:\n+  url: >-\n" + "".join(f"+    {p}\r\n" for p in parts) + "+  other: 1\n"),
+        ]:
+            hits = find(t, path)
+            first = 1 + t[: t.index(parts[0][:8])].count("\n")
+            assert [n for n, _ in hits] == [first], t
+            m = mask(t, hits)
+            assert not any(p in m for p in parts if len(p) > 8) and m.count("\n") == t.count("\n") and find(m, path) == []
+    words = 'x = [\n    "alphabetical_order_of_names"\n    "reverse_order_of_the_names"\n]\n'
+    assert find(words, "a.py") == []
+    both = "@@ -1,3 +1,3 @@\n" + "".join(f"-  {p}\n+  {q}\n" for p, q in zip([b64("x" * 60)[:40], b64("x" * 60)[40:]], [URL_B64[:60], URL_B64[60:]]))
+    assert [n for n, _ in find(both, "a.yaml")] == [3]
