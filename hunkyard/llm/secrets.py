@@ -180,18 +180,15 @@ def layers(v: str) -> Iterator[str | bytes]:
 
 
 def _inner(v: str, depth: int = 0) -> bool:
-    """Whether a decoded text holds a credential that shows without a name of its own."""
-    if TOKEN.search(v) and not placeholder(TOKEN.search(v)[0]):  # type: ignore[index]
-        return True
+    """Whether a decoded text holds a credential: it is scanned as configuration, its own encoded parts too, up to the depth limit."""
     if PEM.search(v) and re.search(r"-----(?:\\n|\s)*[A-Za-z0-9+/=\s\\]{40,}", v):
         return True
-    m = URL.search(v)
-    if m and not placeholder(m[2]):
+    if any(_own(x) for x in v.split("\n")):
         return True
     for m in BARE.finditer(v):
         if names_secret(m[1]) and strong(m[2]):
             return True
-    return depth < MAX_LAYERS and encoded(v, depth + 1)
+    return bool(find(v, DECODED, depth)) or depth < MAX_LAYERS and encoded(v, depth + 1)
 
 
 def encoded(v: str, depth: int = 1) -> bool:
@@ -220,23 +217,26 @@ def _userpass(v: str) -> bool:
 
 def _own(v: str) -> tuple[int, int] | None:
     """The part of a literal that is a credential whatever its name."""
-    m = TOKEN.search(v)
-    if m and not placeholder(m[0]) and not NOT_SECRET.match(v):
-        return m.span()
-    m = URL.search(v)
-    if m and not placeholder(m[2]):
-        return m.span(2)
-    m = AUTH.search(v)
-    if m and not placeholder(m[2]) and (basic(m[2]) if m[1].lower() == "basic" else re.search(r"\d", m[2]) and len(m[2]) >= 12 or PHRASE.match(m[2]) or strong(m[2]) and m[1].lower() == "bearer"):
-        return m.span(2)
-    m = HEADER.search(v)
-    if m and not placeholder(m[2]) and m[2].lower() not in ("bearer", "basic", "token") and strong(m[2]) and re.search(r"\d|[-!%].*[-!%]", m[2]):
-        return m.span(2)
+    for m in TOKEN.finditer(v):
+        if not placeholder(m[0]) and not NOT_SECRET.match(v):
+            return m.span()
+    for m in URL.finditer(v):
+        if not placeholder(m[2]):
+            return m.span(2)
+    for m in AUTH.finditer(v):
+        if not placeholder(m[2]) and (basic(m[2]) if m[1].lower() == "basic" else re.search(r"\d", m[2]) and len(m[2]) >= 12 or PHRASE.match(m[2]) or strong(m[2]) and m[1].lower() == "bearer"):
+            return m.span(2)
+    for m in HEADER.finditer(v):
+        if not placeholder(m[2]) and m[2].lower() not in ("bearer", "basic", "token") and strong(m[2]) and re.search(r"\d|[-!%].*[-!%]", m[2]):
+            return m.span(2)
     return None
 
 
-def line_spans(line: str, config: bool) -> list[tuple[int, int]]:
-    """The parts of one line that are credentials; ``config``: names and values stand there without quotes."""
+def line_spans(line: str, config: bool, depth: int = 0) -> list[tuple[int, int]]:
+    """The parts of one line that are credentials; ``config``: names and values stand there without quotes.
+
+    ``depth`` is the number of encodings that were taken off to get this line.
+    """
     out: list[tuple[int, int]] = []
     groups: list[list[tuple[int, int, str]]] = []
     quotes: list[tuple[int, int]] = []
@@ -275,8 +275,8 @@ def line_spans(line: str, config: bool) -> list[tuple[int, int]]:
                 hit = issued(v)
             elif name and names_secret(name) is False and re.search(r"(?i)\b(?:user|login)\w*['\"]?\s*[:=]", before) and name.lower() in ("pass", "pw"):
                 hit = strong(v)
-            if not hit and len(v) >= 16 and ("\\" in v or "%" in v or BLOB.fullmatch(v)):
-                hit = encoded(v)
+            if not hit and depth < MAX_LAYERS and len(v) >= 16 and ("\\" in v or "%" in v or BLOB.fullmatch(v)):
+                hit = encoded(v, depth + 1)
             if not hit and LOGIN.search(line) and re.search(r"`[\w.-]+`\s+(?:and|/|with)\s+$", before):
                 hit = issued(v)
         if hit:
@@ -299,9 +299,9 @@ def line_spans(line: str, config: bool) -> list[tuple[int, int]]:
             elif not covered(m.start(2)) and re.search(r"(?i)login|auth", m[1]) and _userpass(m[2]):
                 out.append(m.span(2))
         for m in VALUE.finditer(line):
-            if not covered(m.start(2)):
+            if depth < MAX_LAYERS and not covered(m.start(2)) and not (depth and m[2] == line):  # a whole text is decoded by whoever decoded it
                 for v, at in ((m[2], m.start(2)), *([(m[0], m.start())] if m[1] else [])):
-                    if not NOT_SECRET.match(v) and encoded(v):
+                    if not NOT_SECRET.match(v) and encoded(v, depth + 1):
                         out.append((at, m.end()))
                         break
     for m in SHELL_DEFAULT.finditer(line):
@@ -314,7 +314,7 @@ def line_spans(line: str, config: bool) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+def blocks(text: str, depth: int = 0) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
     """Encoded credentials over several lines: start of the first line, end of the last, and the spans of the parts.
 
     Joined are lines of nothing but a part of the value, with quotes and glue around, and the end of the line in front.
@@ -347,22 +347,25 @@ def blocks(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
         for other in "-+" if "-" in marks and "+" in marks else " - ":
             side = [x for x, k in zip(parts, marks) if k != other or other == " "]
             # The line in front may end with a word that is no part; the last lines may be code already.
-            hit = next((h for h in (side, side[1:], side[:-1]) if len(h) > 1 and _joined(text, h)), None)
+            hit = next((h for h in (side, side[1:], side[:-1]) if len(h) > 1 and _joined(text, h, depth)), None)
             if hit:
                 yield text.rfind("\n", 0, hit[0][0]) + 1, hit[-1][1], hit
             if other == " ":
                 break
 
 
-def _joined(text: str, parts: list[tuple[int, int]]) -> bool:
+def _joined(text: str, parts: list[tuple[int, int]], depth: int) -> bool:
     v = "".join(text[a:b] for a, b in parts)
-    return len(v) >= 16 and not NOT_SECRET.match(v) and encoded(v)
+    return depth < MAX_LAYERS and len(v) >= 16 and not NOT_SECRET.match(v) and encoded(v, depth + 1)
 
 
 CONFIG = re.compile(r"(?i)(?:\.(?:env|local|ini|ya?ml|toml|cfg|conf|properties|md|sh|bash|txt|json|tfvars|http)|(?:^|/)\.env[\w.]*|dockerfile)$")
 
 
-def find(text: str, path: str | None) -> list[tuple[int, list[tuple[int, int]]]]:
+DECODED = ".env"  # as if a decoded text were a file of this name
+
+
+def find(text: str, path: str | None, depth: int = 0) -> list[tuple[int, list[tuple[int, int]]]]:
     """Line numbers from 1 with a credential, each with the spans of the whole text to mask.
 
     A key block or an encoded value over several lines counts at its first line; its other lines are spans of that line too.
@@ -393,13 +396,13 @@ def find(text: str, path: str | None) -> list[tuple[int, list[tuple[int, int]]]]
                 spans, skip_to = _key_block(text, a + pem.end(), e)
                 keys.append((a, skip_to))
             if not spans:
-                spans = [(a + s, a + t) for s, t in line_spans(line, config)]
+                spans = [(a + s, a + t) for s, t in line_spans(line, config, depth)]
             if spans:
                 lines[a] = spans
             if skip_to > e:
                 break
             a = e + 1
-    for start, end, spans in blocks(text):
+    for start, end, spans in blocks(text, depth):
         if not any(a <= start < b for a, b in keys):
             for a in [a for a in lines if start < a <= end]:
                 spans = spans + lines.pop(a)
