@@ -51,15 +51,6 @@ PAIR = re.compile(r"[\s`'\"(](?:[a-z]+_[a-z_]+|[a-z]+)\s+/\s+(\S{6,})\s+(?:works
 USER_FLAG = re.compile(r"(?:\s-u|--user)[ =]['\"]?[\w.-]+:([^\s'\"]{6,})")
 ROTATE = re.compile(r"(?i)\b(?:rotate|revoke|expire)\s+(\S{16,})")
 COMMENT = re.compile(r"^[+\- ]?\s*(?:#|//|--|/\*|\*|;|<!--)")
-CANDIDATE = re.compile(
-    r"pass|pw|ref\w{0,8}(?::\s*&?\w+)?\s*:?=\s*[\"'`]|secret|token|credential|bearer|basic |clave|contrasena|zugang|schluessel|mot_?de|senha|kennwort|auth|login|log in|works on|is valid|\s-u |--user|rotate|revoke|_?key[\w\"']{0,12}\]?\s*[=:|?,]|key['\"]?\s*(?:\]|\)|\s)|-----begin|identity|_pem|pem\b"
-    r"|://[^\s/@:]*:[^\s/@]+@|akia|asia[a-z0-9]{16}|gh[pousr]_|github_pat_|npm_|glpat-|aiza|xox[abeprs]-|[sr]k_(?:live|test)_|pypi-|hf_|qfl_|mbx_|nf:|vq-|eyj|\(\s*['\"`][^'\"`]*\.[^'\"`]*['\"`]\s*,\s*['\"`]|identified by"
-    r"|(?:\\x[0-9a-f]{2}){8}|(?:%[0-9a-f]{2}){8}|[a-z0-9+/]{40}"
-    r"|^[+\- ]?[^\S\n]*(?:#|//|--|/\*|\*|;|<!--)[^\n]*?(?:(?<![a-z0-9+/_-])[a-z0-9+/_-]{16}|%[0-9a-f]{2}|\\[xu0-7])",
-    re.M,
-)
-CANDIDATE_CONFIG = re.compile(CANDIDATE.pattern + r"|(?<![a-z0-9+/_-])[a-z0-9+/_-]{16}|%[0-9a-f]{2}|\\[xu0-7]", re.M)
-
 # Words of names that hold secrets, and last words that make a name speak about one.
 SECRET_WORDS = frozenset("password passwd passwort passphrase passcode pwd pw pass secret token credential credentials bearer contrasena clave zugangsschluessel kennwort senha mdp login auth pin".split())
 SECRET_PAIRS = frozenset("api_key apikey service_key signing_key license_key hmac_key deploy_key tls_key client_key private_key secret_key access_key encryption_key master_key ssh_key server_key account_key key_material mot_de mot_passe ssh_identity server_pem signing_pem storage_key session_key jwt_key aes_key".split())
@@ -76,6 +67,30 @@ UUID = re.compile(r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
 STRONG = re.compile(r"^(?:(?=.*\d)(?=.*[A-Za-z])[A-Za-z0-9+/_=.!%$#@^&*~:-]{8,})$")
 
 
+def _words() -> str:
+    """What the name of a secret has in it, in small letters: a word of the list, or a pair with no letter between."""
+    words: list[str] = []
+    for w in sorted(SECRET_WORDS, key=lambda w: (len(w), w)):
+        if not any(k in w for k in words):
+            words.append(w)
+    pairs: dict[str, list[str]] = {}
+    for a, b in (p.split("_") for p in sorted(SECRET_PAIRS) if "_" in p):
+        pairs.setdefault(b, []).append(a)
+    return "|".join([*words, *(f"(?:{'|'.join(a)})[^a-z\\s]*{b}" for b, a in pairs.items())])
+
+
+# Lines that any rule below can hit, in small letters: all others are passed over. Wider than the rules, never narrower.
+CANDIDATE = re.compile(
+    _words() + r"|basic|log in|key\s|x-[a-z-]*key|identified\s+by|(?:rotate|revoke|expire)\s|\s-u[ =]|--user[ =]|[a-z]\s+/\s+\S|ref\w*[\"']?\]?\s*\)?\s*(?:[:=,|?\"'`]|or\b)"
+    r"|\(\s*['\"`][^'\"`\n]*\.[^'\"`\n]*['\"`]\s*,\s*['\"`]|://[^\s/@:]*:[^\s/@]+@|-----begin"
+    r"|akia|asia[a-z0-9]{16}|gh[pousr]_|github_pat_|npm_|glpat-|aiza|xox[abeprs]-|[sr]k_(?:live|test)_|pypi-|sg\.[\w-]{16}|hf_|dop_v1_|shpat_|qfl_|mbx_|nf:|vq-|eyj"
+    r"|\\|%[0-9a-f]{2}|[\"'`](?:[a-z0-9+/_-]{16,}={0,2}|\s*(?:\+|\.\.?|&)?\s*)[\"'`]"
+    r"|^[+\- ]?[^\S\n]*(?:#|//|--|/\*|\*|;|<!--)[^\n]*?(?<![a-z0-9+/_-])[a-z0-9+/_-]{16}",
+    re.M,
+)
+CANDIDATE_CONFIG = re.compile(CANDIDATE.pattern + r"|(?<![a-z0-9+/_-])[a-z0-9+/_-]{16}", re.M)
+
+
 @lru_cache(50_000)
 def names_secret(name: str) -> bool:
     """Whether a variable, key or option of this name holds a secret, rather than speaks about one."""

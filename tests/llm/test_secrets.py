@@ -1,6 +1,7 @@
 import base64
+import re
 
-from hunkyard.llm.secrets import find, key_container, mask, scan
+from hunkyard.llm.secrets import SECRET_PAIRS, SECRET_WORDS, find, key_container, mask, scan
 
 JWT = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiAic3ZjLTgyIn0xxxx.u44XM8Vslz4B4-jKa5OQjCVEpulrFpjBPcn8FO9"
 BODY = "q8w3eR5tY7uI9oP1aS3dF5gH7jK9lZ1xC3vB5nM7qW9eR1tY3uI5oP7aS9dF1gH3"
@@ -134,3 +135,37 @@ def test_decoded_texts_are_scanned_like_plain_ones():
         deep = b64(deep)
     assert find(f'blob = "{deep}"', "a.py") == []
     assert [n for n, _ in find('urls = "postgres://u:changeme@a.internal postgres://u:Mosaic!Meadow83@db.internal"', "a.py")] == [1]
+
+
+GATED = [
+    'mdp = "Xk9!vb2q"',
+    'user_pin = "83k!02zq"',
+    'userPinValue = "83k!02zq"',
+    'blob = "' + b64("pw=Mosaic!83") + '"',
+    'blob = "' + base64.urlsafe_b64encode(b"pw=Mosaic!83?>?>?>~~~").decode() + '"',
+    'blob = "' + "".join(f"\\u{ord(c):04x}" for c in "pw=Mosaic!83") + '"',
+    'blob = "' + "".join(f"\\{ord(c):03o}" for c in "pw=Mosaic!83") + '"',
+    'blob = "' + b64("pw=Mosaic!83")[:8] + '" + "' + b64("pw=Mosaic!83")[8:] + '"',
+    'dsn = "postgres:\\/\\/svc_a:Mosaic!Meadow83@db.internal"',
+    'x = "SG.' + "aB3dE5gH7jK9mN1p" + "." + "qR2sT4uV6wX8yZ0aB2cD" + '"',
+    "# expire aB3dE5gH7jK9mN1pQ4",
+    'build_ref => "aB3dE5gH7jK9mN1pQ4"',
+]
+
+
+def every_line(monkeypatch):
+    from hunkyard.llm import secrets
+
+    monkeypatch.setattr(secrets, "CANDIDATE", re.compile(r"[^\n]"))
+    monkeypatch.setattr(secrets, "CANDIDATE_CONFIG", re.compile(r"[^\n]"))
+
+
+def test_the_gate_drops_no_line(monkeypatch):
+    texts = ["first\n" + x + "\nlast" for x in HITS + CLEAN + GATED]
+    for t in texts[len(HITS + CLEAN) :]:
+        assert [n for n, _ in find(t, "a.py")] == [2], t
+    names = [w for p in sorted(SECRET_WORDS | SECRET_PAIRS) for w in (p, p.upper(), "my" + p.title().replace("_", ""), p.replace("_", "-") + "_2")]
+    texts += [f'{n} {sep} "Xk9!vb2q77"' for n in names for sep in "=:"] + [f"{n}=Xk9!vb2q77" for n in names] + ["${" + n + ":-Xk9!vb2q77}" for n in names]
+    with_gate = [find(t, p) for t in texts for p in ("a.py", "a.env")]
+    every_line(monkeypatch)
+    assert [find(t, p) for t in texts for p in ("a.py", "a.env")] == with_gate
