@@ -23,6 +23,7 @@ EXPANSION = 6.0
 UNIFORM = 0.5
 LITERAL = 0.75
 WEAK_LINES = 4
+HEAD_LINES = 12
 
 # Names by which lock files and the outputs of tools are known.
 LOCK = re.compile(r"(?i)(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|pnpm-lock\.ya?ml|go\.sum|[\w.-]+\.lock|[\w.-]+[.-]lock\.(?:json|ya?ml|toml|hcl)|\.terraform\.lock\.hcl|\.pnp\.c?js)$")
@@ -32,7 +33,7 @@ VERSIONED = re.compile(r"[-_.]v?\d+\.\d+\.\d+(?:\.min)?\.(?:js|css|py|php|c|h|go
 CONFIG = re.compile(r"(?i)(?:\.(?:ya?ml|ini|toml|cfg|conf|properties|md|txt|json|html?|xml|sql|sh|csv)|\.env[\w.]*|\.local)$")
 MADE = re.compile(
     r"(?i)^\W*(?:code generated by|generated by|generated (?:from|with)|auto-?generated|automatically generated|<auto-generated|@+generated|archivo generado|diese datei wurde automatisch|(?:ce )?fichier (?:a [ée]t[ée] )?g[ée]n[ée]r|machine-made by|produced by \S+ from|output of \S+ v?\d"
-    r"|this (?:class|file|module|code) (?:is|was) (?:\w+ )?(?:written|generated|produced|created) (?:by|from)|any manual change here|do not (?:edit|modify)(?: by hand)?\b)|自动生成|自動生成|生成されました"
+    r"|this (?:class|file|module|code) (?:is|was) (?:\w+ )?(?:written|generated|produced|created) (?:by|from)|any manual change here|do not (?:edit|modify)(?: by hand)?\b(?! the licen))|自动生成|自動生成|生成されました"
 )
 BANNER = re.compile(r"(?i)^\W*([\w.-]+)[,]?\s+v?\d+\.\d+(?:\.\d+)*\b(?:.*\b(?:licen[cs]e|MIT|BSD|ISC|MPL|Apache|GPL|zlib)\b|\s*(?:\*/)?\s*$)")
 CONTRIBUTORS = re.compile(r"(?i)\(c\)\s+[\d, -]+\s+(?:the\s+)?([\w.-]+)\s+(?:contributors|authors|project)")
@@ -40,6 +41,8 @@ CONTRIBUTORS = re.compile(r"(?i)\(c\)\s+[\d, -]+\s+(?:the\s+)?([\w.-]+)\s+(?:con
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`")
 _NUMBER = re.compile(r"(?<![\w.])-?(?:0x[0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)")
 _COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|--|<!--|;|\"\"\"|''')")
+_BLOCKS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
+_PREAMBLE = re.compile(r"<\?(?:php|xml)\b[^<]*$|['\"]use strict['\"];?$|<!doctype\b[^<]*$", re.I)
 _WORD = re.compile(r"[A-Za-z_]+")
 _DIGITS = re.compile(r"\d+")
 _RUN = re.compile(r"a(?:[ .|?:]*a)*")
@@ -53,6 +56,21 @@ def new_side(patch: str) -> str:
     return "\n".join(keep if any(x.strip() for x in keep) else [x[1:] for x in lines])
 
 
+def leading_comments(lines: list[str]) -> int:
+    """The number of stripped lines before the first one of code; the lines inside a block comment need no mark."""
+    end = ""
+    for i, x in enumerate(lines):
+        if end:
+            end = "" if end in x else end
+            continue
+        if not _COMMENT.match(x) and not _PREAMBLE.match(x):
+            return i
+        for a, b in _BLOCKS.items():
+            if x.startswith(a) and b not in x[len(a) :]:
+                end = b
+    return len(lines)
+
+
 def canonical_lines(text: str) -> int:
     """The number of lines of the text's canonical layout: one statement or brace a line."""
     bare = _STRING.sub("s", text)
@@ -104,7 +122,7 @@ def judge(path: str, text: str | None, own: str) -> tuple[str | None, bool]:
         return ("generated" if TOOL_NAME.search(path) else None), bool(TOOL_NAME.search(path))
     every = [x.strip() for x in text.replace("\r", "").split("\n")]
     every = [x for x in every if x]
-    head = [x for x in every[:12] if _COMMENT.match(x)]
+    head = [x for i, x in enumerate(every[: max(HEAD_LINES, leading_comments(every))]) if _COMMENT.match(x) or i >= HEAD_LINES]
     for x in head:
         if MADE.search(x) and '"' not in x.strip('"'):
             return "generated", True

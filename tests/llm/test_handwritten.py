@@ -42,3 +42,16 @@ def test_table(spark):
     got = sorted((r.diff_id, r.kind or "") for r in classify(df).collect())
     assert got == [(1, "generated"), (1, "generated"), (2, "generated"), (3, ""), (4, ""), (5, "")]
     assert classify(df.limit(0)).count() == 0
+
+
+def test_banner_below_a_long_licence():
+    licence = [f"Licence text {'and so on ' * (i * 7 % 5)}in prose." for i in range(40)] + ["do not modify the License. You may add notices."]
+    say = lambda p, t: judge(p, t, "acme")[0]
+    for mark in ("# ", "// "):
+        head = "".join(f"{mark}{x}\n\n" for x in licence)
+        assert say("a.py", head + mark + "Code generated by protoc. DO NOT EDIT.\n" + HAND) == "generated"
+        assert say("a.py", head + HAND) is None
+    block = "/*\n" + "\n".join(licence)
+    assert say("a.js", block + "\nCode generated by protoc. DO NOT EDIT.\n*/\n" + HAND) == "generated"
+    assert say("a.js", "<?php\n" + block + "\n*/\n// foolib v1.2.3\n" + HAND) == "vendored"
+    assert say("a.js", block + "\n*/\n" + HAND + "// Code generated by protoc. DO NOT EDIT.\n") is None
