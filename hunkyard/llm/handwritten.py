@@ -1,7 +1,7 @@
 """Generated, minified, vendored and data files among changed files.
 
-Method: each file is lexed, its canonical layout is derived and compared with the original one: extreme expansion marks
-minified code, perfect uniformity generated code, dominance of literals data. Vendored copies show by the banner of
+Method: line measures stand in for lexing and a canonical layout: many statements a line mark minified code, series of
+one shape generated code, dominance of literals data. Vendored copies show by the banner of
 another project, by the package folder they lie in or by the package's name in front of their functions. Texts are read
 once, in a pass without a shuffle whose few columns are written down; only a row whose own text says too little takes
 the verdict of other rows of the same file.
