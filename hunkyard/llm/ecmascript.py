@@ -37,6 +37,10 @@ _BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![0-9a-fA-F]{2})|u(?!\{[0-9a-
 _CLASS = re.compile(r"\\.|\[(?:[^\]\\]|\\.)*\]")
 
 
+# Frames of the parser for texts nested too deeply for the usual limit.
+MAX_FRAMES = 400_000
+
+
 class Bad(Exception):
     """Why a text does not parse."""
 
@@ -1447,9 +1451,18 @@ def problem(text: str, ts: bool) -> str | None:
     if sys.getrecursionlimit() < 20_000:
         sys.setrecursionlimit(20_000)
     try:
-        Parser(text, ts).program()
+        parser = Parser(text, ts)
+        try:
+            parser.program()
+        except RecursionError:  # a limit of this parser, not of the grammar; its frames take no C stack
+            usual = sys.getrecursionlimit()
+            sys.setrecursionlimit(MAX_FRAMES)
+            try:
+                Parser(text, ts).program()
+            except RecursionError:  # the lexer with its stack found nothing
+                return None
+            finally:
+                sys.setrecursionlimit(usual)
     except Bad as e:
         return "merge conflict" if str(e) == "syntax" and re.search(r"(?m)^(?:<{7} |>{7} |={7}\r?$)", text) else str(e)
-    except RecursionError:
-        return "nested too deeply"
     return None

@@ -8,9 +8,11 @@ confirmed by it, so that only texts outside the grammar are flagged. One pass wi
 from __future__ import annotations
 
 import ast
+import io
 import json
 import re
 import textwrap
+import tokenize
 import warnings
 from collections.abc import Iterator
 
@@ -138,8 +140,37 @@ def _python_ok(text: str) -> bool:
         try:
             ast.parse(text.removeprefix("\ufeff"))
             return True
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
+        except (SyntaxError, ValueError):
             return False
+        except (RecursionError, MemoryError):  # limits of that parser, not of the grammar
+            return _python_deep_ok(text.removeprefix("\ufeff"))
+
+
+def _python_deep_ok(text: str) -> bool:
+    """The verdict on a text too deep for the parser: its top statements one by one, those too deep by their tokens and brackets."""
+    if _python_stack(text):
+        return False
+    starts, fresh, decorated = [], True, False
+    try:
+        for t in tokenize.generate_tokens(io.StringIO(text).readline):
+            if t.type in (tokenize.COMMENT, tokenize.NL, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER):
+                continue
+            if fresh and t.start[1] == 0 and t.string not in ("elif", "else", "except", "finally"):
+                if not decorated:
+                    starts.append(t.start[0] - 1)
+                decorated = t.string == "@"
+            fresh = t.type == tokenize.NEWLINE
+    except (tokenize.TokenError, SyntaxError):
+        return False
+    lines = io.StringIO(text).readlines()
+    for a, b in zip(starts, [*starts[1:], len(lines)]):
+        try:
+            ast.parse("".join(lines[a:b]))
+        except (SyntaxError, ValueError):
+            return False
+        except (RecursionError, MemoryError):
+            continue
+    return True
 
 
 def problem(text: str | None, lang: str | None, snippet: bool = False) -> str | None:

@@ -74,3 +74,16 @@ def test_table(spark):
     assert got == [(1, "python", "premature end"), (1, "python", "premature end"), (3, "json", "premature end")]
     assert flag(df, "id", "t", "p", "l", "content", "repo").count() == 4
     assert flag(df.limit(0), "id", "t", "p", "l", "content", "repo").count() == 0
+
+
+def test_limits_of_the_parsers_are_no_errors():
+    chain = "if a:\n    b\n" + "elif a:\n    b\n" * 6000
+    calls = "x = a" + ".f()" * 6000 + "\n"
+    for t in (chain, calls, "@d\ndef f():\n    pass\n\n" + chain + "else:\n    c\n" + calls):
+        assert problem(t, "python") is None
+        assert problem(t + "y = 3 +\n", "python") == "syntax" and problem(t + "y = (3\n", "python") == "premature end" and problem("def f(:\n  pass\n" + t, "python")
+        assert problem(t + "if a:\n    b\n  c\n", "python")
+    deep = "x = " + "[" * 9000 + "]" * 9000
+    assert problem(deep, "javascript") is None and problem(deep, "typescript") is None
+    assert problem(deep + "; y = 3 +;", "javascript") == "syntax" and problem(deep[:-1], "javascript")
+    assert problem("x = " + "[" * 9000 + "1 2" + "]" * 9000, "javascript") == "syntax"
