@@ -19,6 +19,7 @@ from hunkyard.operators.colocate import map_groups
 SALTS = 32
 LIST_LIMIT = 10_000
 SLOT_BLOCK = 10_000
+KEEP_PARTS = 64
 
 
 def fill(capacity: int, lengths: dict[int, int]) -> dict[int, int]:
@@ -117,5 +118,9 @@ def pack(items: DataFrame) -> DataFrame:
 def keep(pieces: DataFrame, limits: DataFrame) -> DataFrame:
     """``grp, bin, tokens, chunk_no`` of the containers kept: the fullest ``max_chunks`` of each group, from 1."""
     bins = pieces.groupBy("grp", "bin").agg(F.sum("tokens").alias("tokens"), F.min("item").alias("least")).join(limits, "grp")
-    w = Window.partitionBy("grp").orderBy(F.desc("tokens"), "least", "bin")
+    # a hot group's containers are ranked in parts first, so that one task gets no more than max_chunks of each part
+    order = [F.desc("tokens"), F.asc("least"), F.asc("bin")]
+    bins = bins.withColumn("part", F.pmod(F.xxhash64("bin"), F.lit(KEEP_PARTS)))
+    bins = bins.withColumn("in_part", F.row_number().over(Window.partitionBy("grp", "part").orderBy(*order))).where(F.col("in_part") <= F.col("max_chunks"))
+    w = Window.partitionBy("grp").orderBy(*order)
     return bins.withColumn("chunk_no", F.row_number().over(w)).where(F.col("chunk_no") <= F.col("max_chunks")).select("grp", "bin", "tokens", "chunk_no")

@@ -55,3 +55,14 @@ def test_table(spark):
     kept = keep(pack(df), lim).collect()
     assert sorted(x.chunk_no for x in kept if x.grp == "a#1") == [1, 2, 3, 4, 5] and sum(x.grp == "hot#1" for x in kept) == 2
     assert pack(df.limit(0)).count() == 0
+
+
+def test_containers_of_a_hot_group_are_ranked_in_parts(spark):
+    n, most = 5000, 7
+    pieces = spark.range(n).selectExpr("if(id % 50 = 0, 'b', 'hot') as grp", "id as item", "cast(id * 7919 % 1000 as bigint) as tokens", "concat('#', id) as bin")
+    kept = keep(pieces, spark.createDataFrame([("hot", most), ("b", 1000)], "grp string, max_chunks int"))
+    rows = sorted(((-(i * 7919 % 1000), i) for i in range(n) if i % 50), key=lambda x: x)
+    assert [(x.bin, x.chunk_no) for x in kept.where("grp = 'hot'").orderBy("chunk_no").collect()] == [(f"#{i}", k) for k, (_, i) in enumerate(rows[:most], 1)]
+    assert kept.where("grp = 'b'").count() == n // 50
+    windows = [x for x in kept._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number()" in x]
+    assert len(windows) == 2 and any("part#" in x for x in windows)
