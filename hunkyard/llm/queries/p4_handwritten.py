@@ -16,7 +16,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
     """The same rows with what made the file."""
-    return classify(table(spark, d, "diff_files")).where("kind is not null")
+    return classify(table(spark, d, "diff_files")).where("kind is not null").select("diff_id", "kind")
+
+
+def p4_routes(spark: SparkSession, d: str) -> DataFrame:
+    """How many verdicts of each kind rest on which evidence: layout, shared pieces, banners, names, other rows of the file."""
+    return classify(table(spark, d, "diff_files")).groupBy(F.coalesce("kind", F.lit("hand-written")).alias("kind"), "route").agg(F.count("*").alias("rows"))
 
 
 def p4_against_skipped(spark: SparkSession, d: str) -> DataFrame:
@@ -25,5 +30,5 @@ def p4_against_skipped(spark: SparkSession, d: str) -> DataFrame:
     return classify(table(spark, d, "diff_files")).join(t, "diff_id").groupBy(F.coalesce("kind", F.lit("hand-written")).alias("kind"), "ignored").agg(F.count("*").alias("rows"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_kinds": p4_kinds, "p4_against_skipped": p4_against_skipped}
+QUERIES = {"p4_found": p4_found, "p4_kinds": p4_kinds, "p4_routes": p4_routes, "p4_against_skipped": p4_against_skipped}
 ORACLES: dict[str, str] = {}
