@@ -1,6 +1,6 @@
 """Working credentials inside code and configuration: found with their line, and masked.
 
-Method: encoded layers (base64, hex, percent, escapes) are decoded recursively and rescanned, key containers are
+Method: encoded layers (base64, hex, percent, escapes) are decoded until none is left and rescanned, key containers are
 parsed by their binary grammar, and what is masked is the whole enclosing encoded literal. Each text is one row, so the
 work is a single pass without a shuffle; texts are read whole.
 """
@@ -17,8 +17,6 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MAX_LAYERS = 4
-
 # Beginnings and forms of issued tokens.
 TOKEN = re.compile(
     r"(?<![A-Za-z0-9_])(?:AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{40,}|npm_[A-Za-z0-9]{30,}|glpat-[\w-]{18,}|AIza[\w-]{30,}"
@@ -179,7 +177,8 @@ def layers(v: str) -> Iterator[str | bytes]:
         except (ValueError, OverflowError):
             pass
     if "%" in v and re.search(r"%[0-9a-fA-F]{2}", v):
-        s = urllib.parse.unquote(v, errors="replace")
+        # a sign that was percent-encoded many times over takes one step, not one for each time
+        s = urllib.parse.unquote(re.sub(r"%(?:25)+", "%25", v), errors="replace")
         if s != v and "\ufffd" not in s:
             yield s
     if len(v) >= 16 and re.fullmatch(r"(?:[0-9a-fA-F]{2}){8,}", v):
@@ -194,8 +193,8 @@ def layers(v: str) -> Iterator[str | bytes]:
             pass
 
 
-def _inner(v: str, depth: int = 0) -> bool:
-    """Whether a decoded text holds a credential: it is scanned as configuration, its own encoded parts too, up to the depth limit."""
+def _inner(v: str, nested: list[str]) -> bool:
+    """Whether a decoded text holds a credential: it is scanned as configuration, its own encoded parts go to ``nested``."""
     if PEM.search(v) and re.search(r"-----(?:\\n|\s)*[A-Za-z0-9+/=\s\\]{40,}", v):
         return True
     if any(_own(x) for x in v.split("\n")):
@@ -203,17 +202,27 @@ def _inner(v: str, depth: int = 0) -> bool:
     for m in BARE.finditer(v):
         if names_secret(m[1]) and strong(m[2]):
             return True
-    return bool(find(v, DECODED, depth)) or depth < MAX_LAYERS and encoded(v, depth + 1)
+    return bool(find(v, DECODED, nested))
 
 
-def encoded(v: str, depth: int = 1) -> bool:
-    """Whether taking encodings off, again and again, brings a credential or a private key to light."""
-    for s in layers(v):
-        if isinstance(s, bytes):
-            if key_container(s):
-                return True
-        elif _inner(s, depth):
-            return True
+def encoded(v: str) -> bool:
+    """Whether taking encodings off, again and again, brings a credential or a private key to light.
+
+    However many layers there are: every layer makes a text shorter, so this ends when nothing changes any more.
+    """
+    todo, seen = [v], {v}
+    while todo:
+        for s in layers(todo.pop()):
+            if isinstance(s, bytes):
+                if key_container(s):
+                    return True
+            elif s not in seen:
+                seen.add(s)
+                nested = [s]
+                if _inner(s, nested):
+                    return True
+                todo += [x for x in nested if x is s or x not in seen]
+                seen.update(nested)
     return False
 
 
@@ -247,10 +256,17 @@ def _own(v: str) -> tuple[int, int] | None:
     return None
 
 
-def line_spans(line: str, config: bool, depth: int = 0) -> list[tuple[int, int]]:
+def _decode(v: str, nested: list[str] | None) -> bool:
+    if nested is None:
+        return encoded(v)
+    nested.append(v)
+    return False
+
+
+def line_spans(line: str, config: bool, nested: list[str] | None = None) -> list[tuple[int, int]]:
     """The parts of one line that are credentials; ``config``: names and values stand there without quotes.
 
-    ``depth`` is the number of encodings that were taken off to get this line.
+    Encoded values are decoded and scanned, or, where ``nested`` is given, only added to it.
     """
     out: list[tuple[int, int]] = []
     groups: list[list[tuple[int, int, str]]] = []
@@ -290,8 +306,8 @@ def line_spans(line: str, config: bool, depth: int = 0) -> list[tuple[int, int]]
                 hit = issued(v)
             elif name and names_secret(name) is False and re.search(r"(?i)\b(?:user|login)\w*['\"]?\s*[:=]", before) and name.lower() in ("pass", "pw"):
                 hit = strong(v)
-            if not hit and depth < MAX_LAYERS and len(v) >= 16 and ("\\" in v or "%" in v or BLOB.fullmatch(v)):
-                hit = encoded(v, depth + 1)
+            if not hit and len(v) >= 16 and ("\\" in v or "%" in v or BLOB.fullmatch(v)):
+                hit = _decode(v, nested)
             if not hit and LOGIN.search(line) and re.search(r"`[\w.-]+`\s+(?:and|/|with)\s+$", before):
                 hit = issued(v)
         if hit:
@@ -314,9 +330,9 @@ def line_spans(line: str, config: bool, depth: int = 0) -> list[tuple[int, int]]
             elif not covered(m.start(2)) and re.search(r"(?i)login|auth", m[1]) and _userpass(m[2]):
                 out.append(m.span(2))
         for m in VALUE.finditer(line):
-            if depth < MAX_LAYERS and not covered(m.start(2)) and not (depth and m[2] == line):  # a whole text is decoded by whoever decoded it
+            if not covered(m.start(2)):
                 for v, at in ((m[2], m.start(2)), *([(m[0], m.start())] if m[1] else [])):
-                    if not NOT_SECRET.match(v) and encoded(v, depth + 1):
+                    if not NOT_SECRET.match(v) and _decode(v, nested):
                         out.append((at, m.end()))
                         break
     for m in SHELL_DEFAULT.finditer(line):
@@ -329,7 +345,7 @@ def line_spans(line: str, config: bool, depth: int = 0) -> list[tuple[int, int]]
     return out
 
 
-def blocks(text: str, depth: int = 0) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+def blocks(text: str, nested: list[str] | None = None) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
     """Encoded credentials over several lines: start of the first line, end of the last, and the spans of the parts.
 
     Joined are lines of nothing but a part of the value, with quotes and glue around, and the end of the line in front.
@@ -362,16 +378,16 @@ def blocks(text: str, depth: int = 0) -> Iterator[tuple[int, int, list[tuple[int
         for other in "-+" if "-" in marks and "+" in marks else " - ":
             side = [x for x, k in zip(parts, marks) if k != other or other == " "]
             # The line in front may end with a word that is no part; the last lines may be code already.
-            hit = next((h for h in (side, side[1:], side[:-1]) if len(h) > 1 and _joined(text, h, depth)), None)
+            hit = next((h for h in (side, side[1:], side[:-1]) if len(h) > 1 and _joined(text, h, nested)), None)
             if hit:
                 yield text.rfind("\n", 0, hit[0][0]) + 1, hit[-1][1], hit
             if other == " ":
                 break
 
 
-def _joined(text: str, parts: list[tuple[int, int]], depth: int) -> bool:
+def _joined(text: str, parts: list[tuple[int, int]], nested: list[str] | None) -> bool:
     v = "".join(text[a:b] for a, b in parts)
-    return depth < MAX_LAYERS and len(v) >= 16 and not NOT_SECRET.match(v) and encoded(v, depth + 1)
+    return len(v) >= 16 and not NOT_SECRET.match(v) and _decode(v, nested)
 
 
 CONFIG = re.compile(r"(?i)(?:\.(?:env|local|ini|ya?ml|toml|cfg|conf|properties|md|sh|bash|txt|json|tfvars|http)|(?:^|/)\.env[\w.]*|dockerfile)$")
@@ -380,7 +396,7 @@ CONFIG = re.compile(r"(?i)(?:\.(?:env|local|ini|ya?ml|toml|cfg|conf|properties|m
 DECODED = ".env"  # as if a decoded text were a file of this name
 
 
-def find(text: str, path: str | None, depth: int = 0) -> list[tuple[int, list[tuple[int, int]]]]:
+def find(text: str, path: str | None, nested: list[str] | None = None) -> list[tuple[int, list[tuple[int, int]]]]:
     """Line numbers from 1 with a credential, each with the spans of the whole text to mask.
 
     A key block or an encoded value over several lines counts at its first line; its other lines are spans of that line too.
@@ -411,13 +427,13 @@ def find(text: str, path: str | None, depth: int = 0) -> list[tuple[int, list[tu
                 spans, skip_to = _key_block(text, a + pem.end(), e)
                 keys.append((a, skip_to))
             if not spans:
-                spans = [(a + s, a + t) for s, t in line_spans(line, config, depth)]
+                spans = [(a + s, a + t) for s, t in line_spans(line, config, nested)]
             if spans:
                 lines[a] = spans
             if skip_to > e:
                 break
             a = e + 1
-    for start, end, spans in blocks(text, depth):
+    for start, end, spans in blocks(text, nested):
         if not any(a <= start < b for a, b in keys):
             for a in [a for a in lines if start < a <= end]:
                 spans = spans + lines.pop(a)

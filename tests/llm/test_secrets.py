@@ -131,9 +131,9 @@ def test_decoded_texts_are_scanned_like_plain_ones():
     for v in ['{"user": "svc_a", "password": "changeme"}', "Authorization: Bearer ${TOKEN}", "postgres://u:changeme@db.internal/x and more text", '{"note": "none", "blob": "' + b64("the quick brown fox jumps") + '"}']:
         assert find(f'blob = "{b64(v)}"', "a.py") == [], v
     deep = URL_B64
-    for _ in range(8):
+    for _ in range(12):
         deep = b64(deep)
-    assert find(f'blob = "{deep}"', "a.py") == []
+        assert [n for n, _ in find(f'blob = "{deep}"', "a.py")] == [1]
     assert [n for n, _ in find('urls = "postgres://u:changeme@a.internal postgres://u:Mosaic!Meadow83@db.internal"', "a.py")] == [1]
 
 
@@ -169,3 +169,19 @@ def test_the_gate_drops_no_line(monkeypatch):
     with_gate = [find(t, p) for t in texts for p in ("a.py", "a.env")]
     every_line(monkeypatch)
     assert [find(t, p) for t in texts for p in ("a.py", "a.env")] == with_gate
+
+
+def test_no_layer_is_too_deep_and_no_literal_inside_is_passed_over():
+    key = "AKIA" + "Q7LM2ZX9" * 2
+    for enc in (b64(key), b64(b64(key)), b64(b64(b64(key))), key.encode().hex()):
+        assert [n for n, _ in find(f'blob = "{enc}"', "a.py")] == [1], enc
+    inner = '{"inner": "' + b64('{"key": "' + key + '"}') + '"}'
+    for _ in range(5):
+        assert [n for n, _ in find(f'blob = "{b64(inner)}"', "a.py")] == [1]
+        inner = '{"inner": "' + b64(inner) + '"}'
+    many = key
+    for _ in range(6):
+        many = "".join(f"%{ord(c):02x}" if c in "%AK" else c for c in many)
+    assert [n for n, _ in find(f'blob = "{many}"', "a.py")] == [1]
+    assert find('blob = "%' + "25" * 50_000 + 'zz"', "a.py") == []
+    assert find('blob = "' + b64("x" * 3_000_000) + '"', "a.py") == [] and find('x = "' + "\\" * 100_001 + '"', "a.py") == []
