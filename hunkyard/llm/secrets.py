@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 TOKEN = re.compile(
     r"(?<![A-Za-z0-9_])(?:AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{40,}|npm_[A-Za-z0-9]{30,}|glpat-[\w-]{18,}|AIza[\w-]{30,}"
     r"|xox[abeprs]-[A-Za-z0-9-]{16,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|pypi-[\w-]{30,}|SG\.[\w-]{16,}\.[\w-]{16,}|hf_[A-Za-z0-9]{30,}|dop_v1_[a-f0-9]{40,}|shpat_[a-f0-9]{30,}"
-    r"|qfl_[A-Za-z0-9]{20,}|mbx_[A-Za-z0-9]{20,}|nf:[A-Za-z0-9]{20,}|vq-[A-Za-z0-9_-]{20,}|eyJ[\w-]{10,}\.eyJ[\w-]{10,}\.[\w-]{20,})(?![A-Za-z0-9_=])"
+    r"|(?!(?:id|ref|rev|sha|md|ver|tag|git|uid|etag|hash|sum|crc|img|pub|cert)[_:-])[a-z]{2,4}[_:-](?=[A-Za-z0-9_-]*[A-Z])(?=[A-Za-z0-9_-]*[a-z])(?=[A-Za-z0-9_-]*\d)[A-Za-z0-9_-]{20,}|eyJ[\w-]{10,}\.eyJ[\w-]{10,}\.[\w-]{20,})(?![A-Za-z0-9_=])"
 )
 URL = re.compile(r"(?i)\b[a-z][a-z0-9+.-]{1,20}://([^\s:/@\"'`<>]*):([^\s/@\"'`]+)@[\w.\[-]")
 AUTH = re.compile(r"(?i)\b(bearer|basic|token)\s+([A-Za-z0-9+/_.~:=%!-]{8,})")
@@ -81,7 +81,7 @@ def _words() -> str:
 CANDIDATE = re.compile(
     _words() + r"|basic|log in|key\s|x-[a-z-]*key|identified\s+by|(?:rotate|revoke|expire)\s|\s-u[ =]|--user[ =]|[a-z]\s+/\s+\S|ref\w*[\"']?\]?\s*\)?\s*(?:[:=,|?\"'`]|or\b)"
     r"|\(\s*['\"`][^'\"`\n]*\.[^'\"`\n]*['\"`]\s*,\s*['\"`]|://[^\s/@:]*:[^\s/@]+@|-----begin"
-    r"|akia|asia[a-z0-9]{16}|gh[pousr]_|github_pat_|npm_|glpat-|aiza|xox[abeprs]-|[sr]k_(?:live|test)_|pypi-|sg\.[\w-]{16}|hf_|dop_v1_|shpat_|qfl_|mbx_|nf:|vq-|eyj"
+    r"|akia|asia[a-z0-9]{16}|gh[pousr]_|github_pat_|npm_|glpat-|aiza|xox[abeprs]-|[sr]k_(?:live|test)_|pypi-|sg\.[\w-]{16}|hf_|dop_v1_|shpat_|(?<![a-z0-9_])[a-z]{2,4}[_:-][a-z0-9_-]{20}|eyj"
     r"|\\|%[0-9a-f]{2}|[\"'`](?:[a-z0-9+/_-]{16,}={0,2}|\s*(?:\+|\.\.?|&)?\s*)[\"'`]"
     r"|^[+\- ]?[^\S\n]*(?:#|//|--|/\*|\*|;|<!--)[^\n]*?(?<![a-z0-9+/_-])[a-z0-9+/_-]{16}",
     re.M,
