@@ -38,7 +38,7 @@ _CLASS = re.compile(r"\\.|\[(?:[^\]\\]|\\.)*\]")
 
 
 # Frames of the parser for texts nested too deeply for the usual limit.
-MAX_FRAMES = 400_000
+USUAL_FRAMES, MAX_FRAMES = 20_000, 400_000
 
 
 class Bad(Exception):
@@ -335,6 +335,10 @@ class Parser:
         t = k[self.i]
         if t == "{":
             self.block()
+        elif (j := self.resource()) and k[j] in IDS and not self.nl[j]:
+            self.i = j
+            self.bindings("const", False)
+            self.semi()
         elif t == "const" and self.ts and k[self.i + 1] == "enum":
             self.i += 1
             self.enum()
@@ -439,6 +443,13 @@ class Parser:
             self.expression()
             self.semi()
 
+    def resource(self) -> int:
+        """The place behind ``using`` or ``await using``, the beginning of a declaration if a name follows; 0 for other words."""
+        k, i = self.k, self.i
+        if k[i] == "await" and k[i + 1] == "using" and not self.nl[i + 1]:
+            i += 1
+        return i + 1 if k[i] == "using" else 0
+
     def for_(self) -> None:
         k = self.k
         self.i += 1
@@ -447,6 +458,9 @@ class Parser:
         t = k[self.i]
         if t == ";":
             pass
+        elif (j := self.resource()) and k[j] in IDS and k[j] != "of":
+            self.i = j
+            self.bindings("const", True)
         elif t in ("const", "var") or t == "let" and (k[self.i + 1] in IDS and k[self.i + 1] not in ("of", "in") or k[self.i + 1] in ("[", "{")):
             self.i += 1
             self.bindings(t, True)
@@ -1446,23 +1460,31 @@ class Parser:
         self.i += 1
 
 
+_HTML_LIKE = re.compile(r"(?m)^[ \t]*(?:<!--|-->)[^\n]*")
+
+
+def _parses(text: str, ts: bool) -> None:
+    usual = sys.getrecursionlimit()
+    try:
+        for frames in (max(usual, USUAL_FRAMES), MAX_FRAMES):  # a limit of this parser, not of the grammar; its frames take no C stack
+            sys.setrecursionlimit(frames)
+            try:
+                return Parser(text, ts).program()
+            except RecursionError:  # after the last: the lexer with its stack found nothing
+                continue
+    finally:
+        sys.setrecursionlimit(usual)
+
+
 def problem(text: str, ts: bool) -> str | None:
     """Why the text is neither a script nor a module of the language, or None."""
-    if sys.getrecursionlimit() < 20_000:
-        sys.setrecursionlimit(20_000)
     try:
-        parser = Parser(text, ts)
-        try:
-            parser.program()
-        except RecursionError:  # a limit of this parser, not of the grammar; its frames take no C stack
-            usual = sys.getrecursionlimit()
-            sys.setrecursionlimit(MAX_FRAMES)
-            try:
-                Parser(text, ts).program()
-            except RecursionError:  # the lexer with its stack found nothing
-                return None
-            finally:
-                sys.setrecursionlimit(usual)
+        _parses(text, ts)
     except Bad as e:
+        if ("<!--" in text or "-->" in text) and not re.search(r"(?m)^\s*(?:import|export)\b", text):  # comments of scripts alone
+            try:
+                return _parses(_HTML_LIKE.sub("", text), ts)
+            except Bad:
+                pass
         return "merge conflict" if str(e) == "syntax" and re.search(r"(?m)^(?:<{7} |>{7} |={7}\r?$)", text) else str(e)
     return None

@@ -30,5 +30,10 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("rate", F.round(F.col("invalid") / F.col("texts"), 6))
 
 
-QUERIES = {"p5_found": p5_found, "p5_reasons": p5_reasons, "p5_rates": p5_rates}
+def p5_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Per language, texts found by lexer and stacks, texts found by the exact check alone, and objections it overruled."""
+    return _all(spark, d, False).where("found_by is not null").groupBy("language", "found_by").agg(F.count("*").alias("texts"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_reasons": p5_reasons, "p5_rates": p5_rates, "p5_agreement": p5_agreement}
 ORACLES: dict[str, str] = {}

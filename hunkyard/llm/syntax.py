@@ -1,18 +1,16 @@
 """Source texts that do not parse in their language, with the reason and rates.
 
 Method: a lexer for each language with a pushdown stack finds unterminated literals, unbalanced delimiters, premature
-ends and merge-conflict markers. What passes is held against the grammar itself, and what the lexer objects to is
-confirmed by it, so that only texts outside the grammar are flagged. One pass without a shuffle; texts are read whole.
+ends, merge-conflict markers and tokens that cannot follow each other. An exact check follows for Python: its own parser
+confirms what the stacks object to and is asked about what they let pass, so that only texts outside the grammar are
+flagged; ``found_by`` says which of the two found a text. One pass without a shuffle; texts are read whole.
 """
 
 from __future__ import annotations
 
 import ast
-import io
-import json
 import re
 import textwrap
-import tokenize
 import warnings
 from collections.abc import Iterator
 
@@ -20,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from hunkyard.llm.ecmascript import problem as ecmascript_problem
+from hunkyard.llm.python_stack import python_problem
 
 # Spellings of language names and suffixes.
 LANGUAGES = {
@@ -29,13 +28,6 @@ LANGUAGES = {
     "json": "json",
 }
 
-_PY = re.compile(r"#[^\n]*|([rRbBuUfF]{0,2})('''|\"\"\"|'|\")|([(\[{])|([)\]}])|(^(?:<{7} |={7}\r?$|>{7} ))|\\\r?\n", re.M)
-_PY_END = {
-    "'''": re.compile(r"(?:[^'\\]|\\[\s\S]|'(?!''))*'''"),
-    '"""': re.compile(r'(?:[^"\\]|\\[\s\S]|"(?!""))*"""'),
-    "'": re.compile(r"(?:[^'\\\n]|\\[\s\S])*'"),
-    '"': re.compile(r'(?:[^"\\\n]|\\[\s\S])*"'),
-}
 _JSON = re.compile(r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|(")|([\[{])|([\]}])|(^(?:<{7} |={7}\r?$|>{7} ))', re.M)
 _PAIR = {"(": ")", "[": "]", "{": "}"}
 
@@ -47,28 +39,6 @@ def language(name: str | None, path: str | None) -> str | None:
     return LANGUAGES.get(path.rpartition(".")[2].strip().lower()) if path and "." in path else None
 
 
-def _python_stack(text: str) -> str | None:
-    stack: list[str] = []
-    at = 0
-    while True:
-        m = _PY.search(text, at)
-        if not m:
-            return "premature end" if stack else None
-        at = m.end()
-        if m[2]:
-            e = _PY_END[m[2]].match(text, at)
-            if not e:
-                return "unterminated literal"
-            at = e.end()
-        elif m[3]:
-            stack.append(_PAIR[m[3]])
-        elif m[4]:
-            if not stack or stack.pop() != m[4]:
-                return "unbalanced delimiter"
-        elif m[5]:
-            return "merge conflict"
-
-
 def _json_stack(text: str) -> str | None:
     stack: list[str] = []
     for m in _JSON.finditer(text):
@@ -88,7 +58,7 @@ _VALUE = re.compile(r'[ \t\r\n]*(?:("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-
 
 
 def _json_walk(text: str) -> bool:
-    """The grammar of RFC 8259 with an explicit stack, for texts nested more deeply than the C parser goes."""
+    """The grammar of RFC 8259 with an explicit stack, so that depth is no limit."""
     stack: list[str] = []
     want, at, n = "value", 0, len(text)
     while True:
@@ -117,82 +87,52 @@ def _json_walk(text: str) -> bool:
             return False
 
 
-def _refuse(_: str) -> None:
-    raise ValueError
-
-
-_decoder = json.JSONDecoder(parse_int=len, parse_float=len, parse_constant=_refuse)
-
-
-def _json_ok(text: str) -> bool:
-    try:
-        _decoder.decode(text)
-        return True
-    except RecursionError:
-        return _json_walk(text)
-    except ValueError:
-        return False
-
-
-def _python_ok(text: str) -> bool:
+def _python_ok(text: str) -> bool | None:
+    """Whether Python's own parser takes the text; None where it is too deep for that parser, which is no matter of grammar."""
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
-            ast.parse(text.removeprefix("\ufeff"))
+            ast.parse(text)
             return True
         except (SyntaxError, ValueError):
             return False
-        except (RecursionError, MemoryError):  # limits of that parser, not of the grammar
-            return _python_deep_ok(text.removeprefix("\ufeff"))
-
-
-def _python_deep_ok(text: str) -> bool:
-    """The verdict on a text too deep for the parser: its top statements one by one, those too deep by their tokens and brackets."""
-    if _python_stack(text):
-        return False
-    starts, fresh, decorated = [], True, False
-    try:
-        for t in tokenize.generate_tokens(io.StringIO(text).readline):
-            if t.type in (tokenize.COMMENT, tokenize.NL, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER):
-                continue
-            if fresh and t.start[1] == 0 and t.string not in ("elif", "else", "except", "finally"):
-                if not decorated:
-                    starts.append(t.start[0] - 1)
-                decorated = t.string == "@"
-            fresh = t.type == tokenize.NEWLINE
-    except (tokenize.TokenError, SyntaxError):
-        return False
-    lines = io.StringIO(text).readlines()
-    for a, b in zip(starts, [*starts[1:], len(lines)]):
-        try:
-            ast.parse("".join(lines[a:b]))
-        except (SyntaxError, ValueError):
-            return False
         except (RecursionError, MemoryError):
-            continue
-    return True
+            return None
 
 
-def problem(text: str | None, lang: str | None, snippet: bool = False) -> str | None:
-    """The reason why the text does not parse, or None; null texts and unknown languages are never flagged.
+def verdict(text: str | None, lang: str | None, snippet: bool = False) -> tuple[str | None, str | None]:
+    """The reason why the text does not parse and who found it, ``stack`` or ``exact check``; None, None where it parses.
 
-    An empty text is flagged only as JSON. A snippet is first freed of its common indentation.
+    A text that the stacks object to but the exact check takes is none, and ``found_by`` is then ``overruled``. Null texts
+    and unknown languages are never flagged, an empty text only as JSON. A snippet is first freed of its common
+    indentation.
     """
     if text is None or lang is None or not text and lang != "json":
-        return None
+        return None, None
     if snippet:
         text = textwrap.dedent(text)
     if lang == "python":
-        stack = _python_stack(text)
-        return None if _python_ok(text) else stack or "syntax"
+        text = text.removeprefix("\ufeff")
+        reason, ok = python_problem(text), _python_ok(text)
+        if ok is None:
+            return reason, reason and "stack"
+        if ok:
+            return None, reason and "overruled"
+        return reason or "syntax", "stack" if reason else "exact check"
     if lang == "json":
-        stack = _json_stack(text)
-        return None if not stack and _json_ok(text) else stack or "syntax"
-    return ecmascript_problem(text.removeprefix("\ufeff"), lang == "typescript")
+        reason = _json_stack(text) or (None if _json_walk(text) else "syntax")
+    else:
+        reason = ecmascript_problem(text.removeprefix("\ufeff"), lang == "typescript")
+    return reason, reason and "stack"
+
+
+def problem(text: str | None, lang: str | None, snippet: bool = False) -> str | None:
+    """The reason of :func:`verdict`."""
+    return verdict(text, lang, snippet)[0]
 
 
 def flag(df: DataFrame, row_id: str, text: str, path: str, name: str | None, field: str, group: str, only_bad: bool = False) -> DataFrame:
-    """``field, row_id, grp, language, reason`` of each text in a known language; ``reason`` is null where it parses.
+    """``field, row_id, grp, language, reason, found_by`` of each text in a known language; ``reason`` is null where it parses.
 
     With ``only_bad`` the texts that parse are left out. Repeated rows are judged each; other columns are ignored; an
     empty table gives an empty result.
@@ -202,17 +142,18 @@ def flag(df: DataFrame, row_id: str, text: str, path: str, name: str | None, fie
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, groups, langs, why = [], [], [], []
+            ids, groups, langs, why, by = [], [], [], [], []
             for i, g, t, p, n in zip(*(b.column(c).to_pylist() for c in ("row_id", "grp", "text", "path", "name"))):
                 lang = language(n, p)
                 if lang is None or t is None:
                     continue
-                r = problem(t, lang, snippet)
+                r, found_by = verdict(t, lang, snippet)
                 if r or not only_bad:
+                    by.append(found_by)
                     ids.append(i)
                     groups.append(g)
                     langs.append(lang)
                     why.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array([field] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(groups, pa.string()), pa.array(langs, pa.string()), pa.array(why, pa.string())], ["field", "row_id", "grp", "language", "reason"])
+            yield pa.RecordBatch.from_arrays([pa.array([field] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(groups, pa.string()), pa.array(langs, pa.string()), pa.array(why, pa.string()), pa.array(by, pa.string())], ["field", "row_id", "grp", "language", "reason", "found_by"])
 
-    return cols.mapInArrow(run, "field string, row_id bigint, grp string, language string, reason string")
+    return cols.mapInArrow(run, "field string, row_id bigint, grp string, language string, reason string, found_by string")

@@ -42,8 +42,9 @@ def test_masking_changes_credentials_only(t):
 @FEW
 @given(MIXED)
 def test_verdicts_and_scores_for_any_text(t):
-    kind, enough = judge("src/a.py", t, "o")
-    assert kind in (None, "generated", "minified", "vendored", "data") and isinstance(enough, bool)
+    for path in ("src/a.py", "a.ts", "q.sql", ""):
+        v = judge(path, t, "o")
+        assert v.kind in (None, "generated", "minified", "vendored", "data", "lock file") and isinstance(v.enough, bool)
     judge(t, t, t)
     assert isinstance(new_side(t), str)
     assert 0 <= MODEL.score(t) <= 1 and all(isinstance(s, str) for s in sentences(t))
