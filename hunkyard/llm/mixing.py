@@ -60,9 +60,29 @@ def emit(docs: DataFrame, rate: DataFrame, seed: int = 42) -> DataFrame:
     return j.select("mix_id", "source", "doc_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"), "n_tokens")
 
 
-def shares(mix: DataFrame, rate: DataFrame) -> DataFrame:
-    """Target and actual share, tokens, documents and most copies of each source in each mix."""
+def shares(mix: DataFrame, rate: DataFrame, targets: DataFrame) -> DataFrame:
+    """Target and actual share, tokens, copies and most copies of every source that a mix asks for.
+
+    ``weight`` and ``target_share`` are as asked, over all sources of the mix; ``reached_for`` is the share among those
+    that have tokens, which the rates aim at. A source without tokens has null there, a rate and an actual share of 0.
+    Several rows of a source in a mix are one; rows without mix or source are left out.
+    """
+    asked = targets.where("mix_id is not null and source is not null").groupBy("mix_id", "source").agg(F.sum(F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0))).alias("weight"), F.min("max_repeats").alias("max_repeats"))
+    whole = asked.groupBy("mix_id").agg(F.sum("weight").alias("all_weights"))
     per_doc = mix.groupBy("mix_id", "source").agg(F.sum("n_tokens").alias("mix_tokens"), F.count("*").alias("copies"), F.max("copy").alias("most_copies"))
     total = per_doc.groupBy("mix_id").agg(F.sum("mix_tokens").alias("all_tokens"))
-    j = rate.join(per_doc, ["mix_id", "source"], "left").join(total, "mix_id", "left")
-    return j.select("mix_id", "source", F.round("share", 6).alias("target_share"), F.round(F.coalesce(F.col("mix_tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"), F.round("rate", 6).alias("rate"), "max_repeats", F.coalesce("mix_tokens", F.lit(0)).alias("mix_tokens"), F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"))
+    j = asked.join(whole, "mix_id").join(rate.select("mix_id", "source", "share", "rate"), ["mix_id", "source"], "left").join(per_doc, ["mix_id", "source"], "left").join(total, "mix_id", "left")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    return j.select(
+        "mix_id",
+        "source",
+        "weight",
+        F.round(F.try_divide("weight", "all_weights"), 6).alias("target_share"),
+        F.round("share", 6).alias("reached_for"),
+        F.round(F.coalesce(F.col("mix_tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"),
+        F.round(F.coalesce("rate", F.lit(0.0)), 6).alias("rate"),
+        "max_repeats",
+        none("mix_tokens").alias("mix_tokens"),
+        none("copies").alias("copies"),
+        none("most_copies").alias("most_copies"),
+    )

@@ -22,10 +22,11 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Target and actual shares of every mix."""
+    """Target and actual shares of every source that a mix asks for, those without documents included."""
     n = _sizes(spark, d)
-    r = rates(n, table(spark, d, "mix_targets"), whole=True)
-    return shares(emit(n, r), r)
+    targets = table(spark, d, "mix_targets")
+    r = rates(n, targets, whole=True)
+    return shares(emit(n, r), r, targets)
 
 
 QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares}

@@ -16,9 +16,12 @@ def test_shares_limits_and_repeatability(spark):
     docs, targets = make(spark)
     r = rates(docs, targets)
     m = emit(docs, r)
-    s = {(x.mix_id, x.source): x for x in shares(m, r).collect()}
-    assert set(s) == {(1, "big"), (1, "small"), (2, "big"), (2, "small")}
-    assert all(abs(x.actual_share - x.target_share) < 0.02 for x in s.values())
+    s = {(x.mix_id, x.source): x for x in shares(m, r, targets).collect()}
+    assert set(s) == {(1, "big"), (1, "small"), (1, "absent"), (2, "big"), (2, "small"), (3, "small"), (4, "small")}
+    assert all(abs(x.actual_share - x.reached_for) < 0.02 for x in s.values() if x.reached_for is not None)
+    gone = s[1, "absent"]
+    assert (gone.weight, gone.target_share, gone.reached_for, gone.actual_share, gone.rate, gone.copies) == (0.3, round(0.3 / 1.3, 6), None, 0.0, 0.0, 0)
+    assert s[1, "big"].target_share == round(0.5 / 1.3, 6) and s[2, "small"].weight == 0.2 and s[4, "small"].target_share is None
     assert s[1, "small"].rate == 4.0 and s[1, "small"].copies == 1200 and s[1, "small"].most_copies == 4
     assert max(x.most_copies for x in s.values()) <= 4 and s[2, "small"].most_copies <= 2 and s[2, "big"].most_copies == 1
     again = emit(docs.repartition(7), r)
@@ -42,7 +45,8 @@ def test_without_broadcast_and_empty(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_BROADCAST_RATES", 1)
     assert sorted(map(tuple, emit(docs, r).collect())) == want
     assert emit(docs.limit(0), rates(docs.limit(0), targets)).count() == 0
-    assert shares(emit(docs, rates(docs, targets.limit(0))), rates(docs, targets.limit(0))).count() == 0
+    assert shares(emit(docs, rates(docs, targets.limit(0))), rates(docs, targets.limit(0)), targets.limit(0)).count() == 0
+    assert [x.actual_share for x in shares(emit(docs.limit(0), r), r, targets).collect()] == [0.0] * 7
 
 
 def test_whole_size_fills_other_sources_where_one_is_at_its_limit(spark):
@@ -52,7 +56,7 @@ def test_whole_size_fills_other_sources_where_one_is_at_its_limit(spark):
     got = {(x.mix_id, x.source): x.rate for x in r.collect()}
     assert got[1, "tiny"] == 1.0 and abs(got[1, "big"] - 47_500 / 80_000) < 1e-9 and abs(got[1, "mid"] - 47_500 / 15_000) < 1e-9
     assert got[2, "tiny"] == 1.0 and got[3, "big"] == 1.0 and got[3, "mid"] == 1.0
-    s = {(x.mix_id, x.source): x for x in shares(emit(docs, r), r).collect()}
+    s = {(x.mix_id, x.source): x for x in shares(emit(docs, r), r, targets).collect()}
     assert abs(sum(x.mix_tokens for x in s.values() if x.mix_id == 1) - 100_000) < 2000
     assert s[1, "tiny"].target_share == 0.2 and abs(s[1, "tiny"].actual_share - 0.05) < 0.002 and s[1, "mid"].most_copies == 4
     more = docs.where("source <> 'mid'"), targets.where("mix_id = 1 and source <> 'mid'").withColumn("max_repeats", F.lit(30))
