@@ -29,19 +29,42 @@ def clean_id(c: Column) -> Column:
     return F.when(t != "", t)
 
 
+def components(up: list[int]) -> list[int]:
+    """The connected component of each node, named by one of its nodes; ``up`` are the parents' places, -1 for none."""
+    of = list(range(len(up)))
+    for i, p in enumerate(up):
+        if p < 0:
+            continue
+        while of[i] != i:
+            of[i] = of[of[i]]
+            i = of[i]
+        while of[p] != p:
+            of[p] = of[of[p]]
+            p = of[p]
+        of[i] = p
+    for i in range(len(of)):
+        r = i
+        while of[r] != r:
+            r = of[r]
+        of[i] = r
+    return of
+
+
 def walk(ids: Sequence[str], parents: Sequence[str | None]) -> tuple[list[str], list[int], list[list[str] | None], list[bool]]:
     """Root, depth, path and back edge of each node of some whole components of one namespace.
 
-    Iterative depth-first traversal along the parent links. White nodes are unseen, grey ones are on the stack, black
-    ones are done. An edge to a grey node is a back edge: the nodes of the stack from there on are a circle.
+    The components are found first; each is walked by iterative depth-first traversal along the parent links. White
+    nodes are unseen, grey ones are on the stack, black ones are done. An edge to a grey node closes a circle: the nodes
+    of the stack from there on. Its back edge is the one that leaves its least id, wherever the walk began.
     """
     at = {x: i for i, x in enumerate(ids)}
     n = len(ids)
     up = [at.get(p, -1) if p is not None else -1 for p in parents]
+    of = components(up)
     colour = bytearray(n)
     root, depth, back = [""] * n, [0] * n, [False] * n
     path: list[list[str] | None] = [None] * n
-    for start in range(n):
+    for start in sorted(range(n), key=of.__getitem__):
         if colour[start]:
             continue
         stack, v = [], start
@@ -50,11 +73,11 @@ def walk(ids: Sequence[str], parents: Sequence[str | None]) -> tuple[list[str],
             stack.append(v)
             v = up[v]
         if v >= 0 and colour[v] == 1:
-            back[stack[-1]] = True
             k = stack.index(v)
-            least = min(ids[i] for i in stack[k:])
+            first = min(stack[k:], key=ids.__getitem__)
+            back[first] = True
             for i in stack[k:]:
-                root[i], depth[i], colour[i] = least, -1, 2
+                root[i], depth[i], colour[i] = ids[first], -1, 2
             del stack[k:]
         for i in reversed(stack):
             p = up[i]
@@ -96,7 +119,7 @@ def _walker(with_path: bool):
 
 
 def _doubled(nodes: DataFrame) -> DataFrame:
-    """ns, id, parent, root_id, depth of the nodes of hot namespaces, by pointer doubling.
+    """ns, id, parent, root_id, depth of the nodes of hot namespaces, by pointer doubling; no side is ever broadcast.
 
     After k rounds a node points 2**k steps up, or to its root. When a round reaches no further root, no tree node is
     left: depths are inhabited without gaps. The rest lies on or below circles; their doubling goes on until the
@@ -105,14 +128,14 @@ def _doubled(nodes: DataFrame) -> DataFrame:
     """
     up = nodes.select(F.col("ns").alias("pns"), F.col("id").alias("p"))
     state = durable(
-        nodes.join(up, (F.col("ns") == F.col("pns")) & (F.col("parent") == F.col("p")), "left").select(
+        nodes.join(up.hint("merge"), (F.col("ns") == F.col("pns")) & (F.col("parent") == F.col("p")), "left").select(
             "ns", "id", "parent", F.coalesce("p", "id").alias("ptr"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("int").alias("hops"), F.col("p").isNull().alias("done"), F.col("id").alias("least")
         )
     )
 
     def jump(s: DataFrame, over: DataFrame) -> DataFrame:
         t = over.select(F.col("ns").alias("tns"), F.col("id").alias("tid"), F.col("ptr").alias("tptr"), F.col("hops").alias("thops"), F.col("done").alias("tdone"), F.col("least").alias("tleast"))
-        j = s.join(t, (F.col("ns") == F.col("tns")) & (F.col("ptr") == F.col("tid")))
+        j = s.join(t.hint("merge"), (F.col("ns") == F.col("tns")) & (F.col("ptr") == F.col("tid")))
         return j.select("ns", "id", "parent", F.col("tptr").alias("ptr"), (F.col("hops") + F.col("thops")).alias("hops"), F.col("tdone").alias("done"), F.least("least", "tleast").alias("least"))
 
     left = state.where("not done").count()
@@ -132,7 +155,7 @@ def _doubled(nodes: DataFrame) -> DataFrame:
         circ = durable(jump(circ, circ))
         steps *= 2
     on = circ.select(F.col("ns").alias("tns"), F.col("id").alias("tid"), F.col("least").alias("tleast"))
-    circles = circ.join(on, (F.col("ns") == F.col("tns")) & (F.col("ptr") == F.col("tid"))).select("ns", "id", "parent", F.col("tleast").alias("root_id"), F.lit(-1).alias("depth"))
+    circles = circ.join(on.hint("merge"), (F.col("ns") == F.col("tns")) & (F.col("ptr") == F.col("tid"))).select("ns", "id", "parent", F.col("tleast").alias("root_id"), F.lit(-1).alias("depth"))
     return trees.unionByName(circles)
 
 
@@ -142,9 +165,9 @@ def _with_paths(giants: DataFrame) -> DataFrame:
     while s.where("ptr is not null").limit(1).count():
         t = s.select(F.col("ns").alias("tns"), F.col("id").alias("tid"), F.col("ptr").alias("tptr"), F.col("path").alias("tpath"))
         s = durable(
-            s.join(t, (F.col("ns") == F.col("tns")) & (F.col("ptr") == F.col("tid")), "left").select("ns", "id", "parent", "root_id", "depth", F.col("tptr").alias("ptr"), F.when(F.col("tpath").isNull(), F.col("path")).otherwise(F.concat("tpath", "path")).alias("path"))
+            s.join(t.hint("merge"), (F.col("ns") == F.col("tns")) & (F.col("ptr") == F.col("tid")), "left").select("ns", "id", "parent", "root_id", "depth", F.col("tptr").alias("ptr"), F.when(F.col("tpath").isNull(), F.col("path")).otherwise(F.concat("tpath", "path")).alias("path"))
         )
-    return s.select("ns", "id", "root_id", "depth", "path", (F.col("id") == F.col("root_id")).alias("x")).select("ns", "id", "root_id", "depth", "path", (F.col("x") & (F.col("depth") < 0)).alias("back_edge"))
+    return s.select("ns", "id", "root_id", "depth", "path", ((F.col("id") == F.col("root_id")) & (F.col("depth") < 0)).alias("back_edge"))
 
 
 def hierarchy(rows: DataFrame, namespace: str, node: str, parent: str, version: str | None = None, with_path: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -153,7 +176,7 @@ def hierarchy(rows: DataFrame, namespace: str, node: str, parent: str, version:
     Ids are compared trimmed and in lower case. Of several rows of a node the one with the latest ``version`` counts;
     of equally late ones that with the greatest parent, a null parent being the least. A node whose parent is null,
     blank or absent from its namespace is a root of depth 0. Nodes on or below a circle have depth -1, the least id of
-    the circle as root and a null path; ``back_edge`` marks one node of each circle. Rows with a null or blank node id
+    the circle as root and a null path; ``back_edge`` marks that least node of each circle, whichever way it was found. Rows with a null or blank node id
     are left out; a null namespace is a namespace like any other. Other columns are ignored; an empty table gives an
     empty result.
     """

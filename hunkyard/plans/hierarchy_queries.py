@@ -53,6 +53,9 @@ ORACLES = {
     "p1_found": _NODES
     + """SELECT trace_id, span_id, root_id, depth::INTEGER AS depth FROM tree
 UNION ALL SELECT trace_id, span_id, root_id, -1 FROM circle""",
+    "p1_paths": _NODES
+    + """SELECT trace_id, span_id, root_id, depth::INTEGER AS depth, path, false AS back_edge FROM tree
+UNION ALL SELECT trace_id, span_id, root_id, -1, NULL, span_id = root_id FROM circle""",
     "p1_descendants": _NODES
     + """, pairs AS (SELECT trace_id, parent_id AS span_id, span_id AS descendant_id, 1 AS distance FROM linked SEMI JOIN tree USING (trace_id, span_id) WHERE parent_id IS NOT NULL
   UNION ALL SELECT l.trace_id, l.parent_id, p.descendant_id, p.distance + 1 FROM pairs p JOIN linked l ON l.trace_id = p.trace_id AND l.span_id = p.span_id WHERE l.parent_id IS NOT NULL)

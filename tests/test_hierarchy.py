@@ -1,6 +1,6 @@
 import random
 
-from hunkyard.operators.hierarchy import descendants, hierarchy
+from hunkyard.operators.hierarchy import components, descendants, hierarchy, walk
 
 SCHEMA = "trace_id string, span_id string, parent_id string, exported_at timestamp, ns string"
 
@@ -67,13 +67,13 @@ def test_paths_agree_whatever_the_way(spark):
     assert res[0] == res[1] == res[2]
 
 
-def test_back_edges_mark_one_node_of_each_circle(spark):
+def test_back_edges_mark_the_least_node_of_each_circle(spark):
     rows = [("t", "a", "b", None, "x"), ("t", "b", "c", None, "x"), ("t", "c", "a", None, "x"), ("t", "z", "a", None, "x"), ("t", "me", "me", None, "x")]
     df = spark.createDataFrame(rows, SCHEMA)
     for hot in (100, 2):
         got = hierarchy(df, "trace_id", "span_id", "parent_id", "exported_at", True, hot).collect()
         assert {(r.id, r.root_id) for r in got} == {("a", "a"), ("b", "a"), ("c", "a"), ("z", "a"), ("me", "me")}
-        assert sum(r.back_edge for r in got) == 2
+        assert {r.id for r in got if r.back_edge} == {"a", "me"}
 
 
 def test_descendants_and_empty_table(spark):
@@ -82,3 +82,13 @@ def test_descendants_and_empty_table(spark):
     got = {(r.id, r.descendant, r.distance) for r in descendants(hierarchy(df, "trace_id", "span_id", "parent_id", with_path=True)).collect()}
     assert got == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
     assert hierarchy(df.limit(0), "trace_id", "span_id", "parent_id").count() == 0
+
+
+def test_components_and_walks_from_any_start():
+    assert len(set(components([-1, 0, 0, -1, 3, 5]))) == 3 and components([]) == []
+    ids = ["d", "c", "b", "a", "r", "s"]
+    up = {"a": "b", "b": "c", "c": "a", "d": "a", "r": None, "s": "r"}
+    for order in (ids, ids[::-1], sorted(ids)):
+        root, depth, path, back = walk(order, [up[x] for x in order])
+        got = dict(zip(order, zip(root, depth, path, back)))
+        assert got["d"] == ("a", -1, None, False) and got["a"] == ("a", -1, None, True) and not got["b"][3] and got["s"] == ("r", 1, ["r", "s"], False)
