@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from hunkyard.operators.colocate import map_groups
 
 SALTS = 32
-LIST_LIMIT = 10_000
+LIST_ROWS = 10_000
 SLOT_BLOCK = 10_000
 KEEP_PARTS = 64
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hunkyard.llm.packing import LIST_LIMIT, keep, pack
+from hunkyard.llm.packing import LIST_ROWS, keep, pack
 from hunkyard.session import durable
 from hunkyard.sources.tables import table
 
@@ -47,29 +47,44 @@ def p3_assigned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """The chunks with their files; the last one of a pull request lists the files omitted wholly or in part.
+    """The chunks with their files and, in rows without a chunk number, the files omitted wholly or in part.
 
-    A list of more than ``LIST_LIMIT`` omitted files is left null and its rows are those of ``p3_assigned``;
-    ``n_omitted`` always counts them all.
+    The omitted files of a pull request are one such row, or as many as lists of about ``LIST_ROWS`` files make, so that
+    no list grows with a hot pull request; ``n_omitted`` of each of these rows counts them all.
     """
     placed, _ = _placed(spark, d)
-    chunks = placed.where("chunk_no is not null").groupBy("repo", "pr", "chunk_no").agg(F.sum("tokens").alias("token_count"), F.max("capacity").alias("max_tokens"), F.transform(F.array_sort(F.collect_set(F.struct("item", "file_path"))), lambda x: x["file_path"]).alias("source_files"))
-    out = placed.where("chunk_no is null").select("repo", "pr", "item", "file_path").distinct()
+    names = lambda c: F.transform(F.array_sort(c), lambda x: x["file_path"])
+    item = F.struct("item", "file_path")
+    chunks = placed.where("chunk_no is not null").groupBy("repo", "pr", "chunk_no").agg(F.sum("tokens").alias("token_count"), F.max("capacity").alias("max_tokens"), names(F.collect_set(item)).alias("source_files"))
+    chunks = chunks.select("repo", "pr", "chunk_no", "token_count", "max_tokens", (F.col("max_tokens") - F.col("token_count")).alias("slack"), "source_files", F.lit(None).cast("array<string>").alias("omitted_files"), F.lit(None).cast("bigint").alias("n_omitted"))
+    out = placed.where("chunk_no is null").groupBy("repo", "pr", "item", "file_path").agg(F.sum("tokens").alias("tokens"), F.max("capacity").alias("max_tokens"))
     size = out.groupBy("repo", "pr").agg(F.count("*").alias("n_omitted"))
-    lists = out.join(size.where(F.col("n_omitted") <= LIST_LIMIT), ["repo", "pr"]).groupBy("repo", "pr").agg(F.transform(F.array_sort(F.collect_list(F.struct("item", "file_path"))), lambda x: x["file_path"]).alias("omitted"))
-    last = chunks.groupBy("repo", "pr").agg(F.max("chunk_no").alias("chunk_no")).join(size, ["repo", "pr"], "left").join(lists, ["repo", "pr"], "left")
-    j = chunks.join(last, ["repo", "pr", "chunk_no"], "left")
-    return j.select("repo", "pr", "chunk_no", "token_count", "max_tokens", (F.col("max_tokens") - F.col("token_count")).alias("slack"), "source_files", "omitted", F.col("n_omitted")).withColumnRenamed("omitted", "omitted_files")
+    parts = out.join(size, ["repo", "pr"]).withColumn("part", F.pmod(F.xxhash64("item"), F.ceil(F.col("n_omitted") / LIST_ROWS)))
+    rest = parts.groupBy("repo", "pr", "part").agg(F.sum("tokens").alias("token_count"), F.max("max_tokens").alias("max_tokens"), names(F.collect_list(item)).alias("omitted_files"), F.max("n_omitted").alias("n_omitted"))
+    return chunks.unionByName(rest.select("repo", "pr", F.lit(None).cast("int").alias("chunk_no"), "token_count", "max_tokens", F.lit(None).cast("bigint").alias("slack"), F.lit(None).cast("array<string>").alias("source_files"), "omitted_files", "n_omitted"))
 
 
 def p3_compare(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks and their mean filling of each pull request, ours and today's."""
+    """The chunks of each pull request that are kept, with their tokens and mean filling, ours and today's."""
     placed, limits = _placed(spark, d)
-    ours = placed.groupBy("repo", "pr", "grp", "bin").agg(F.sum("tokens").alias("t"), F.max("capacity").alias("c")).groupBy("repo", "pr").agg(F.count("*").alias("chunks"), F.round(F.avg(F.col("t") / F.col("c")), 4).alias("filling"))
+    kept = placed.where("chunk_no is not null").groupBy("repo", "pr", "chunk_no").agg(F.sum("tokens").alias("t"), F.max("capacity").alias("c"))
+    ours = kept.groupBy("repo", "pr").agg(F.count("*").alias("chunks"), F.sum("t").alias("tokens"), F.max("c").alias("max_tokens"), F.round(F.avg(F.col("t") / F.col("c")), 4).alias("filling"))
+    left = placed.where("chunk_no is null").groupBy("repo", "pr").agg(F.sum("tokens").alias("omitted_tokens"))
     r = table(spark, d, "review_chunks").groupBy("chunk_id", "repo", "pr").agg(F.max("token_count").alias("t"))
-    today = r.groupBy("repo", "pr").agg(F.count("*").alias("chunks_today"), F.sum("t").alias("tokens_today"))
-    return ours.join(today, ["repo", "pr"], "left")
+    today = r.groupBy("repo", "pr").agg(F.count("*").alias("chunks_today"), F.sum("t").alias("tokens_today"), F.avg("t").alias("mean_today"))
+    j = ours.join(left, ["repo", "pr"], "left").join(today, ["repo", "pr"], "left")
+    return j.select("repo", "pr", "chunks", "tokens", "filling", F.coalesce("omitted_tokens", F.lit(0)).alias("omitted_tokens"), "chunks_today", "tokens_today", F.round(F.col("mean_today") / F.col("max_tokens"), 4).alias("filling_today"))
 
 
-QUERIES = {"p3_chunks": p3_chunks, "p3_assigned": p3_assigned, "p3_compare": p3_compare}
-ORACLES: dict[str, str] = {}
+def p3_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Files and tokens of each pull request as placed: nothing is lost, doubled or shortened on the way."""
+    placed, _ = _placed(spark, d)
+    return placed.groupBy("repo", "pr").agg(F.count_distinct("item").alias("files"), F.sum("tokens").cast("bigint").alias("tokens"))
+
+
+QUERIES = {"p3_chunks": p3_chunks, "p3_assigned": p3_assigned, "p3_compare": p3_compare, "p3_sizes": p3_sizes}
+ORACLES = {
+    "p3_sizes": """WITH last AS (SELECT *, row_number() OVER (PARTITION BY repo, pr, coalesce(ord::VARCHAR, 'id ' || diff_id) ORDER BY fetched_at DESC NULLS LAST, diff_id DESC) AS n
+  FROM diff_files WHERE repo IS NOT NULL AND pr IS NOT NULL)
+SELECT repo, pr, count(*) AS files, sum(token_count)::BIGINT AS tokens FROM last WHERE n = 1 AND token_count > 0 GROUP BY 1, 2""",
+}
