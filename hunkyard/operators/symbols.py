@@ -6,7 +6,7 @@ import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hunkyard.functions import text as T
@@ -19,6 +19,7 @@ DEFINITIONS = [
     r"^\s*(?:export\s+)?class\s+([A-Za-z_$][A-Za-z0-9_$]*)\b",
     r"^\s*(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*(?:async\s*)?\(",
 ]
+DEFINING = r"\b(?:def|class|function|const|let|var)\b"
 CALL = r"\b([A-Za-z_$][A-Za-z0-9_$]*)\s*\("
 PYTHON_IMPORT = r"(?m)^[ \t]*import[ \t]+([A-Za-z0-9_., \t]+)"
 PYTHON_FROM = r"(?m)^[ \t]*from[ \t]+([A-Za-z0-9_.]+)[ \t]+import[ \t]+"
@@ -32,18 +33,31 @@ def definition_name(line: Column) -> Column:
     return out
 
 
+def with_symbols(files: DataFrame, keep: list[str], content: str) -> DataFrame:
+    """``keep`` and ``symbols``, an array of name, start_line, end_line, calls: what :func:`text_symbols` finds, in the file's own row.
+
+    Lines and definitions are columns of their own, each used more than once, so that they are found once a file.
+    """
+    lines = files.select(*keep, T.lines(F.col(content)).alias("__lines"))
+    found = F.filter(F.transform("__lines", lambda x, i: F.struct((i + 1).alias("at"), F.when(F.rlike(x, F.lit(DEFINING)), definition_name(x)).alias("name"))), lambda d: d["name"].isNotNull())
+    defs = lines.select(*keep, "__lines", found.alias("__defs"))
+
+    def symbol(d: Column, k: Column) -> Column:
+        last = F.coalesce(F.get("__defs", k + 1)["at"] - 1, F.size("__lines"))
+        body = F.array_join(F.slice("__lines", d["at"], last - d["at"] + 1), "\n")
+        names = F.array_distinct(F.regexp_extract_all(body, F.lit(CALL), F.lit(1)))
+        return F.struct(d["name"].alias("name"), d["at"].alias("start_line"), last.alias("end_line"), F.array_sort(F.array_remove(names, d["name"])).alias("calls"))
+
+    return defs.select(*keep, F.transform("__defs", symbol).alias("symbols"))
+
+
 def text_symbols(files: DataFrame, key: str, content: str) -> DataFrame:
-    """``key, name, start_line, end_line, calls`` of each definition, by the forms of single lines.
+    """``key, name, start_line, end_line, calls`` of each definition, by the forms of single lines. No shuffle.
 
     A body ends before the next definition of the file, or with the file. Calls are the names in front of an opening
     bracket in the body, each once, without the definition's own name. Null and empty texts have no definitions.
     """
-    each = files.select(key, F.posexplode(T.lines(F.col(content))).alias("pos", "line")).withColumn("name", definition_name(F.col("line")))
-    by = Window.partitionBy(key).orderBy("pos")
-    each = each.withColumn("def_no", F.count("name").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    g = each.where("def_no > 0").groupBy(key, "def_no").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.max("name").alias("name"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("body"))
-    names = F.array_distinct(F.regexp_extract_all(F.array_join("body", "\n"), F.lit(CALL), F.lit(1)))
-    return g.select(key, "name", (F.col("first") + 1).alias("start_line"), (F.col("last") + 1).alias("end_line"), F.array_sort(F.array_remove(names, F.col("name"))).alias("calls"))
+    return with_symbols(files, [key], content).select(key, F.inline("symbols"))
 
 
 def normal_dependency(c: Column) -> Column:
@@ -56,18 +70,21 @@ def normal_dependency(c: Column) -> Column:
     return t
 
 
-def text_dependencies(files: DataFrame, key: str, content: str, language: Column) -> DataFrame:
-    """``key, specifier, dependency`` of each import of a text, each once.
+def specifiers(content: Column, language: Column) -> Column:
+    """The imports of a text, each once, as an array.
 
     Python: the first part of imported modules and the module of a from-import, line by line. Other languages: the
     quoted text of from, import and require.
     """
-    c = F.col(content)
-    plain = F.transform(F.flatten(F.transform(F.regexp_extract_all(c, F.lit(PYTHON_IMPORT), F.lit(1)), lambda x: F.split(x, ","))), lambda x: F.element_at(F.split(F.trim(x), r"\."), 1))
-    python = F.concat(plain, F.regexp_extract_all(c, F.lit(PYTHON_FROM), F.lit(1)))
-    quoted = F.concat(*(F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in QUOTED_IMPORTS))
-    names = F.when(language == "python", python).otherwise(quoted)
-    each = files.where(c.isNotNull()).select(key, F.explode(F.array_distinct(names)).alias("specifier")).where("specifier <> ''")
+    plain = F.transform(F.flatten(F.transform(F.regexp_extract_all(content, F.lit(PYTHON_IMPORT), F.lit(1)), lambda x: F.split(x, ","))), lambda x: F.element_at(F.split(F.trim(x), r"\."), 1))
+    python = F.concat(plain, F.regexp_extract_all(content, F.lit(PYTHON_FROM), F.lit(1)))
+    quoted = F.concat(*(F.regexp_extract_all(content, F.lit(p), F.lit(1)) for p in QUOTED_IMPORTS))
+    return F.filter(F.array_distinct(F.when(language == "python", python).otherwise(quoted)), lambda x: x != "")
+
+
+def text_dependencies(files: DataFrame, key: str, content: str, language: Column) -> DataFrame:
+    """``key, specifier, dependency`` of each import of a text, as :func:`specifiers` finds them."""
+    each = files.where(F.col(content).isNotNull()).select(key, F.explode(specifiers(F.col(content), language)).alias("specifier"))
     return each.withColumn("dependency", normal_dependency(F.col("specifier")))
 
 

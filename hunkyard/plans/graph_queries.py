@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hunkyard.functions import text as T
@@ -10,64 +12,104 @@ from hunkyard.operators import diff as D
 from hunkyard.operators import graph as G
 from hunkyard.operators import symbols as S
 from hunkyard.plans.diff_queries import _PL, sql_lines, sql_text
+from hunkyard.session import durable
 from hunkyard.sources.files import snapshot
 from hunkyard.sources.tables import table
 
 
-def _files(spark: SparkSession, d: str) -> DataFrame:
-    """The latest delivery of each file of a snapshot."""
+def _latest(spark: SparkSession, d: str, *cols: Column) -> DataFrame:
+    """``src_id, repo, git_ref, path`` of the latest delivery of each file, with ``cols`` of its content.
+
+    What is needed of the content is computed in the row before the latest is chosen, so that no content is shuffled.
+    """
     s = table(spark, d, "source_files")
-    w = Window.partitionBy("repo", "git_ref", "path").orderBy(F.desc_nulls_last("fetched_at"), F.desc("src_id"))
-    last = s.select("src_id", "repo", "git_ref", "path", "fetched_at").withColumn("n", F.row_number().over(w)).where("n = 1")
-    return s.join(last.select("src_id"), "src_id").select("src_id", "repo", "git_ref", "path", "content")
+    pick = F.max_by(F.struct("src_id", *cols), F.struct("fetched_at", "src_id")).alias("v")
+    return s.groupBy("repo", "git_ref", "path").agg(pick).select("v.src_id", "repo", "git_ref", "path", *(f"v.{s.select(c).columns[0]}" for c in cols))
 
 
-def _symbols(spark: SparkSession, d: str) -> DataFrame:
-    f = _files(spark, d)
-    s = S.text_symbols(f.select("src_id", "content"), "src_id", "content").join(f.drop("content"), "src_id")
-    return s.withColumn("id", G.symbol_id(F.col("path"), F.col("name"), F.col("start_line")))
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return _latest(spark, d)
 
 
-def _dependencies(spark: SparkSession, d: str) -> DataFrame:
-    f = _files(spark, d)
+def _contents(spark: SparkSession, d: str, where: str) -> DataFrame:
+    """The latest deliveries with their content; only the ids of superseded ones are moved."""
+    s = table(spark, d, "source_files").where(where).select("src_id", "repo", "git_ref", "path", "content")
+    return s.join(_files(spark, d).where(where).select("src_id"), "src_id", "left_semi")
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    """The latest files with ``symbols`` and ``specifiers``: one scan, one exchange of what was found."""
+    s = table(spark, d, "source_files").select("src_id", *G.NS, "path", "fetched_at", "content")
     lang = T.index_language(F.col("path"))
-    return S.text_dependencies(f.withColumn("lang", lang).where("lang <> 'json'"), "src_id", "content", F.col("lang")).join(f.drop("content"), "src_id")
+    imports = F.when(lang.isNotNull() & (lang != "json") & F.col("content").isNotNull(), S.specifiers(F.col("content"), lang)).otherwise(F.array().cast("array<string>"))
+    keep = ["src_id", *G.NS, "path", "fetched_at", "specifiers"]
+    p = S.with_symbols(s.withColumn("specifiers", imports), keep, "content")
+    last = p.groupBy(*G.NS, "path").agg(F.max_by(F.struct("src_id", "symbols", "specifiers"), F.struct("fetched_at", "src_id")).alias("v"))
+    return last.select("v.src_id", *G.NS, "path", "v.symbols", "v.specifiers")
+
+
+def _symbols_of(parsed: DataFrame) -> DataFrame:
+    s = parsed.select("src_id", *G.NS, "path", F.inline("symbols"))
+    return s.withColumn("id", G.symbol_id(F.col("path"), F.col("name"), F.col("start_line")))
+
+
+def _dependencies_of(parsed: DataFrame) -> DataFrame:
+    return parsed.select("src_id", *G.NS, "path", F.explode("specifiers").alias("specifier")).withColumn("dependency", S.normal_dependency(F.col("specifier")))
+
+
+class Snapshot:
+    """Files, symbols, edges and dependents of all snapshots; what several steps read is written once."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.parsed = durable(_parsed(spark, d))
+        self.files = self.parsed.select("src_id", *G.NS, "path")
+        self.symbols = _symbols_of(self.parsed)
+        self.dependencies = _dependencies_of(self.parsed)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return durable(G.caller_edges(self.symbols))
+
+    @cached_property
+    def dependents(self) -> DataFrame:
+        return G.dependents(self.dependencies, self.files)
 
 
 def text_symbols(spark: SparkSession, d: str) -> DataFrame:
-    s = _symbols(spark, d)
+    s = _symbols_of(_parsed(spark, d))
     return s.select("id", "repo", "git_ref", F.col("end_line").cast("bigint").alias("end_line"), F.size("calls").cast("bigint").alias("n_calls"))
 
 
 def text_dependencies(spark: SparkSession, d: str) -> DataFrame:
-    return _dependencies(spark, d).select("src_id", "specifier", "dependency")
+    return _dependencies_of(_parsed(spark, d)).select("src_id", "specifier", "dependency")
 
 
 def python_symbols(spark: SparkSession, d: str) -> DataFrame:
-    f = _files(spark, d).where("path like '%.py'")
+    f = _contents(spark, d, "path like '%.py'")
     return S.python_symbols(f, "src_id", "content").withColumnRenamed("row_id", "src_id")
 
 
 def python_imports(spark: SparkSession, d: str) -> DataFrame:
-    f = _files(spark, d).where("path like '%.py'")
+    f = _contents(spark, d, "path like '%.py'")
     return S.python_imports(f, "src_id", "content").withColumnRenamed("row_id", "src_id").distinct()
 
 
 def caller_edges(spark: SparkSession, d: str) -> DataFrame:
-    return G.caller_edges(_symbols(spark, d))
+    return G.caller_edges(Snapshot(spark, d).symbols)
 
 
 def callers_depth2(spark: SparkSession, d: str) -> DataFrame:
-    return G.callers_within_two(G.caller_edges(_symbols(spark, d)))
+    return G.callers_within_two(Snapshot(spark, d).edges)
 
 
 def import_resolve(spark: SparkSession, d: str) -> DataFrame:
-    f = _files(spark, d)
-    return G.resolve_imports(_dependencies(spark, d), f, G.module_configs(f))
+    g = Snapshot(spark, d)
+    configs = G.module_configs(_contents(spark, d, "path like '%config.json'"))
+    return G.resolve_imports(g.dependencies, g.files, configs)
 
 
 def dependents(spark: SparkSession, d: str) -> DataFrame:
-    return G.dependents(_dependencies(spark, d), _files(spark, d))
+    return Snapshot(spark, d).dependents
 
 
 def changed_symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -81,25 +123,25 @@ def changed_symbols(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_topk(spark: SparkSession, d: str) -> DataFrame:
-    s = _symbols(spark, d)
-    return G.related_symbols(s, G.caller_edges(s), dependents(spark, d)).withColumn("score", F.col("score").cast("bigint"))
+    g = Snapshot(spark, d)
+    return G.related_symbols(g.symbols, g.edges, g.dependents).withColumn("score", F.col("score").cast("bigint"))
 
 
 def impact_risk(spark: SparkSession, d: str) -> DataFrame:
     """Risk of changing each file as a whole."""
-    s = _symbols(spark, d)
-    c = G.callers_of_files(s, G.caller_edges(s)).groupBy(*G.NS, "path").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") == 2).alias("second"))
-    n = s.groupBy(*G.NS, "path").agg(F.count("*").alias("changed"), F.array_join(F.array_sort(F.collect_set("name")), " ").alias("names"))
-    k = dependents(spark, d).groupBy(*G.NS, "path").agg(F.count("*").alias("depend"))
-    f = _files(spark, d).select(*G.NS, "path")
-    j = f.join(n, [*G.NS, "path"], "left").join(c, [*G.NS, "path"], "left").join(k, [*G.NS, "path"], "left").fillna(0, ["changed", "direct", "second", "depend"])
+    g = Snapshot(spark, d)
+    c = G.callers_of_files(g.symbols, g.edges).groupBy(*G.NS, "path").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") == 2).alias("second"))
+    k = g.dependents.groupBy(*G.NS, "path").agg(F.count("*").alias("depend"))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("symbols", lambda x: x["name"]))), " ")
+    f = g.parsed.select(*G.NS, "path", F.size("symbols").alias("changed"), names.alias("names"))
+    j = f.join(c, [*G.NS, "path"], "left").join(k, [*G.NS, "path"], "left").fillna(0, ["direct", "second", "depend"])
     score, level, reasons = G.risk(F.col("changed"), F.col("direct"), F.col("second"), F.col("depend"), F.concat_ws(" ", "path", "names"))
     return j.select(*G.NS, "path", score.alias("risk_score"), level.alias("risk_level"), reasons.alias("reasons"))
 
 
 def repo_map(spark: SparkSession, d: str) -> DataFrame:
-    f = _files(spark, d).where("path like '%.py'")
-    return G.repo_map(S.python_functions(f, "src_id", "content").withColumnRenamed("row_id", "src_id").join(f.drop("content"), "src_id"))
+    f = _contents(spark, d, "path like '%.py'")
+    return G.repo_map(S.python_functions(f, "src_id", "content").withColumnRenamed("row_id", "src_id").join(_files(spark, d), "src_id"))
 
 
 def test_targets(spark: SparkSession, d: str) -> DataFrame:
@@ -110,8 +152,7 @@ def test_targets(spark: SparkSession, d: str) -> DataFrame:
 
 def snapshot_cap(spark: SparkSession, d: str) -> DataFrame:
     """The files of each snapshot that the index takes in, the first five hundred by path."""
-    s = snapshot(table(spark, d, "source_files").join(_files(spark, d).select("src_id"), "src_id"), G.NS, F.coalesce("size_bytes", F.lit(0)))
-    return s.select(*G.NS, "path", "src_id")
+    return snapshot(_latest(spark, d, F.col("size_bytes")), G.NS, F.coalesce("size_bytes", F.lit(0))).select(*G.NS, "path", "src_id")
 
 
 QUERIES = {f.__name__: f for f in (text_symbols, text_dependencies, python_symbols, python_imports, caller_edges, callers_depth2, import_resolve, dependents, changed_symbols, context_topk, impact_risk, repo_map, test_targets, snapshot_cap)}
