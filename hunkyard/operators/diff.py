@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hunkyard.functions import text as T
+from hunkyard.functions.arrays import rows_of
 from hunkyard.operators.prefix import running_before
 
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
@@ -77,7 +78,7 @@ def _count(body: Column, test) -> Column:
 
 def hunks(files: DataFrame, key: str = "diff_id", patch: str = "patch") -> DataFrame:
     """One row for each hunk: starts and counts (a missing count is 1) and its lines by kind."""
-    h = hunked(files, [key], patch).select(key, F.inline("hs"))
+    h = rows_of(hunked(files, [key], patch), [key], "hs", "hunk_no")
     head = F.col("header")
     return h.select(
         key,
@@ -108,19 +109,38 @@ def _with_changes(hs: Column) -> Column:
     return F.transform(hs, one)
 
 
-def added_line_numbers(files: DataFrame, key: str = "diff_id", patch: str = "patch") -> DataFrame:
-    """``key, new_line`` of the lines that the symbol index counts as added.
+def with_added(files: DataFrame, keep: list[str], patch: str = "patch") -> DataFrame:
+    """``keep, added``: the numbers of the lines that the symbol index counts as added, each once, as an array. No shuffle.
 
     Another rule than in :func:`numbered_lines`: +++ and --- lines are no additions or removals, and a line with a
     backslash moves the counter on.
     """
-    s = patch_lines(files, key, patch)
-    add = F.col("line").startswith("+") & ~F.col("line").startswith("+++")
-    cut = F.col("line").startswith("-") & ~F.col("line").startswith("---")
-    s = s.withColumn("step", F.when(F.col("is_header") | cut, 0).otherwise(1)).withColumn("add", ~F.col("is_header") & add)
-    by = Window.partitionBy(key, "hunk_no")
-    at = F.max(F.when(F.col("is_header"), _header(3))).over(by) + F.coalesce(F.sum("step").over(by.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return s.withColumn("new_line", at).where("add").select(key, "new_line").distinct()
+
+    def step(a: Column, x: Column) -> Column:
+        add = x.startswith("+") & ~x.startswith("+++")
+        cut = x.startswith("-") & ~x.startswith("---")
+        return F.struct((a["at"] + F.when(cut, 0).otherwise(1)).alias("at"), F.when(add, F.array_append(a["out"], a["at"])).otherwise(a["out"]).alias("out"))
+
+    start = lambda h: F.struct(_number(h["header"], 3).alias("at"), F.array().cast("array<bigint>").alias("out"))
+    each = F.transform("hs", lambda h: F.aggregate(h["body"], start(h), step, lambda a: a["out"]))
+    return hunked(files, keep, patch).select(*keep, F.array_distinct(F.flatten(each)).alias("added"))
+
+
+def added_line_numbers(files: DataFrame, key: str = "diff_id", patch: str = "patch") -> DataFrame:
+    """``key, new_line`` of the lines of :func:`with_added`, for unique keys."""
+    each = F.transform("added", lambda n: F.struct(n.alias("new_line"), F.lit(True).alias("there")))
+    return rows_of(with_added(files, [key], patch), [key], each, "there").select(key, "new_line")
+
+
+def new_sides(hs: Column) -> Column:
+    """Hunks as hunk_no, first (the number of the first line on the new side) and hay (the lines there as compared)."""
+
+    def one(h: Column) -> Column:
+        there = F.filter(h["body"], lambda x: ~x.startswith("-") & ~x.startswith("\\"))
+        body = lambda x: T.normal_line(F.when(F.rlike(x, F.lit(r"^[ +]")), F.substring(x, 2, _REST)).otherwise(x))
+        return F.struct(h["hunk_no"].alias("hunk_no"), _number(h["header"], 3).alias("first"), F.transform(there, body).alias("hay"))
+
+    return F.transform(hs, one)
 
 
 def skip_reason(path: Column, status: Column, patch: Column) -> Column:
@@ -145,10 +165,11 @@ def _context(h: Column, whole: Column, context: int) -> tuple[Column, Column]:
 
 def hunk_context(files: DataFrame, context: int = CONTEXT_LINES, key: str = "diff_id") -> DataFrame:
     """``key, hunk_no, first_line, last_line``: the lines of the whole file shown around a hunk's changes."""
-    f = hunked(files, [key, "full_content"]).select(key, "hs", T.lines(F.col("full_content")).alias("whole")).where("size(whole) > 0")
-    h = f.select(key, "whole", F.inline(_with_changes(F.col("hs")))).where("lo is not null")
-    first, last = _context(F.struct("lo", "hi"), F.col("whole"), context)
-    return h.select(key, "hunk_no", first.alias("first_line"), last.alias("last_line"))
+    f = hunked(files, [key, "full_content"]).select(key, "hs", T.lines(F.col("full_content")).alias("whole"))
+    first = lambda h: _context(h, F.col("whole"), context)[0].alias("first_line")
+    last = lambda h: _context(h, F.col("whole"), context)[1].alias("last_line")
+    near = F.transform(_with_changes(F.col("hs")), lambda h: F.struct(h["hunk_no"].alias("hunk_no"), F.when(h["lo"].isNotNull() & (F.size("whole") > 0), first(h)).alias("first_line"), last(h)))
+    return rows_of(f, [key], near, "first_line")
 
 
 def _costs(h: Column, whole: Column, context: int) -> Column:
@@ -193,20 +214,16 @@ def file_tokens(files: DataFrame, key: str = "diff_id") -> DataFrame:
     return c.select(key, F.when(F.col("is_kept"), F.col("frame") + total).otherwise(0).cast("bigint").alias("tokens"))
 
 
-def chunks(files: DataFrame, key: str = "diff_id") -> DataFrame:
-    """``key, chunk_no, token_count, compressed`` of each file of ``files``, which also has ``max_tokens``.
-
-    Hunks are packed in order while frame and hunks fit the budget; a hunk too large for one chunk is split by lines.
-    The fold runs over the costs in the file's own row: no shuffle, and no text is collected.
-    """
+def _folded(files: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep, done``: the chunks of each file that is not skipped, as an array of tokens (t) and whether a hunk was split (c)."""
     kept = kept_files(files).withColumn("budget", F.greatest(F.coalesce("max_tokens", F.lit(0)), F.lit(LEAST_BUDGET)))
-    c = hunk_costs(kept, [key, "frame", "budget"])
+    c = hunk_costs(kept, [*keep, "frame", "budget"])
 
     def item(hunk_no: Column, cost: Column, split: bool) -> Column:
         return F.struct(hunk_no.alias("hunk_no"), cost.cast("bigint").alias("cost"), F.lit(split).alias("split"))
 
     items = F.flatten(F.transform("costs", lambda h: F.when(F.col("frame") + h["cost"] > F.col("budget"), F.transform(h["each"], lambda x: item(h["hunk_no"], x, True))).otherwise(F.array(item(h["hunk_no"], h["cost"], False)))))
-    arrays = c.select(key, "frame", "budget", items.alias("items"))
+    arrays = c.select(*keep, "frame", "budget", items.alias("items"))
     fold = F.expr("""
         aggregate(items, named_struct('done', cast(array() as array<struct<t:bigint,c:boolean>>), 't', cast(-1 as bigint), 'c', false, 'h', -1),
           (a, x) -> if(a.t < 0, named_struct('done', a.done, 't', frame + x.cost, 'c', x.split, 'h', x.hunk_no),
@@ -214,8 +231,23 @@ def chunks(files: DataFrame, key: str = "diff_id") -> DataFrame:
                         named_struct('done', array_append(a.done, named_struct('t', a.t, 'c', a.c)), 't', frame + x.cost, 'c', x.split, 'h', x.hunk_no),
                         named_struct('done', a.done, 't', a.t + x.cost, 'c', a.c, 'h', a.h))),
           a -> if(a.t < 0, a.done, array_append(a.done, named_struct('t', a.t, 'c', a.c))))""")
-    each = arrays.select(key, F.posexplode(fold).alias("at", "chunk"))
-    return each.select(key, (F.col("at") + 1).alias("chunk_no"), F.col("chunk.t").alias("token_count"), F.col("chunk.c").alias("compressed"))
+    return arrays.select(*keep, fold.alias("done"))
+
+
+def chunks(files: DataFrame, key: str = "diff_id") -> DataFrame:
+    """``key, chunk_no, token_count, compressed`` of each file of ``files``, which also has ``max_tokens``.
+
+    Hunks are packed in order while frame and hunks fit the budget; a hunk too large for one chunk is split by lines.
+    The fold runs over the costs in the file's own row: no shuffle, and no text is collected.
+    """
+    each = F.transform("done", lambda c, i: F.struct((i + 1).alias("chunk_no"), c["t"].alias("token_count"), c["c"].alias("compressed")))
+    return rows_of(_folded(files, [key]), [key], each, "chunk_no")
+
+
+def chunk_counts(files: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep, n_chunks, tokens`` of each file that is not skipped, from the same fold, without exploding it."""
+    f = _folded(files, keep)
+    return f.select(*keep, F.size("done").cast("bigint").alias("n_chunks"), F.aggregate("done", F.lit(0).cast("bigint"), lambda n, x: n + x["t"]).alias("tokens"))
 
 
 def cap_chunks(per_file: DataFrame, group: list[str], order: str) -> DataFrame:

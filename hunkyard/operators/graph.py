@@ -133,6 +133,18 @@ def resolve_imports(imports: DataFrame, files: DataFrame, configs: DataFrame | N
     return keys.join(names, [*NS, "key"]).select(*NS, "path", "specifier", "target").distinct()
 
 
+def targets_or_importers(resolved: DataFrame, asked: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """``repo, git_ref, path, specifier, target``: the files an import means or, where there is none, the files that import the same name.
+
+    ``resolved`` as :func:`resolve_imports` gives it for the imports ``asked``: repo, git_ref, path, specifier;
+    ``dependencies``: repo, git_ref, path, dependency of all files.
+    """
+    none = asked.select(*NS, "path", "specifier").distinct().join(resolved.select(*NS, "path", "specifier").distinct(), [*NS, "path", "specifier"], "left_anti")
+    keys = none.select(*NS, "path", "specifier", F.explode(specifier_keys(F.col("specifier"))).alias("dependency"))
+    importers = dependencies.select(*NS, F.col("path").alias("target"), "dependency").distinct()
+    return resolved.unionByName(keys.join(importers, [*NS, "dependency"]).select(*NS, "path", "specifier", "target").distinct())
+
+
 def dependents(dependencies: DataFrame, files: DataFrame) -> DataFrame:
     """``repo, git_ref, path, dependent``: the files that import a name under which ``path`` may be imported."""
     keys = files.select(*NS, "path", F.explode(path_keys(F.col("path"))).alias("key"))
@@ -150,13 +162,18 @@ def caller_edges(symbols: DataFrame) -> DataFrame:
 def imported_callers(symbols: DataFrame, bindings: DataFrame, targets: DataFrame) -> DataFrame:
     """Edges of calls to a name that an import binds: ``bindings`` has path, local_name, imported_name, specifier.
 
-    A whole-module binding (null or *) means every symbol of the target, ``default`` its top-level ones, any other name
-    the symbols of that name.
+    A whole-module binding (null or *) means every symbol of the target, ``default`` its top-level ones (all, where it has
+    none), any other name the symbols of that name or whose qualified name ends with it. Symbols without a qualified
+    name are top-level.
     """
+    qualified = F.coalesce("qualified_name", "name") if "qualified_name" in symbols.columns else F.col("name")
     calls = symbols.select(*NS, "path", F.col("id").alias("caller_id"), F.explode("calls").alias("local_name"))
     b = calls.join(bindings.select(*NS, "path", "local_name", "imported_name", "specifier"), [*NS, "path", "local_name"]).join(targets, [*NS, "path", "specifier"])
-    s = symbols.select(*NS, F.col("path").alias("target"), F.col("id").alias("callee_id"), F.col("name").alias("callee_name"))
-    ok = F.col("imported_name").isNull() | F.col("imported_name").isin("*", "default") | (F.col("callee_name") == F.col("imported_name"))
+    s = symbols.select(*NS, F.col("path").alias("target"), F.col("id").alias("callee_id"), F.col("name").alias("callee_name"), qualified.alias("callee_qualified"))
+    top = s.groupBy(*NS, "target").agg(F.max(~F.contains("callee_qualified", F.lit("."))).alias("has_top"))
+    s = s.join(top, [*NS, "target"])
+    named = (F.col("callee_name") == F.col("imported_name")) | F.endswith("callee_qualified", F.concat(F.lit("."), F.col("imported_name")))
+    ok = F.when(F.coalesce(F.col("imported_name"), F.lit("*")) == "*", True).when(F.col("imported_name") == "default", ~F.col("has_top") | ~F.contains("callee_qualified", F.lit("."))).otherwise(named)
     return b.join(s, [*NS, "target"]).where(ok & (F.col("caller_id") != F.col("callee_id"))).select(*NS, "callee_id", "caller_id").distinct()
 
 

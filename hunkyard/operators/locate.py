@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hunkyard.functions import text as T
+from hunkyard.functions.arrays import rows_of
 from hunkyard.operators import diff as D
 from hunkyard.operators.colocate import map_groups
 
@@ -30,16 +31,17 @@ def locate(snippets: DataFrame, files: DataFrame) -> DataFrame:
     ``snippets``: snippet_id, diff_id, code; ``files``: diff_id, patch, full_content. The new side of the hunks comes
     first, in order; the whole file is the fallback. Blank lines of the snippet are dropped but not those of the file.
     """
-    want = snippets.select("snippet_id", F.col("diff_id").alias("sd"), needle(F.col("code")).alias("find")).where("size(find) > 0")
-    new = D.numbered_lines(files).where("kind in ('+', ' ')")
-    body = F.when(F.rlike("line", F.lit(r"^[ +]")), F.substring("line", 2, 1_000_000_000)).otherwise(F.col("line"))
-    side = new.groupBy("diff_id", "hunk_no").agg(F.min("new_line").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("new_line", T.normal_line(body).alias("x")))), lambda r: r["x"]).alias("hay"))
-    in_hunk = want.join(side, F.col("sd") == F.col("diff_id")).withColumn("at", first_match(F.col("hay"), F.col("find"))).where("at is not null")
-    best = in_hunk.groupBy("snippet_id").agg(F.min(F.struct("hunk_no", (F.col("first") + F.col("at") - 1).alias("s"), F.size("find").alias("m"))).alias("b"))
-    hunk = best.select("snippet_id", F.col("b.s").alias("start_line"), (F.col("b.s") + F.col("b.m") - 1).alias("end_line"), F.lit("diff_hunk").alias("source"))
-    whole = files.select("diff_id", F.transform(T.lines(F.col("full_content")), T.normal_line).alias("hay"))
-    rest = want.join(hunk.select("snippet_id"), "snippet_id", "left_anti").join(whole, F.col("sd") == F.col("diff_id")).withColumn("at", first_match(F.col("hay"), F.col("find"))).where("at is not null")
-    return hunk.unionByName(rest.select("snippet_id", F.col("at").cast("bigint").alias("start_line"), (F.col("at") + F.size("find") - 1).cast("bigint").alias("end_line"), F.lit("full_content").alias("source")))
+    want = snippets.select("snippet_id", F.col("diff_id").alias("sd"), needle(F.col("code")).alias("find"))
+    j = want.join(files.select("diff_id", "patch", "full_content"), F.col("sd") == F.col("diff_id"))
+    # columns that are looked at once a line are used twice each, so that they are made once a row
+    h = D.hunked(j, ["snippet_id", "find", "full_content"]).select("snippet_id", "find", "full_content", D.new_sides(F.col("hs")).alias("sides"))
+    placed = F.transform("sides", lambda s: F.struct((s["first"] - 1 + first_match(s["hay"], F.col("find"))).alias("s"), s["hunk_no"].alias("hunk_no")))
+    h = h.select("snippet_id", "find", "full_content", F.get(F.filter(placed, lambda p: p["s"].isNotNull()), F.lit(0))["s"].alias("in_hunk"))
+    hay = F.when(F.col("in_hunk").isNull(), F.transform(T.lines(F.col("full_content")), T.normal_line))
+    h = h.select("snippet_id", "find", "in_hunk", hay.alias("hay"))
+    h = h.select("snippet_id", "find", "in_hunk", F.coalesce("in_hunk", first_match(F.col("hay"), F.col("find")).cast("bigint")).alias("s"))
+    place = F.struct(F.col("s").alias("start_line"), (F.col("s") + F.size("find") - 1).alias("end_line"), F.when(F.col("in_hunk").isNotNull(), "diff_hunk").otherwise("full_content").alias("source"))
+    return rows_of(h, ["snippet_id"], F.array(place), "start_line")
 
 
 def _strip(c: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hunkyard.functions import text as T
+from hunkyard.functions.arrays import rows_of
 
 # How a line that defines something looks; the first form that fits gives the name.
 DEFINITIONS = [
@@ -25,6 +26,14 @@ PYTHON_IMPORT = r"(?m)^[ \t]*import[ \t]+([A-Za-z0-9_., \t]+)"
 PYTHON_FROM = r"(?m)^[ \t]*from[ \t]+([A-Za-z0-9_.]+)[ \t]+import[ \t]+"
 QUOTED_IMPORTS = [r"from\s+['\"]([^'\"]+)['\"]", r"import\s+['\"]([^'\"]+)['\"]", r"require\(['\"]([^'\"]+)['\"]\)"]
 
+# How names are bound by imports of scripts; the second group of the first two is the module.
+IMPORT_CLAUSE = r"(?m)^[ \t]*import[ \t]+(?:type[ \t]+)?([^'\";]*?)[ \t]*from[ \t]*['\"]([^'\"]+)['\"]"
+REQUIRE_CLAUSE = r"(?m)^[ \t]*(?:const|let|var)[ \t]+([^'\";=]*?)[ \t]*=[ \t]*require\(['\"]([^'\"]+)['\"]\)"
+BARE_NAME = r"^[ \t]*([A-Za-z_$][A-Za-z0-9_$]*)"
+STAR_NAME = r"\*[ \t]+as[ \t]+([A-Za-z_$][A-Za-z0-9_$]*)"
+IMPORT_RENAMED = r"^(?:type )?([A-Za-z_$][A-Za-z0-9_$]*)(?: as ([A-Za-z_$][A-Za-z0-9_$]*))?$"
+REQUIRE_RENAMED = r"^([A-Za-z_$][A-Za-z0-9_$]*)(?: ?: ?([A-Za-z_$][A-Za-z0-9_$]*))?$"
+
 
 def definition_name(line: Column) -> Column:
     out = F.lit(None).cast("string")
@@ -57,7 +66,7 @@ def text_symbols(files: DataFrame, key: str, content: str) -> DataFrame:
     A body ends before the next definition of the file, or with the file. Calls are the names in front of an opening
     bracket in the body, each once, without the definition's own name. Null and empty texts have no definitions.
     """
-    return with_symbols(files, [key], content).select(key, F.inline("symbols"))
+    return rows_of(with_symbols(files, [key], content), [key], "symbols", "name")
 
 
 def normal_dependency(c: Column) -> Column:
@@ -82,9 +91,37 @@ def specifiers(content: Column, language: Column) -> Column:
     return F.filter(F.array_distinct(F.when(language == "python", python).otherwise(quoted)), lambda x: x != "")
 
 
+def script_bindings(content: Column) -> Column:
+    """The names that imports of a JavaScript or TypeScript text bind, as an array of local_name, imported_name, specifier.
+
+    ``default`` is what a bare name stands for, ``*`` a whole module. Both import clauses and require are read; a renamed
+    name has its own name on the other side.
+    """
+
+    def statements(form: str) -> Column:
+        part = lambda n: F.regexp_extract_all(content, F.lit(form), F.lit(n))
+        return F.zip_with(part(1), part(2), lambda c, m: F.struct(c.alias("clause"), m.alias("specifier")))
+
+    def bound(local: Column, imported: Column, specifier: Column) -> Column:
+        return F.struct(local.alias("local_name"), imported.alias("imported_name"), specifier.alias("specifier"))
+
+    def one(form: str, whole: str, renamed: str):
+        def read(s: Column) -> Column:
+            clause, m = s["clause"], s["specifier"]
+            bare = F.regexp_extract_all(clause, F.lit(BARE_NAME), F.lit(1))
+            star = F.regexp_extract_all(clause, F.lit(STAR_NAME), F.lit(1))
+            named = F.filter(F.transform(F.split(F.regexp_extract(clause, r"\{([^}]*)\}", 1), ","), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: F.rlike(x, F.lit(renamed)))
+            names = F.transform(named, lambda x: bound(F.coalesce(F.nullif(F.regexp_extract(x, renamed, 2), F.lit("")), F.regexp_extract(x, renamed, 1)), F.regexp_extract(x, renamed, 1), m))
+            return F.concat(F.transform(bare, lambda x: bound(x, F.lit(whole), m)), F.transform(star, lambda x: bound(x, F.lit("*"), m)), names)
+
+        return F.flatten(F.transform(statements(form), read))
+
+    return F.array_distinct(F.concat(one(IMPORT_CLAUSE, "default", IMPORT_RENAMED), one(REQUIRE_CLAUSE, "*", REQUIRE_RENAMED)))
+
+
 def text_dependencies(files: DataFrame, key: str, content: str, language: Column) -> DataFrame:
     """``key, specifier, dependency`` of each import of a text, as :func:`specifiers` finds them."""
-    each = files.where(F.col(content).isNotNull()).select(key, F.explode(specifiers(F.col(content), language)).alias("specifier"))
+    each = rows_of(files, [key], F.transform(specifiers(F.col(content), language), lambda x: F.struct(x.alias("specifier"))), "specifier")
     return each.withColumn("dependency", normal_dependency(F.col("specifier")))
 
 

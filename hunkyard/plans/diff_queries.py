@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hunkyard.functions import text as T
 from hunkyard.operators import diff as D
+from hunkyard.session import durable, spread
 from hunkyard.sources.tables import table
 
 
@@ -15,7 +16,7 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_estimate(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).cast("bigint").alias("tokens"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.tokens(F.col("text")).cast("bigint").alias("tokens"))
 
 
 def language_detect(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +29,7 @@ def skip_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hunk_parse(spark: SparkSession, d: str) -> DataFrame:
-    return D.hunks(_files(spark, d))
+    return D.hunks(spread(_files(spark, d).select("diff_id", "patch")))
 
 
 def diff_line_numbers(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +37,7 @@ def diff_line_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def added_lines_index(spark: SparkSession, d: str) -> DataFrame:
-    return D.added_line_numbers(_files(spark, d))
+    return D.added_line_numbers(spread(_files(spark, d).select("diff_id", "patch")))
 
 
 def added_text(spark: SparkSession, d: str) -> DataFrame:
@@ -44,16 +45,34 @@ def added_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hunk_context(spark: SparkSession, d: str) -> DataFrame:
-    return D.hunk_context(_files(spark, d))
+    return D.hunk_context(spread(_files(spark, d).select("diff_id", "patch", "full_content")))
 
 
 def file_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return D.file_tokens(_files(spark, d))
+    return D.file_tokens(spread(_files(spark, d).select("diff_id", "file_path", "language", "status", "patch", "full_content")))
+
+
+# The budget of a review where a repository has none of its own.
+DEFAULT_TOKENS, DEFAULT_CHUNKS = 6000, 24
 
 
 def _budgeted(spark: SparkSession, d: str) -> DataFrame:
+    """Every changed file with the budget of its repository, or the usual one."""
     b = table(spark, d, "chunk_budgets").groupBy("repo").agg(F.min("max_tokens").alias("max_tokens"), F.min("max_chunks").alias("max_chunks"))
-    return _files(spark, d).join(b, "repo")
+    j = spread(_files(spark, d)).join(b, "repo", "left")
+    return j.withColumn("max_tokens", F.coalesce("max_tokens", F.lit(DEFAULT_TOKENS))).withColumn("max_chunks", F.coalesce("max_chunks", F.lit(DEFAULT_CHUNKS)))
+
+
+def _latest(files: DataFrame) -> DataFrame:
+    """``repo, pr, ord, diff_id, file_path, skipped`` of the latest delivery of each file; a row without ord is a file of its own.
+
+    Whether it is skipped is found in the row, so that no text is moved.
+    """
+    key = F.coalesce(F.col("ord").cast("string"), F.concat(F.lit("id "), F.col("diff_id").cast("string")))
+    reason = D.skip_reason(F.col("file_path"), F.col("status"), F.col("patch"))
+    g = files.select("repo", "pr", "ord", key.alias("k"), "fetched_at", "diff_id", "file_path", reason.isNotNull().alias("skipped")).groupBy("repo", "pr", "k")
+    last = g.agg(F.max_by(F.struct("ord", "diff_id", "file_path", "skipped"), F.struct("fetched_at", "diff_id")).alias("v"))
+    return last.select("repo", "pr", "v.ord", "v.diff_id", "v.file_path", "v.skipped")
 
 
 def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
@@ -62,27 +81,36 @@ def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _per_file(spark: SparkSession, d: str) -> DataFrame:
+    """Files of the latest delivery that are reviewed, with their chunks; the chunks are counted in the file's own row."""
     f = _budgeted(spark, d)
-    n = D.chunks(f).groupBy("diff_id").agg(F.count("*").alias("n_chunks"), F.sum("token_count").alias("tokens"))
-    return n.join(f.select("diff_id", "repo", "pr", "file_path", F.col("max_chunks").cast("bigint").alias("max_chunks")), "diff_id")
+    n = D.chunk_counts(f, ["diff_id", "max_chunks"]).withColumn("max_chunks", F.col("max_chunks").cast("bigint"))
+    return durable(n.join(_latest(_files(spark, d)), "diff_id"))  # narrow, and read twice by the running sums
 
 
 def chunk_cap(spark: SparkSession, d: str) -> DataFrame:
-    """Order is that of the row ids, which is unique also where a file was delivered twice."""
-    return D.cap_chunks(_per_file(spark, d), ["repo", "pr"], "diff_id").select("repo", "pr", "diff_id", "n_chunks", "kept_chunks", "omitted")
+    """Slots are taken in the order of the files in their pull request; files without a place come last, by id."""
+    f = _per_file(spark, d).withColumn("place", F.coalesce(F.col("ord").cast("bigint"), F.lit(1 << 40) + F.col("diff_id")))
+    # a filter on the chunks before the windows would be pushed to the scan and fold every file twice
+    return D.cap_chunks(f, ["repo", "pr"], "place").where("n_chunks > 0").select("repo", "pr", "ord", "diff_id", "n_chunks", "kept_chunks", "omitted")
+
+
+def omitted_files(spark: SparkSession, d: str) -> DataFrame:
+    """The files of each pull request that the slots do not suffice for, wholly or in part, and how many chunks are lost."""
+    f = chunk_cap(spark, d).where("omitted").join(_latest(_files(spark, d)).select("diff_id", "file_path"), "diff_id")
+    return f.select("repo", "pr", "ord", "file_path", (F.col("n_chunks") - F.col("kept_chunks")).alias("lost_chunks"))
 
 
 def pipeline_summary(spark: SparkSession, d: str) -> DataFrame:
     """Files, skipped files, chunks and tokens of each pull request."""
-    f = _files(spark, d).select("diff_id", "repo", "pr", D.skip_reason(F.col("file_path"), F.col("status"), F.col("patch")).isNotNull().alias("skipped"))
-    c = _per_file(spark, d).select("diff_id", "n_chunks", "tokens")
+    f = _latest(spread(_files(spark, d)))
+    c = D.chunk_counts(_budgeted(spark, d), ["diff_id"])
     g = f.join(c, "diff_id", "left").groupBy("repo", "pr")
     return g.agg(F.count("*").alias("files"), F.count_if("skipped").alias("skipped_files"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("chunks"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (token_estimate, language_detect, skip_cascade, hunk_parse, diff_line_numbers, added_lines_index, added_text, hunk_context, file_tokens, chunk_pack, chunk_cap, pipeline_summary)
+    for f in (token_estimate, language_detect, skip_cascade, hunk_parse, diff_line_numbers, added_lines_index, added_text, hunk_context, file_tokens, chunk_pack, chunk_cap, omitted_files, pipeline_summary)
 }
 
 
@@ -143,7 +171,7 @@ cost AS (
   UNION ALL SELECT ctx.diff_id, hunk_no, 2, ln, 2 + {sql_tokens("t")} FROM ctx JOIN ft ON ft.diff_id = ctx.diff_id AND ln BETWEEN first_line AND last_line SEMI JOIN kept ON kept.diff_id = ctx.diff_id)"""
 _PACKED = f"""WITH RECURSIVE {_KEPT}, {_COST},
 b AS (SELECT repo, min(max_tokens) AS max_tokens, min(max_chunks) AS max_chunks FROM chunk_budgets GROUP BY 1),
-fb AS (SELECT k.diff_id, k.repo, k.pr, frame, greatest(coalesce(max_tokens, 0), {D.LEAST_BUDGET}) AS budget, max_chunks FROM kept k JOIN b ON b.repo = k.repo),
+fb AS (SELECT k.diff_id, k.repo, k.pr, frame, greatest(coalesce(max_tokens, {DEFAULT_TOKENS}), {D.LEAST_BUDGET}) AS budget, coalesce(max_chunks, {DEFAULT_CHUNKS}) AS max_chunks FROM kept k LEFT JOIN b ON b.repo = k.repo),
 hc AS (SELECT c.diff_id, hunk_no, sum(cost) AS hcost, any_value(frame) + sum(cost) > any_value(budget) AS big FROM cost c JOIN fb ON fb.diff_id = c.diff_id GROUP BY 1, 2),
 items AS (SELECT *, row_number() OVER (PARTITION BY diff_id ORDER BY hunk_no, part, pos) AS rn FROM (
   SELECT diff_id, hunk_no, 0 AS part, 0.0::DOUBLE AS pos, hcost AS cost, false AS split FROM hc WHERE NOT big
@@ -155,7 +183,11 @@ fold AS (
   FROM fold f JOIN items i ON i.diff_id = f.diff_id AND i.rn = f.rn + 1 JOIN fb ON fb.diff_id = i.diff_id,
   LATERAL (SELECT (f.t + i.cost > budget OR f.split <> i.split OR (i.split AND f.hunk_no <> i.hunk_no))::INT AS brk)),
 packed AS (SELECT diff_id, chunk_no::BIGINT AS chunk_no, max(t)::BIGINT AS token_count, any_value(split) AS compressed FROM fold GROUP BY 1, 2),
-per AS (SELECT p.diff_id, any_value(repo) AS repo, any_value(pr) AS pr, count(*) AS n_chunks, any_value(max_chunks) AS max_chunks, sum(token_count) AS tokens FROM packed p JOIN fb ON fb.diff_id = p.diff_id GROUP BY 1)"""
+last AS (SELECT diff_id, repo, pr, ord, file_path FROM (SELECT *, row_number() OVER (PARTITION BY repo, pr, coalesce(ord::VARCHAR, 'id ' || diff_id) ORDER BY fetched_at DESC NULLS LAST, diff_id DESC) AS rn FROM diff_files) WHERE rn = 1),
+per AS (SELECT p.diff_id, any_value(last.repo) AS repo, any_value(last.pr) AS pr, any_value(last.ord) AS ord, any_value(file_path) AS file_path, count(*) AS n_chunks, any_value(max_chunks) AS max_chunks, sum(token_count) AS tokens
+  FROM packed p JOIN fb ON fb.diff_id = p.diff_id JOIN last ON last.diff_id = p.diff_id GROUP BY 1)"""
+_CAPPED = """r AS (SELECT *, coalesce(sum(n_chunks) OVER (PARTITION BY repo, pr ORDER BY ord NULLS LAST, diff_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM per),
+capped AS (SELECT repo, pr, ord, file_path, diff_id, n_chunks, greatest(least(n_chunks, max_chunks - before), 0)::BIGINT AS kept_chunks, max_chunks - before < n_chunks AS omitted FROM r)"""
 
 ORACLES = {
     "token_estimate": f"SELECT doc_id, {sql_tokens('text')}::BIGINT AS tokens FROM documents",
@@ -177,8 +209,8 @@ ORACLES = {
     "file_tokens": f"""WITH {_KEPT}, {_COST}, t AS (SELECT diff_id, sum(cost) AS c FROM cost GROUP BY 1)
  SELECT f.diff_id, coalesce(frame + c, 0)::BIGINT AS tokens FROM diff_files f LEFT JOIN kept k ON k.diff_id = f.diff_id LEFT JOIN t ON t.diff_id = k.diff_id""",
     "chunk_pack": f"{_PACKED} SELECT * FROM packed",
-    "chunk_cap": f"""{_PACKED}, r AS (SELECT *, coalesce(sum(n_chunks) OVER (PARTITION BY repo, pr ORDER BY diff_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM per)
- SELECT repo, pr, diff_id, n_chunks, greatest(least(n_chunks, max_chunks - before), 0)::BIGINT AS kept_chunks, max_chunks - before < n_chunks AS omitted FROM r""",
+    "chunk_cap": f"{_PACKED}, {_CAPPED} SELECT repo, pr, ord, diff_id, n_chunks, kept_chunks, omitted FROM capped",
+    "omitted_files": f"{_PACKED}, {_CAPPED} SELECT repo, pr, ord, file_path, n_chunks - kept_chunks AS lost_chunks FROM capped WHERE omitted",
     "pipeline_summary": f"""{_PACKED} SELECT f.repo, f.pr, count(*) AS files, count(*) FILTER (reason IS NOT NULL) AS skipped_files, coalesce(sum(n_chunks), 0)::BIGINT AS chunks, coalesce(sum(tokens), 0)::BIGINT AS tokens
- FROM diff_files f JOIN reasons r ON r.diff_id = f.diff_id LEFT JOIN per ON per.diff_id = f.diff_id GROUP BY 1, 2""",
+ FROM last f JOIN reasons r ON r.diff_id = f.diff_id LEFT JOIN per ON per.diff_id = f.diff_id GROUP BY 1, 2""",
 }

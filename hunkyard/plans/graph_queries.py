@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hunkyard.functions import text as T
+from hunkyard.functions.arrays import rows_of
 from hunkyard.operators import diff as D
 from hunkyard.operators import graph as G
 from hunkyard.operators import symbols as S
 from hunkyard.plans.diff_queries import _PL, sql_lines, sql_text
-from hunkyard.session import durable
+from hunkyard.session import durable, spread
 from hunkyard.sources.files import snapshot
 from hunkyard.sources.tables import table
 
@@ -37,15 +38,18 @@ def _contents(spark: SparkSession, d: str, where: str) -> DataFrame:
     return s.join(_files(spark, d).where(where).select("src_id"), "src_id", "left_semi")
 
 
-def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    """The latest files with ``symbols`` and ``specifiers``: one scan, one exchange of what was found."""
-    s = table(spark, d, "source_files").select("src_id", *G.NS, "path", "fetched_at", "content")
+def _parsed(spark: SparkSession, d: str, with_bindings: bool = False) -> DataFrame:
+    """The latest files with ``symbols``, ``specifiers`` and, if asked for, ``bindings``: one scan, one exchange of what was found."""
+    s = spread(table(spark, d, "source_files").select("src_id", *G.NS, "path", "fetched_at", "content"))
     lang = T.index_language(F.col("path"))
     imports = F.when(lang.isNotNull() & (lang != "json") & F.col("content").isNotNull(), S.specifiers(F.col("content"), lang)).otherwise(F.array().cast("array<string>"))
-    keep = ["src_id", *G.NS, "path", "fetched_at", "specifiers"]
-    p = S.with_symbols(s.withColumn("specifiers", imports), keep, "content")
-    last = p.groupBy(*G.NS, "path").agg(F.max_by(F.struct("src_id", "symbols", "specifiers"), F.struct("fetched_at", "src_id")).alias("v"))
-    return last.select("v.src_id", *G.NS, "path", "v.symbols", "v.specifiers")
+    bindings = F.when(lang.isin("javascript", "typescript") & F.col("content").isNotNull(), S.script_bindings(F.col("content"))).otherwise(F.array().cast("array<struct<local_name:string,imported_name:string,specifier:string>>"))
+    found = ["specifiers", "bindings"] if with_bindings else ["specifiers"]
+    s = s.withColumn("specifiers", imports)
+    s = s.withColumn("bindings", bindings) if with_bindings else s
+    p = S.with_symbols(s, ["src_id", *G.NS, "path", "fetched_at", *found], "content")
+    last = p.groupBy(*G.NS, "path").agg(F.max_by(F.struct("src_id", "symbols", *found), F.struct("fetched_at", "src_id")).alias("v"))
+    return last.select("v.src_id", *G.NS, "path", "v.symbols", *(f"v.{x}" for x in found))
 
 
 def _symbols_of(parsed: DataFrame) -> DataFrame:
@@ -60,8 +64,8 @@ def _dependencies_of(parsed: DataFrame) -> DataFrame:
 class Snapshot:
     """Files, symbols, edges and dependents of all snapshots; what several steps read is written once."""
 
-    def __init__(self, spark: SparkSession, d: str):
-        self.parsed = durable(_parsed(spark, d))
+    def __init__(self, spark: SparkSession, d: str, with_bindings: bool = False):
+        self.parsed = durable(_parsed(spark, d, with_bindings))
         self.files = self.parsed.select("src_id", *G.NS, "path")
         self.symbols = _symbols_of(self.parsed)
         self.dependencies = _dependencies_of(self.parsed)
@@ -108,18 +112,32 @@ def import_resolve(spark: SparkSession, d: str) -> DataFrame:
     return G.resolve_imports(g.dependencies, g.files, configs)
 
 
+def script_imports(spark: SparkSession, d: str) -> DataFrame:
+    """The names that imports of JavaScript and TypeScript files bind."""
+    return _parsed(spark, d, with_bindings=True).select(*G.NS, "path", F.inline("bindings"))
+
+
+def import_callers(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of names that imports of scripts bind, to the symbols of the files these imports mean."""
+    g = Snapshot(spark, d, with_bindings=True)
+    bindings = g.parsed.select(*G.NS, "path", F.inline("bindings"))
+    asked = g.dependencies.join(bindings.select(*G.NS, "path", "specifier").distinct(), [*G.NS, "path", "specifier"], "left_semi")
+    resolved = G.resolve_imports(asked, g.files, G.module_configs(_contents(spark, d, "path like '%config.json'")))
+    return G.imported_callers(g.symbols, bindings, G.targets_or_importers(resolved, asked, g.dependencies))
+
+
 def dependents(spark: SparkSession, d: str) -> DataFrame:
     return Snapshot(spark, d).dependents
 
 
 def changed_symbols(spark: SparkSession, d: str) -> DataFrame:
     """Symbols of a changed file whose lines an added line falls into; without added lines, all of them."""
-    f = table(spark, d, "diff_files")
-    s = S.text_symbols(f.select("diff_id", "full_content"), "diff_id", "full_content").drop("calls")
-    a = D.added_line_numbers(f)
-    hit = s.join(a, "diff_id").where(F.col("new_line").between(F.col("start_line"), F.col("end_line"))).select("diff_id", "name", "start_line", "end_line").distinct()
-    whole = s.join(a.select("diff_id").distinct(), "diff_id", "left_anti")
-    return hit.unionByName(whole).select("diff_id", "name", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"))
+    f = spread(table(spark, d, "diff_files").select("diff_id", "patch", "full_content"))
+    s = S.with_symbols(f, ["diff_id", "patch"], "full_content")
+    h = D.with_added(s, ["diff_id", "symbols"])
+    touched = F.filter("symbols", lambda x: F.exists("added", lambda n: n.between(x["start_line"], x["end_line"])))
+    e = rows_of(h, ["diff_id"], F.when(F.size("added") == 0, F.col("symbols")).otherwise(touched), "name")
+    return e.select("diff_id", "name", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"))
 
 
 def context_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +173,7 @@ def snapshot_cap(spark: SparkSession, d: str) -> DataFrame:
     return snapshot(_latest(spark, d, F.col("size_bytes")), G.NS, F.coalesce("size_bytes", F.lit(0))).select(*G.NS, "path", "src_id")
 
 
-QUERIES = {f.__name__: f for f in (text_symbols, text_dependencies, python_symbols, python_imports, caller_edges, callers_depth2, import_resolve, dependents, changed_symbols, context_topk, impact_risk, repo_map, test_targets, snapshot_cap)}
+QUERIES = {f.__name__: f for f in (text_symbols, text_dependencies, python_symbols, python_imports, caller_edges, callers_depth2, import_resolve, script_imports, import_callers, dependents, changed_symbols, context_topk, impact_risk, repo_map, test_targets, snapshot_cap)}
 
 _NAME = "CASE " + " ".join(f"WHEN regexp_matches(line, {sql_text(p)}) THEN regexp_extract(line, {sql_text(p)}, 1)" for p in S.DEFINITIONS) + " END"
 
@@ -189,6 +207,30 @@ _PATH_KEYS = """pk AS (SELECT DISTINCT repo, git_ref, path, unnest([path, bare,
 _DEPENDENTS = f"""{_DEPS}, {_PATH_KEYS},
 dep AS (SELECT DISTINCT pk.repo, pk.git_ref, pk.path, deps.path AS dependent FROM pk JOIN deps ON deps.repo = pk.repo AND deps.git_ref = pk.git_ref AND deps.dependency = pk.key WHERE deps.path <> pk.path)"""
 
+_TEXT_KEYS = "unnest([trim(specifier), bare, string_split(bare, '/')[-1]] || CASE WHEN starts_with(trim(specifier), '.') THEN [regexp_replace(trim(specifier), '^[./]+', ''), regexp_replace(bare, '^[./]+', '')] ELSE [] END)"
+_RESOLVED = f"""roots AS (SELECT DISTINCT repo, git_ref, path, specifier, CASE
+  WHEN starts_with(specifier, './') THEN regexp_replace(path, '[^/]*$', '') || specifier[3:]
+  WHEN starts_with(specifier, '../') THEN regexp_replace(path, '[^/]*/[^/]*$', '') || specifier[4:]
+  WHEN starts_with(specifier, '@/') THEN specifier[3:] END AS root FROM deps),
+cand AS (SELECT *, unnest(CASE WHEN regexp_matches(root, '\\.(tsx?|jsx?)$') THEN [root] ELSE [root || '.ts', root || '.tsx', root || '.js', root || '.jsx', root || '/index.ts', root || '/index.tsx', root || '/index.js', root || '/index.jsx'] END) AS target FROM roots WHERE root IS NOT NULL),
+keys AS (SELECT c.repo, c.git_ref, c.path, c.specifier, pk.key FROM cand c JOIN pk ON pk.repo = c.repo AND pk.git_ref = c.git_ref AND pk.path = c.target
+  UNION SELECT repo, git_ref, path, specifier, {_TEXT_KEYS}
+  FROM (SELECT *, regexp_replace(trim(specifier), '\\.(tsx?|jsx?)$', '') AS bare FROM deps)),
+resolved AS (SELECT DISTINCT k.repo, k.git_ref, k.path, k.specifier, f.path AS target FROM keys k JOIN files f ON f.repo = k.repo AND f.git_ref = k.git_ref AND (f.path = k.key OR regexp_replace(f.path, '\\.[^./]*$', '') = k.key))"""
+
+
+def _sql_bound(source: str, whole: str, renamed: str) -> str:
+    return f"""SELECT repo, git_ref, path, z[2] AS specifier, regexp_extract(z[1], {sql_text(S.BARE_NAME)}, 1) AS local_name, '{whole}' AS imported_name FROM {source}
+ UNION ALL SELECT repo, git_ref, path, z[2], regexp_extract(z[1], {sql_text(S.STAR_NAME)}, 1), '*' FROM {source}
+ UNION ALL SELECT repo, git_ref, path, m, coalesce(nullif(regexp_extract(x, {sql_text(renamed)}, 2), ''), regexp_extract(x, {sql_text(renamed)}, 1)), regexp_extract(x, {sql_text(renamed)}, 1)
+  FROM (SELECT repo, git_ref, path, z[2] AS m, unnest(list_transform(string_split(regexp_extract(z[1], '\\{{([^}}]*)\\}}', 1), ','), lambda y: trim(regexp_replace(y, '\\s+', ' ', 'g')))) AS x FROM {source}) WHERE regexp_matches(x, {sql_text(renamed)})"""
+
+
+_SCRIPTS = "FROM files WHERE content IS NOT NULL AND " + _EXT.replace("py|", "")
+_BOUND = f"""st_d AS (SELECT repo, git_ref, path, unnest(list_zip(regexp_extract_all(content, {sql_text(S.IMPORT_CLAUSE)}, 1), regexp_extract_all(content, {sql_text(S.IMPORT_CLAUSE)}, 2))) AS z {_SCRIPTS}),
+st_r AS (SELECT repo, git_ref, path, unnest(list_zip(regexp_extract_all(content, {sql_text(S.REQUIRE_CLAUSE)}, 1), regexp_extract_all(content, {sql_text(S.REQUIRE_CLAUSE)}, 2))) AS z {_SCRIPTS}),
+bound AS (SELECT DISTINCT * FROM ({_sql_bound("st_d", "default", S.IMPORT_RENAMED)} UNION ALL {_sql_bound("st_r", "*", S.REQUIRE_RENAMED)}) WHERE local_name <> '')"""
+
 _STEM = lambda e: f"regexp_replace(string_split({e}, '/')[-1], '([^/])\\.[^.]*$', '\\1')"
 
 ORACLES = {
@@ -202,16 +244,17 @@ SELECT f.repo, f.git_ref, f.path, test_path FROM f LEFT JOIN t ON t.repo = f.rep
     "caller_edges": f"WITH {_EDGES} SELECT * FROM edges",
     "callers_depth2": f"WITH {_EDGES}, {_TWO} SELECT *, 1 AS depth FROM one UNION ALL SELECT *, 2 FROM two",
     "dependents": f"WITH {_FILES}, {_DEPENDENTS} SELECT * FROM dep",
-    "import_resolve": f"""WITH {_FILES}, {_DEPS}, {_PATH_KEYS},
-roots AS (SELECT DISTINCT repo, git_ref, path, specifier, CASE
-  WHEN starts_with(specifier, './') THEN regexp_replace(path, '[^/]*$', '') || specifier[3:]
-  WHEN starts_with(specifier, '../') THEN regexp_replace(path, '[^/]*/[^/]*$', '') || specifier[4:]
-  WHEN starts_with(specifier, '@/') THEN specifier[3:] END AS root FROM deps),
-cand AS (SELECT *, unnest(CASE WHEN regexp_matches(root, '\\.(tsx?|jsx?)$') THEN [root] ELSE [root || '.ts', root || '.tsx', root || '.js', root || '.jsx', root || '/index.ts', root || '/index.tsx', root || '/index.js', root || '/index.jsx'] END) AS target FROM roots WHERE root IS NOT NULL),
-keys AS (SELECT c.repo, c.git_ref, c.path, c.specifier, pk.key FROM cand c JOIN pk ON pk.repo = c.repo AND pk.git_ref = c.git_ref AND pk.path = c.target
-  UNION SELECT repo, git_ref, path, specifier, unnest([trim(specifier), bare, string_split(bare, '/')[-1]] || CASE WHEN starts_with(trim(specifier), '.') THEN [regexp_replace(trim(specifier), '^[./]+', ''), regexp_replace(bare, '^[./]+', '')] ELSE [] END)
-  FROM (SELECT *, regexp_replace(trim(specifier), '\\.(tsx?|jsx?)$', '') AS bare FROM deps))
-SELECT DISTINCT k.repo, k.git_ref, k.path, k.specifier, f.path AS target FROM keys k JOIN files f ON f.repo = k.repo AND f.git_ref = k.git_ref AND (f.path = k.key OR regexp_replace(f.path, '\\.[^./]*$', '') = k.key)""",
+    "import_resolve": f"WITH {_FILES}, {_DEPS}, {_PATH_KEYS}, {_RESOLVED} SELECT * FROM resolved",
+    "script_imports": f"WITH {_FILES}, {_BOUND} SELECT * FROM bound",
+    "import_callers": f"""WITH {_SYM}, {_DEPS}, {_PATH_KEYS}, {_RESOLVED}, {_BOUND},
+miss AS (SELECT DISTINCT repo, git_ref, path, specifier FROM deps WHERE (repo, git_ref, path, specifier) IN (SELECT repo, git_ref, path, specifier FROM bound) EXCEPT SELECT repo, git_ref, path, specifier FROM resolved),
+fall AS (SELECT DISTINCT m.repo, m.git_ref, m.path, m.specifier, i.path AS target FROM (SELECT DISTINCT repo, git_ref, path, specifier, {_TEXT_KEYS} AS key FROM (SELECT *, regexp_replace(trim(specifier), '\\.(tsx?|jsx?)$', '') AS bare FROM miss)) m
+  JOIN deps i ON i.repo = m.repo AND i.git_ref = m.git_ref AND i.dependency = m.key WHERE m.key NOT IN ('', '.')),
+tg AS (SELECT * FROM resolved UNION SELECT * FROM fall),
+cl AS (SELECT repo, git_ref, path, id AS caller_id, unnest(calls) AS local_name FROM sym)
+SELECT DISTINCT cl.repo, cl.git_ref, s.id AS callee_id, cl.caller_id FROM cl JOIN bound b ON b.repo = cl.repo AND b.git_ref = cl.git_ref AND b.path = cl.path AND b.local_name = cl.local_name
+ JOIN tg ON tg.repo = cl.repo AND tg.git_ref = cl.git_ref AND tg.path = cl.path AND tg.specifier = b.specifier
+ JOIN sym s ON s.repo = cl.repo AND s.git_ref = cl.git_ref AND s.path = tg.target WHERE (b.imported_name IN ('*', 'default') OR b.imported_name = s.name) AND s.id <> cl.caller_id""",
     "changed_symbols": f"""WITH {_PL}, {_sql_symbols("diff_files", "diff_id", "full_content", "f")},
 a AS (SELECT *, starts_with(line, '+') AND NOT starts_with(line, '+++') AND NOT head AS add, CASE WHEN head OR (starts_with(line, '-') AND NOT starts_with(line, '---')) THEN 0 ELSE 1 END AS step FROM pl),
 c AS (SELECT *, max(CASE WHEN head THEN regexp_extract(line, {sql_text(D.HUNK)}, 3)::BIGINT END) OVER (PARTITION BY diff_id, hunk_no)

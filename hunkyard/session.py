@@ -31,14 +31,29 @@ def build_session(name: str = "hunkyard", master: str | None = None, **conf: str
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder that all executors share, so that a lost executor costs no earlier stage.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``. Only a session inside one machine (``local[...]``, as in tests)
+    may leave it unset and gets a temporary one; on a cluster that is an error, as executors would not share it.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="hunkyard-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="hunkyard-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, or where it has fewer partitions than there are cores (a small file is one task), spread over them.
+
+    For work that costs far more than moving a row does. A scan of many files is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the session's Python workers, wherever they run; once for each application."""
     sc = spark.sparkContext

@@ -84,6 +84,32 @@ def test_imported_callers(spark):
     assert {r.callee_id for r in G.imported_callers(s, b.where("local_name = 'all'"), t).collect()} == {"m.ts:add:1", "m.ts:sub:2"}
 
 
+def test_bindings_of_scripts(spark):
+    text = "import type { A } from './a';\nimport D, { x as y, z } from \"./b\"\nimport * as ns from 'c';\nconst { p, q: r } = require('./d');\nlet whole = require('e');\nimport 'f';\n// import no from 'g'\nimport {\n  one,\n  two as zwei,\n} from './h';\n"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, content string")
+    got = {tuple(b) for r in df.select("id", S.script_bindings(F.col("content")).alias("b")).collect() for b in (r.b or [])}
+    assert got == {("A", "A", "./a"), ("D", "default", "./b"), ("y", "x", "./b"), ("z", "z", "./b"), ("ns", "*", "c"), ("p", "p", "./d"), ("r", "q", "./d"), ("whole", "*", "e"), ("one", "one", "./h"), ("zwei", "two", "./h")}
+
+
+def test_default_takes_top_level_symbols_and_names_may_be_qualified(spark):
+    cols = "repo string, git_ref string, path string, id string, name string, qualified_name string, calls array<string>"
+    s = spark.createDataFrame([("r", "x", "m.ts", "m:Top", "Top", "Top", []), ("r", "x", "m.ts", "m:Top.go", "go", "Top.go", []), ("r", "x", "n.ts", "n:In.a", "a", "In.a", []), ("r", "x", "u.ts", "u:f", "f", "f", ["D", "E", "g"])], cols)
+    b = spark.createDataFrame([("r", "x", "u.ts", "D", "default", "./m"), ("r", "x", "u.ts", "E", "default", "./n"), ("r", "x", "u.ts", "g", "Top.go", "./m")], "repo string, git_ref string, path string, local_name string, imported_name string, specifier string")
+    t = spark.createDataFrame([("r", "x", "u.ts", "./m", "m.ts"), ("r", "x", "u.ts", "./n", "n.ts")], "repo string, git_ref string, path string, specifier string, target string")
+    say = lambda name: {r.callee_id for r in G.imported_callers(s, b.where(F.col("local_name") == name), t).collect()}
+    assert say("D") == {"m:Top"} and say("E") == {"n:In.a"} and say("g") == set()
+    b2 = b.withColumn("imported_name", F.lit("go"))
+    assert {r.callee_id for r in G.imported_callers(s, b2.where("local_name = 'g'"), t).collect()} == {"m:Top.go"}
+
+
+def test_importers_stand_in_where_no_file_is_found(spark):
+    deps = spark.createDataFrame([("r", "x", "a.ts", "lib/core", "core"), ("r", "x", "b.ts", "core", "core"), ("r", "x", "c.ts", "./m", "m")], "repo string, git_ref string, path string, specifier string, dependency string")
+    found = spark.createDataFrame([("r", "x", "c.ts", "./m", "m.ts")], "repo string, git_ref string, path string, specifier string, target string")
+    got = {(x.path, x.target) for x in G.targets_or_importers(found, deps, deps).collect()}
+    assert got == {("c.ts", "m.ts"), ("a.ts", "a.ts"), ("a.ts", "b.ts"), ("b.ts", "a.ts"), ("b.ts", "b.ts")}
+    assert G.targets_or_importers(found.limit(0), deps.limit(0), deps).count() == 0
+
+
 def test_paths(spark):
     df = spark.createDataFrame([("a/./b/../c//d",), ("../x",), ("",)], "p string")
     assert [r[0] for r in df.select(G.normal_path(F.col("p"))).collect()] == ["a/c/d", "x", ""]

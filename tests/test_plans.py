@@ -31,6 +31,17 @@ def test_scans_are_pruned(spark):
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(event_type,click\)", plan(q["push_join"](spark, SF)))
 
 
+@pytest.mark.parametrize("name", ["callers_depth2", "context_topk", "impact_risk", "import_callers"])
+def test_snapshots_are_read_once(spark, name):
+    assert plan(__spark_entry__.queries()[name](spark, SF)).count("source_files.parquet") <= 1
+
+
+@pytest.mark.parametrize("name", ["hunk_parse", "added_lines_index", "hunk_context", "chunk_pack", "chunk_cap", "text_symbols", "text_dependencies", "changed_symbols", "snippet_locate"])
+def test_no_array_is_computed_again_in_a_filter(spark, name):
+    text = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in text.split("\n") if re.match(r"[\s:+-]*(?:Filter|Join)", x) and "transform(" in x]
+
+
 def test_queries_and_sql_have_the_same_names():
     q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(o) <= set(q) and "chunk_pack" in o
