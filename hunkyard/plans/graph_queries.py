@@ -61,6 +61,11 @@ def _dependencies_of(parsed: DataFrame) -> DataFrame:
     return parsed.select("src_id", *G.NS, "path", F.explode("specifiers").alias("specifier")).withColumn("dependency", S.normal_dependency(F.col("specifier")))
 
 
+def _configs(spark: SparkSession, d: str) -> DataFrame:
+    """The module configurations of all snapshots, a few rows written once."""
+    return durable(G.module_configs(_contents(spark, d, "path like '%config.json'")))
+
+
 class Snapshot:
     """Files, symbols, edges and dependents of all snapshots; what several steps read is written once."""
 
@@ -108,8 +113,7 @@ def callers_depth2(spark: SparkSession, d: str) -> DataFrame:
 
 def import_resolve(spark: SparkSession, d: str) -> DataFrame:
     g = Snapshot(spark, d)
-    configs = G.module_configs(_contents(spark, d, "path like '%config.json'"))
-    return G.resolve_imports(g.dependencies, g.files, configs)
+    return G.resolve_imports(g.dependencies, g.files, _configs(spark, d))
 
 
 def script_imports(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +126,7 @@ def import_callers(spark: SparkSession, d: str) -> DataFrame:
     g = Snapshot(spark, d, with_bindings=True)
     bindings = g.parsed.select(*G.NS, "path", F.inline("bindings"))
     asked = g.dependencies.join(bindings.select(*G.NS, "path", "specifier").distinct(), [*G.NS, "path", "specifier"], "left_semi")
-    resolved = G.resolve_imports(asked, g.files, G.module_configs(_contents(spark, d, "path like '%config.json'")))
+    resolved = G.resolve_imports(asked, g.files, _configs(spark, d))
     return G.imported_callers(g.symbols, bindings, G.targets_or_importers(resolved, asked, g.dependencies))
 
 
