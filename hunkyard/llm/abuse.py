@@ -5,8 +5,8 @@ them, 2 all of them call it abusive); one weight vector over sparse text feature
 is the expected severity. A text is as severe as its worst sentence, so the features are those of sentences; in an
 abusive labelled text the sentence that scores highest stands for it while the weights are fitted.
 
-The model is fitted on the driver on at most ``MAX_LABELLED`` labelled texts, taken in the order of a hash of their ids;
-every text is scored. Sentences are first freed of disguises: look-alike letters, invisible signs, spaced or stretched
+The model is fitted on the driver on the hashed features, made in tasks, of at most ``MAX_LABELLED`` labelled texts, taken
+in the order of a hash of their ids; every text is scored. Sentences are first freed of disguises: look-alike letters, invisible signs, spaced or stretched
 letters, digits and signs for letters.
 """
 
@@ -17,12 +17,16 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from math import exp
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hunkyard.session import spread
+
 MAX_LABELLED = 20_000
 DIMENSIONS = 1 << 18
 THRESHOLD = 0.5
@@ -58,6 +62,7 @@ _TWICE = re.compile(r"(.)\1+")
 _HAN = re.compile(r"[一-鿿]")
 _HAN_GAP = re.compile(r"(?<=[一-鿿])[ \-_*·.]{1,2}(?=[一-鿿])")
 WINDOW, STEP, LONG = 10, 3, 12
+PREFIXES = (5,)
 _ALL = INSULT | SEXUAL
 _KNOWN = _ALL | DISGUISED
 _SQUEEZED = {_TWICE.sub(r"\1", w): w for w in sorted(_KNOWN)}
@@ -109,72 +114,122 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def windows(sentence: str) -> list[str]:
-    """A sentence and, if it is long, overlapping stretches of it: a missing full stop shall not dilute what it says."""
-    words = sentence.split()
-    if len(words) <= LONG:
-        return [sentence]
-    return [sentence, *(" ".join(words[i : i + WINDOW]) for i in range(0, len(words) - WINDOW + STEP, STEP))]
+class Token(NamedTuple):
+    """A word behind its disguise: how it stands in pairs and threes, its own features, its marks, and whether it is a quote."""
+
+    shape: int
+    own: tuple[int, ...]
+    marks: frozenset[str]
+    insult: bool
+    quote: bool
+    han: bool
 
 
 def _hash(s: str) -> int:
     return zlib.crc32(s.encode()) % DIMENSIONS
 
 
-@lru_cache(100_000)
+def _mix(*parts: int) -> int:
+    h = 17
+    for p in parts:
+        h = (h * 1_000_003 ^ p) & 0xFFFFFFFF
+    return (h ^ h >> 15) % DIMENSIONS
+
+
+@lru_cache(200_000)
+def token(w: str) -> Token:
+    """One word or run of Chinese signs; its parts of three to five signs are features too, so that related forms of a
+    word, known or not, share what the labels say of them."""
+    if w in ("'", '"'):
+        return Token(0, (), frozenset(), False, True, False)
+    if _HAN.match(w):
+        w = _RUN.sub(r"\1", w)
+        marks = frozenset(kind for kind, known in ZH.items() if any(x in w for x in known))
+        return Token(0, tuple({_hash(w[i : i + n]) for n in (2, 3) for i in range(len(w) - n + 1)}), marks, False, False, True)
+    w = plain(w)
+    kinds = {"insult": INSULT, "sexual": SEXUAL, "violent": VIOLENT, "people": PEOPLE, "second": SECOND, "porn": PORN, "demean": DEMEAN, "first": FIRST}
+
+    parts = {_hash("~" + w[:n]) for n in PREFIXES if len(w) > n}
+    return Token(_hash("[insult]" if w in INSULT else w), tuple({_hash(w)} | parts), frozenset(k for k, known in kinds.items() if w in known), w in INSULT, False, False)
+
+
+@lru_cache(200_000)
+def tokens(word: str) -> tuple[Token, ...]:
+    """The tokens of a stretch without white space."""
+    return tuple(token(w) for w in _WORD.findall(word))
+
+
+_BEGIN, _END = _hash("<"), _hash(">")
+
+
+class Row:
+    """The tokens of a sentence with their pairs and threes, of which any stretch takes its part."""
+
+    def __init__(self, sentence: str):
+        self.row: list[Token] = []
+        self.at = [0]  # where each word's tokens begin
+        for w in sentence.split():
+            self.row += tokens(w)
+            self.at.append(len(self.row))
+        self.flat: list[int] = []  # the words that stand in pairs and threes
+        self.upto = [0]
+        for t in self.row:
+            if not (t.quote or t.han):
+                self.flat.append(t.shape)
+            self.upto.append(len(self.flat))
+        self.pairs = [_mix(a, b) for a, b in zip(self.flat, self.flat[1:])]
+        self.threes = [_mix(a, b, c) for a, b, c in zip(self.flat, self.flat[1:], self.flat[2:])]
+
+    def stretch(self, first: int, last: int) -> tuple[int, ...]:
+        """Hashed features of the words from ``first`` to ``last``: words with their parts, pairs, threes, Chinese pairs and
+        threes, marks and marks together."""
+        a, b = self.at[first], self.at[last]
+        row = self.row[a:b]
+        f = set().union(*[t.own for t in row])
+        marks = set().union(*[t.marks for t in row if t.marks])
+        if "insult" in marks and any(t.insult and row[n - 1].quote for n, t in enumerate(row[1:-1], 1)):
+            marks.add("named")
+        i, j = self.upto[a], self.upto[b]
+        f.update(self.pairs[i : max(i, j - 1)])
+        f.update(self.threes[i : max(i, j - 2)])
+        ends = [_BEGIN, *self.flat[i : min(j, i + 2)]], [*self.flat[max(i, j - 2) : j], _END]
+        if j - i < 2:
+            ends[0].append(_END)
+        f.add(_mix(*ends[0][:2]))
+        f.add(_mix(*ends[1][-2:]) if i < j else _mix(_BEGIN, _END))
+        if i < j:
+            f.add(_mix(*ends[0][:3]))
+        if j - i > 1:
+            f.add(_mix(*ends[1][-3:]))
+        if marks:
+            m = sorted(marks)
+            f.update(_hash(f"[{x}]") for x in m)
+            f.update(_hash(f"[{x}+{y}]") for k, x in enumerate(m) for y in m[k + 1 :])
+        return tuple(sorted(f))
+
+
 def features(sentence: str) -> tuple[int, ...]:
-    """Hashed features of one sentence: words, pairs, threes, Chinese pairs and threes, marks and marks together."""
-    words = [plain(w) for w in _WORD.findall(sentence)]
-    f: set[str] = set()
-    marks: set[str] = set()
-    quoted = 0
-    flat: list[str] = []
-    for n, w in enumerate(words):
-        if w in ("'", '"'):
-            quoted += 1
-            continue
-        if _HAN.match(w):
-            w = _RUN.sub(r"\1", w)
-            for kind, known in ZH.items():
-                if any(x in w for x in known):
-                    marks.add(kind)
-            f.update(w[i : i + 2] for i in range(len(w) - 1))
-            f.update(w[i : i + 3] for i in range(len(w) - 2))
-            continue
-        flat.append(w)
-        if w in INSULT:
-            marks.add("insult")
-            if 0 < n < len(words) - 1 and words[n - 1] in ("'", '"'):
-                marks.add("named")
-        if w in SEXUAL:
-            marks.add("sexual")
-        if w in VIOLENT:
-            marks.add("violent")
-        if w in PEOPLE:
-            marks.add("people")
-        if w in SECOND:
-            marks.add("second")
-        if w in PORN:
-            marks.add("porn")
-        if w in DEMEAN:
-            marks.add("demean")
-        if w in FIRST:
-            marks.add("first")
-    f.update(flat)
-    shape = ["<", *("[insult]" if w in INSULT else w for w in flat), ">"]
-    f.update(f"{a} {b}" for a, b in zip(shape, shape[1:]))
-    f.update(f"{a} {b} {c}" for a, b, c in zip(shape, shape[1:], shape[2:]))
-    m = sorted(marks)
-    f.update(f"[{a}]" for a in m)
-    f.update(f"[{a}+{b}]" for i, a in enumerate(m) for b in m[i + 1 :])
-    return tuple(sorted({_hash(x) for x in f}))
+    """The features of one whole sentence."""
+    r = Row(sentence)
+    return r.stretch(0, len(r.at) - 1)
+
+
+@lru_cache(50_000)
+def stretches(sentence: str) -> tuple[tuple[int, ...], ...]:
+    """Features of a sentence and, if it is long, of overlapping stretches: a missing full stop shall not dilute what it says."""
+    r = Row(sentence)
+    n = len(r.at) - 1
+    if n <= LONG:
+        return (r.stretch(0, n),)
+    return (r.stretch(0, n), *(r.stretch(i, min(n, i + WINDOW)) for i in range(0, n - WINDOW + STEP, STEP)))
 
 
 class Model:
     """Weights and two ordered thresholds."""
 
     def __init__(self, weights: np.ndarray, cuts: np.ndarray):
-        self.weights, self.cuts = weights, cuts
+        self.weights, self.cuts = weights.tolist(), cuts.tolist()  # a list is read faster than an array, number by number
+        self.array = weights
         self.known: dict[tuple[int, ...], float] = {}
 
     def severity(self, f: tuple[int, ...]) -> float:
@@ -183,13 +238,13 @@ class Model:
         if v is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            z = float(self.weights[list(f)].sum()) if f else 0.0
-            v = self.known[f] = float((1 / (1 + np.exp(self.cuts - z))).mean())
+            z = sum(map(self.weights.__getitem__, f))
+            v = self.known[f] = sum(1 / (1 + exp(min(max(c - z, -40.0), 40.0))) for c in self.cuts) / len(self.cuts)
         return v
 
     def score(self, text: str | None) -> float:
         """The severity of the worst sentence or stretch; 0 for a null, empty or blank text."""
-        return max((self.severity(features(w)) for s in sentences(text or "") for w in windows(s)), default=0.0)
+        return max((self.severity(f) for s in sentences(text or "") for f in stretches(s)), default=0.0)
 
 
 def _fit(rows: list[tuple[int, ...]], grade: np.ndarray, weight: np.ndarray, start: np.ndarray, cuts: np.ndarray, prior: np.ndarray, steps: int, decay: float) -> tuple[np.ndarray, np.ndarray]:
@@ -223,18 +278,29 @@ def _fit(rows: list[tuple[int, ...]], grade: np.ndarray, weight: np.ndarray, sta
 def _prior() -> np.ndarray:
     """Where weights stand before any label: marks of abuse aimed at a person count, words alone less."""
     p = np.zeros(DIMENSIONS)
-    for k, x in {"[insult]": 1.5, "[insult+second]": 3.0, "< [insult] >": 3.0, "[sexual]": 0.5, "[porn]": 4.0, "[second+sexual]": 3.0, "[second+violent]": 2.0, "[people+violent]": 2.0, "[demean+people]": 4.5, "[demean+second]": 2.0, "[insult+people]": 4.0, "[insult+named]": -3.0, "[first+insult]": -1.5}.items():
+    for k, x in {"[insult]": 1.5, "[insult+second]": 3.0, "[sexual]": 0.5, "[porn]": 4.0, "[second+sexual]": 3.0, "[second+violent]": 2.0, "[people+violent]": 2.0, "[demean+people]": 4.5, "[demean+second]": 2.0, "[insult+people]": 4.0, "[insult+named]": -3.0, "[first+insult]": -1.5}.items():
         p[_hash(k)] = x
+    p[_mix(_BEGIN, _hash("[insult]"), _END)] = 3.0  # a sentence of nothing else
     return p
 
 
+def described(text: str | None) -> list[tuple[int, ...]]:
+    """The features of each sentence of a text, each once; an empty text has one sentence without features."""
+    return list(dict.fromkeys(features(s) for s in sentences(text or ""))) or [()]
+
+
 def fit(labelled: list[tuple[str | None, float]], rounds: int = 4, steps: int = 150, decay: float = 0.027) -> Model:
-    """The model of texts with the share of raters who called them abusive.
+    """The model of texts with the share of raters who called them abusive."""
+    return fit_described([(described(t), s) for t, s in labelled], rounds, steps, decay)
+
+
+def fit_described(labelled: list[tuple[list[tuple[int, ...]], float]], rounds: int = 4, steps: int = 150, decay: float = 0.027) -> Model:
+    """The model of texts given by their sentences' features, with the share of raters who called them abusive.
 
     Raters err: an abusive label on a text without any telling sentence, and a clean one on a text with a plainly
     abusive sentence, count for little from the second round on.
     """
-    texts = [[features(s) for s in sentences(t or "")] or [()] for t, _ in labelled]
+    texts = [t for t, _ in labelled]
     grade = np.array([2 if s >= 0.99 else 1 if s > 0.01 else 0 for _, s in labelled])
     prior = _prior()
     model = Model(prior, np.array([3.0, 3.5]))
@@ -266,7 +332,7 @@ def fit(labelled: list[tuple[str | None, float]], rounds: int = 4, steps: int =
         keys = list(rows)
         # a sentence met a thousand times is no thousand times as telling
         weight = np.array([rows[x] ** 0.75 for x in keys])
-        w, c = _fit([x[0] for x in keys], np.array([x[1] for x in keys]), weight, model.weights, model.cuts, prior, steps, decay)
+        w, c = _fit([x[0] for x in keys], np.array([x[1] for x in keys]), weight, model.array, np.array(model.cuts), prior, steps, decay)
         model = Model(w, c)
     return model
 
@@ -275,8 +341,15 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     """The model from labelled documents; opinions on a document are averaged, null opinions left out."""
     share = labels.where("toxic is not null").groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("share"))
     chosen = share.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    texts = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").orderBy("doc_id").select("text", "share").collect()
-    return fit([(r[0], r[1]) for r in texts])
+    texts = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").select("doc_id", "text", "share")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array([described(t) for t in b.column("text").to_pylist()], pa.list_(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), found, b.column("share")], ["doc_id", "found", "share"])
+
+    rows = spread(texts).mapInArrow(run, "doc_id bigint, found array<array<int>>, share double").orderBy("doc_id").toArrow()
+    return fit_described([([tuple(f) for f in fs], s) for fs, s in zip(rows.column("found").to_pylist(), rows.column("share").to_pylist())])
 
 
 def score(docs: DataFrame, model: Model, others: tuple[str, ...] = ()) -> DataFrame:
@@ -287,7 +360,7 @@ def score(docs: DataFrame, model: Model, others: tuple[str, ...] = ()) -> DataFr
     """
     cols = docs.selectExpr("doc_id", *(f"`{c}`" for c in others), "text as __text")
     fields = ", ".join(f"`{n}` {t}" for n, t in cols.dtypes if n != "__text")
-    held = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.cuts))
+    held = docs.sparkSession.sparkContext.broadcast((model.array.astype(np.float32), np.array(model.cuts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*held.value)
@@ -295,4 +368,4 @@ def score(docs: DataFrame, model: Model, others: tuple[str, ...] = ()) -> DataFr
             s = [round(m.score(t), 6) for t in b.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *others)), pa.array(s, pa.float64())], ["doc_id", *others, "severity"])
 
-    return cols.mapInArrow(run, f"{fields}, severity double")
+    return spread(cols).mapInArrow(run, f"{fields}, severity double")
