@@ -11,13 +11,17 @@ from __future__ import annotations
 
 import base64
 import codecs
+import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from hunkyard.session import spread
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_STATES = 300_000
 MAX_WORDS = 300_000
@@ -185,6 +189,12 @@ def transducer(path: str = DEFAULT_VOCABULARY) -> Transducer:
         return Transducer({base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())})
 
 
+def _shipped(df: DataFrame, path: str) -> str:
+    """The name under which every worker finds the rank file: it is sent to them, as the path need only exist on the driver."""
+    df.sparkSession.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def encode(df: DataFrame, row_id: str, text: str, path: str = DEFAULT_VOCABULARY, others: tuple[str, ...] = (), counts: bool = False) -> DataFrame:
     """``row_id`` and ``ids`` (or, with ``counts``, ``n_tokens``) of each text, and the columns ``others`` as they are.
 
@@ -192,28 +202,29 @@ def encode(df: DataFrame, row_id: str, text: str, path: str = DEFAULT_VOCABULARY
     """
     cols = df.selectExpr(f"`{row_id}`", *(f"`{c}`" for c in others), f"`{text}` as __text")
     fields = ", ".join(f"`{n}` {t}" for n, t in cols.dtypes if n != "__text")
+    name = _shipped(df, path)
     schema = f"{fields}, " + ("n_tokens int" if counts else "ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = transducer(path).encode
+        e = transducer(SparkFiles.get(name)).encode
         for b in batches:
             made = [e(t) for t in b.column("__text").to_pylist()]
             last = pa.array([len(x) for x in made], pa.int32()) if counts else pa.array(made, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in (row_id, *others)), last], [row_id, *others, "n_tokens" if counts else "ids"])
 
-    return cols.mapInArrow(run, schema)
+    return spread(cols).mapInArrow(run, schema)
 
 
 def round_trip(df: DataFrame, row_id: str, text: str, path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """``row_id, n_tokens, same``: whether decoding the ids piece by piece gives the text again (a null text: '')."""
-    cols = df.selectExpr(f"`{row_id}` as row_id", f"`{text}` as text")
+    cols, name = df.selectExpr(f"`{row_id}` as row_id", f"`{text}` as text"), _shipped(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = transducer(path)
+        t = transducer(SparkFiles.get(name))
         for b in batches:
             texts = b.column("text").to_pylist()
             made = [t.encode(x) for x in texts]
             same = ["".join(t.decode(i)) == (x or "") for i, x in zip(made, texts)]
             yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array([len(x) for x in made], pa.int32()), pa.array(same, pa.bool_())], ["row_id", "n_tokens", "same"])
 
-    return cols.mapInArrow(run, "row_id bigint, n_tokens int, same boolean")
+    return spread(cols).mapInArrow(run, "row_id bigint, n_tokens int, same boolean")
