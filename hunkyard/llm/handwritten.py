@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hunkyard.session import durable
+from hunkyard.session import durable, spread
 
 EXPANSION = 4.0
 TIGHT = 0.6
@@ -405,7 +405,7 @@ def classify(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("diff_id"), b.column("repo"), b.column("file_path"), *cols], ["diff_id", "repo", "file_path", "owner", "kind", "route", "enough", "pieces", "sizes"])
 
     schema = "diff_id bigint, repo string, file_path string, owner string, kind string, route string, enough boolean, pieces array<bigint>, sizes array<int>"
-    judged = durable(df.select("diff_id", "repo", "file_path", "full_content", "patch").mapInArrow(run, schema))
+    judged = durable(spread(df.select("diff_id", "repo", "file_path", "full_content", "patch")).mapInArrow(run, schema))
     # of each fingerprint only its least and greatest owner are kept, so one met everywhere is no larger than others
     met = judged.select("owner", F.explode("pieces").alias("piece")).groupBy("piece").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a <> b").select("piece", F.lit(True).alias("met"))
     own = judged.where("kind is null").select("diff_id", F.explode(F.arrays_zip("pieces", "sizes")).alias("p")).select("diff_id", F.col("p.pieces").alias("piece"), F.col("p.sizes").alias("size"))

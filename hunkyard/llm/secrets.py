@@ -17,6 +17,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from hunkyard.session import spread
+
 # Beginnings and forms of issued tokens.
 TOKEN = re.compile(
     r"(?<![A-Za-z0-9_])(?:AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{40,}|npm_[A-Za-z0-9]{30,}|glpat-[\w-]{18,}|AIza[\w-]{30,}"
@@ -511,4 +513,4 @@ def scan(df: DataFrame, row_id: str, path: str, fields: list[str], masked: bool
     """
     cols = df.selectExpr(f"`{row_id}` as row_id", f"`{path}` as path", *(f"`{f}`" for f in fields))
     last = "text string" if masked else "line_no int"
-    return cols.mapInArrow(lambda it: _rows(it, fields, masked), f"field string, row_id bigint, {last}")
+    return spread(cols).mapInArrow(lambda it: _rows(it, fields, masked), f"field string, row_id bigint, {last}")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 
 from hunkyard.llm.ecmascript import problem as ecmascript_problem
 from hunkyard.llm.python_stack import python_problem
+from hunkyard.session import spread
 
 # Spellings of language names and suffixes.
 LANGUAGES = {
@@ -156,4 +157,4 @@ def flag(df: DataFrame, row_id: str, text: str, path: str, name: str | None, fie
                     why.append(r)
             yield pa.RecordBatch.from_arrays([pa.array([field] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(groups, pa.string()), pa.array(langs, pa.string()), pa.array(why, pa.string()), pa.array(by, pa.string())], ["field", "row_id", "grp", "language", "reason", "found_by"])
 
-    return cols.mapInArrow(run, "field string, row_id bigint, grp string, language string, reason string, found_by string")
+    return spread(cols).mapInArrow(run, "field string, row_id bigint, grp string, language string, reason string, found_by string")
