@@ -12,6 +12,8 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 # Languages by suffix, for providers and for the symbol index, and path parts that the index leaves out.
 PROVIDER_LANGUAGES = {"py": "python", "js": "javascript", "ts": "typescript", "jsx": "javascript", "tsx": "typescript", "java": "java", "go": "go", "rs": "rust", "cpp": "cpp", "c": "c", "cs": "csharp", "rb": "ruby", "php": "php", "swift": "swift", "kt": "kotlin", "scala": "scala", "sh": "bash"}
 INDEX_LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "json": "json"}
+REVIEWER_LANGUAGES = {"py": "python", "js": "javascript", "ts": "typescript", "java": "java", "go": "go", "rs": "rust", "cpp": "cpp", "c": "c"}
+FIXER_LANGUAGES = {"py": "python", "js": "javascript", "ts": "typescript", "java": "java", "go": "go", "rs": "rust"}
 INDEX_SKIPPED_PARTS = [".git", ".hg", ".svn", "__pycache__", ".mypy_cache", ".pytest_cache", "node_modules", ".venv", "venv", "env", "dist", "build"]
 
 # Paths left out of a review, first match wins, and the provider's own list.
@@ -44,6 +46,16 @@ def provider_language(path: Column) -> Column:
     return F.coalesce(_lookup(PROVIDER_LANGUAGES, suffix(path)), F.lit("unknown"))
 
 
+def reviewer_language(path: Column) -> Column:
+    """The language by suffix as reviewers are told it, ``unknown`` where it has none."""
+    return F.coalesce(_lookup(REVIEWER_LANGUAGES, suffix(path)), F.lit("unknown"))
+
+
+def fixer_language(path: Column) -> Column:
+    """The language by suffix as the fix loop takes it, ``python`` where it has none."""
+    return F.coalesce(_lookup(FIXER_LANGUAGES, suffix(path)), F.lit("python"))
+
+
 def index_language(path: Column) -> Column:
     """The language under which the symbol index takes a path, or null where it leaves it out."""
     skipped = F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, INDEX_SKIPPED_PARTS)))

@@ -109,6 +109,20 @@ def _with_changes(hs: Column) -> Column:
     return F.transform(hs, one)
 
 
+def split_diff(texts: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """``keep, file_no, file_path, patch`` of each file of a whole diff text, as a file or ``git diff`` gives it. No shuffle.
+
+    A file begins at its ``diff --git`` line; its path is that of the new side, or of the old one where it was removed.
+    The patch is what follows the two file lines. Text before the first file, and files without any, are left out.
+    """
+    parts = F.slice(F.split(F.concat(F.lit("\n"), F.col(text)), r"\n(?=diff --git )"), 2, _REST)
+    new, old = r"(?m)^\+\+\+ b/(.*)$", r"(?m)^--- a/(.*)$"
+    name = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, new, 1), F.lit("")), F.nullif(F.regexp_extract(x, old, 1), F.lit("")))
+    body = lambda x: F.regexp_replace(F.regexp_extract(x, r"(?s)\A.*?\n\+\+\+ [^\n]*\n(.*)\z", 1), r"\n\z", "")
+    each = F.transform(parts, lambda x, i: F.struct((i + 1).alias("file_no"), name(x).alias("file_path"), body(x).alias("patch")))
+    return rows_of(texts, keep, each, "file_path")
+
+
 def with_added(files: DataFrame, keep: list[str], patch: str = "patch") -> DataFrame:
     """``keep, added``: the numbers of the lines that the symbol index counts as added, each once, as an array. No shuffle.
 

@@ -17,6 +17,7 @@ DEPENDENT_SYMBOLS = 3
 
 # Scores of related symbols, and words that make a path or name sensitive.
 DIRECT, SECOND, CALLEE, DEPENDENT, SAME_FILE_LEAST = 100, 70, 55, 45, 80
+LEVELS = ["low", "medium", "high", "critical"]
 RISK_WORDS = ["admin", "auth", "billing", "delete", "execute", "login", "password", "payment", "permission", "query", "secret", "sql", "token"]
 
 

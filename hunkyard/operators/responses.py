@@ -78,6 +78,28 @@ def parse_responses(responses: DataFrame, keys: list[str], agent: str, text: str
     return r.select(*keys, valid.alias("valid"), F.when(valid, enough).otherwise(none).alias("findings"), F.when(valid, F.size("all") - F.size(enough)).otherwise(0).alias("dropped"), risk.alias("risk_level"))
 
 
+def parse_plans(responses: DataFrame, keys: list[str], text: str, path: Column) -> DataFrame:
+    """``keys, parsed, patches, affected_callers, confidence`` of each raw plan of changes.
+
+    A patch without a path has ``path``, one without lines stands at 0; a patch whose line is null or no number is left
+    out, and nothing else fails with it. A plan that is no object has no patches, and the usual confidence.
+    """
+    r = responses.withColumn("v", F.try_parse_json(json_object(F.col(text))))
+    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    items = F.coalesce(F.try_variant_get("v", "$.patches", "array<variant>"), F.from_json(F.lit("[]"), "array<variant>"))
+
+    def line(x: Column, key: str) -> Column:
+        return F.when(_absent(x, key), F.lit(0)).otherwise(_get(x, key, "string").try_cast("int"))
+
+    def one(x: Column) -> Column:
+        texts = [F.coalesce(_get(x, k, "string"), F.lit("")).alias(k) for k in ("original_snippet", "patched_snippet", "description")]
+        return F.struct(F.coalesce(_get(x, "file_path", "string"), path).alias("file_path"), *texts, line(x, "start_line").alias("start_line"), line(x, "end_line").alias("end_line"))
+
+    patches = F.filter(F.transform(items, one), lambda x: x["start_line"].isNotNull() & x["end_line"].isNotNull())
+    callers = F.coalesce(F.try_variant_get("v", "$.affected_callers", "array<string>"), F.array().cast("array<string>"))
+    return r.select(*keys, is_object.alias("parsed"), patches.alias("patches"), callers.alias("affected_callers"), F.coalesce(F.try_variant_get("v", "$.confidence", "double"), F.lit(DEFAULT_CONFIDENCE)).alias("confidence"))
+
+
 def first_valid(parsed: DataFrame, keys: list[str], attempt: str, most: int = N.ATTEMPTS) -> DataFrame:
     """The first valid answer of each key among the first attempts; without one, an empty result marked by ``error``."""
     some = parsed.where(F.col(attempt) < most)

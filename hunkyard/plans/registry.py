@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hunkyard.plans import diff_queries, graph_queries, hierarchy_queries, review_queries
+from hunkyard.plans import change_queries, diff_queries, graph_queries, hierarchy_queries, review_queries
 
-MODULES = [diff_queries, graph_queries, review_queries, hierarchy_queries]
+MODULES = [change_queries, diff_queries, graph_queries, review_queries, hierarchy_queries]
 FLAGSHIP = "chunk_pack"
 
 
