@@ -25,6 +25,11 @@ CALL = r"\b([A-Za-z_$][A-Za-z0-9_$]*)\s*\("
 PYTHON_IMPORT = r"(?m)^[ \t]*import[ \t]+([A-Za-z0-9_., \t]+)"
 PYTHON_FROM = r"(?m)^[ \t]*from[ \t]+([A-Za-z0-9_.]+)[ \t]+import[ \t]+"
 QUOTED_IMPORTS = [r"from\s+['\"]([^'\"]+)['\"]", r"import\s+['\"]([^'\"]+)['\"]", r"require\(['\"]([^'\"]+)['\"]\)"]
+BLOCK = r"^[ \t]*(?:async[ \t]+)?(?:def|class)[ \t]+([A-Za-z_][A-Za-z0-9_]*)"
+CLOSES = r"^[ \t]*(?:[)\]}]|\"\"\"|''')"
+STRINGS = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
+# Words of Python that may stand in front of a bracket and are no calls.
+PYTHON_WORDS = ["and", "as", "assert", "async", "await", "class", "def", "del", "elif", "else", "except", "for", "from", "if", "import", "in", "is", "lambda", "not", "or", "raise", "return", "while", "with", "yield"]
 
 # How names are bound by imports of scripts; the second group of the first two is the module.
 IMPORT_CLAUSE = r"(?m)^[ \t]*import[ \t]+(?:type[ \t]+)?([^'\";]*?)[ \t]*from[ \t]*['\"]([^'\"]+)['\"]"
@@ -69,6 +74,58 @@ def text_symbols(files: DataFrame, key: str, content: str) -> DataFrame:
     return rows_of(with_symbols(files, [key], content), [key], "symbols", "name")
 
 
+def _masked(content: Column) -> Column:
+    """A Python text whose strings of three quotes keep their line ends and quotes only."""
+    for q in ('"""', "'''"):
+        content = F.array_join(F.transform(F.split(content, q), lambda x, i: F.when(i % 2 == 1, F.regexp_replace(x, r"[^\n]", "")).otherwise(x)), q)
+    return content
+
+
+def with_blocks(files: DataFrame, keep: list[str], content: str) -> DataFrame:
+    """``keep`` and ``blocks``, an array of name, qualified_name, start_line, end_line, calls: the definitions of a Python text
+    by indentation, in the file's own row.
+
+    A block ends before the next line that stands no deeper; lines that begin by closing brackets or
+    with three quotes belong to it. A definition
+    counts if nothing but definitions is around it (one inside an ``if`` does not), and its qualified name has all of these.
+    Calls are those in its decorators and whole body, comments and strings left out.
+    """
+    text = F.coalesce(F.col(content), F.lit(""))
+    f = files.select(*keep, T.lines(_masked(text)).alias("__lines"))
+    one = lambda x, i: F.struct(
+        (i + 1).alias("at"),
+        F.length(F.regexp_extract(x, r"^([ \t]*)", 1)).alias("indent"),
+        F.rlike(x, F.lit(CLOSES)).alias("closes"),
+        F.nullif(F.regexp_extract(x, BLOCK, 1), F.lit("")).alias("name"),
+        F.rlike(x, F.lit(r"^[ \t]*@")).alias("decorates"),
+    )
+    some = F.filter(F.transform("__lines", lambda x, i: F.when(F.rlike(x, F.lit(r"^[ \t]*[^\s#]")), one(x, i))), lambda r: r.isNotNull())
+    f = f.select(*keep, "__lines", some.alias("__rows"))
+
+    def block(d: Column) -> Column:
+        below = F.filter("__rows", lambda r: (r["at"] > d["at"]) & (r["indent"] <= d["indent"]) & ~r["closes"])
+        stop = F.coalesce(F.get(below, F.lit(0))["at"], F.size("__lines") + 1)
+        last = F.array_max(F.transform(F.filter("__rows", lambda r: r["at"] < stop), lambda r: r["at"]))
+        above = F.filter("__rows", lambda r: (r["at"] < d["at"]) & (r["indent"] < d["indent"]) & ~r["closes"])
+        inside = (d["indent"] == 0) | F.coalesce(F.get(above, F.size(above) - 1)["name"].isNotNull(), F.lit(False))
+        other = F.filter("__rows", lambda r: (r["at"] < d["at"]) & ~(r["decorates"] & (r["indent"] == d["indent"])))
+        first = F.coalesce(F.get(other, F.size(other) - 1)["at"], F.lit(0)) + 1  # its decorators, with calls of their own
+        return F.struct(d["at"].alias("at"), d["indent"].alias("indent"), d["name"].alias("name"), first.alias("first"), last.alias("last"), inside.alias("inside"))
+
+    defs = F.transform(F.filter("__rows", lambda r: r["name"].isNotNull()), block)
+    f = f.select(*keep, "__lines", defs.alias("__defs"))
+
+    def finish(d: Column) -> Column:
+        around = F.filter("__defs", lambda e: (e["at"] < d["at"]) & (e["indent"] < d["indent"]) & (e["last"] >= d["at"]))
+        plain = F.regexp_replace(F.regexp_replace(F.array_join(F.slice("__lines", d["first"], d["last"] - d["first"] + 1), "\n"), STRINGS, "\"\""), r"#[^\n]*", "")
+        plain = F.regexp_replace(plain, r"\b(def|class)[ \t]+\w+", "$1")
+        calls = F.array_sort(F.array_except(F.array_distinct(F.regexp_extract_all(plain, F.lit(CALL), F.lit(1))), F.array(*map(F.lit, PYTHON_WORDS))))
+        ok = d["inside"] & F.forall(around, lambda e: e["inside"])
+        return F.when(ok, F.struct(d["name"].alias("name"), F.array_join(F.array_append(F.transform(around, lambda e: e["name"]), d["name"]), ".").alias("qualified_name"), d["at"].alias("start_line"), d["last"].alias("end_line"), calls.alias("calls")))
+
+    return f.select(*keep, F.filter(F.transform("__defs", finish), lambda b: b.isNotNull()).alias("blocks"))
+
+
 def normal_dependency(c: Column) -> Column:
     """The short name by which an import is looked up: no leading dots, last path part, no source suffix."""
     t = F.trim(c)

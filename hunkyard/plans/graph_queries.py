@@ -98,6 +98,14 @@ def python_symbols(spark: SparkSession, d: str) -> DataFrame:
     return S.python_symbols(f, "src_id", "content").withColumnRenamed("row_id", "src_id")
 
 
+def python_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Definitions of the latest Python files by indentation, with qualified names and calls."""
+    s = spread(table(spark, d, "source_files").where("path like '%.py'").select("src_id", *G.NS, "path", "fetched_at", "content"))
+    b = S.with_blocks(s, ["src_id", *G.NS, "path", "fetched_at"], "content")
+    last = b.groupBy(*G.NS, "path").agg(F.max_by(F.struct("src_id", "blocks"), F.struct("fetched_at", "src_id")).alias("v")).select("v.src_id", F.inline("v.blocks"))
+    return last.select("src_id", "qualified_name", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"), F.array_join("calls", " ").alias("calls"))
+
+
 def python_imports(spark: SparkSession, d: str) -> DataFrame:
     f = _contents(spark, d, "path like '%.py'")
     return S.python_imports(f, "src_id", "content").withColumnRenamed("row_id", "src_id").distinct()
@@ -177,7 +185,7 @@ def snapshot_cap(spark: SparkSession, d: str) -> DataFrame:
     return snapshot(_latest(spark, d, F.col("size_bytes")), G.NS, F.coalesce("size_bytes", F.lit(0))).select(*G.NS, "path", "src_id")
 
 
-QUERIES = {f.__name__: f for f in (text_symbols, text_dependencies, python_symbols, python_imports, caller_edges, callers_depth2, import_resolve, script_imports, import_callers, dependents, changed_symbols, context_topk, impact_risk, repo_map, test_targets, snapshot_cap)}
+QUERIES = {f.__name__: f for f in (text_symbols, text_dependencies, python_symbols, python_blocks, python_imports, caller_edges, callers_depth2, import_resolve, script_imports, import_callers, dependents, changed_symbols, context_topk, impact_risk, repo_map, test_targets, snapshot_cap)}
 
 _NAME = "CASE " + " ".join(f"WHEN regexp_matches(line, {sql_text(p)}) THEN regexp_extract(line, {sql_text(p)}, 1)" for p in S.DEFINITIONS) + " END"
 
@@ -244,6 +252,20 @@ SELECT f.repo, f.git_ref, f.path, test_path FROM f LEFT JOIN t ON t.repo = f.rep
     "snapshot_cap": f"""WITH {_FILES}, r AS (SELECT repo, git_ref, path, src_id, row_number() OVER (PARTITION BY repo, git_ref ORDER BY path) AS n FROM files
  WHERE {_EXT.replace("jsx|ts|tsx)", "jsx|ts|tsx|json)")} AND coalesce(size_bytes, 0) <= 250000) SELECT repo, git_ref, path, src_id FROM r WHERE n <= 500""",
     "text_symbols": f"WITH {_SYM} SELECT id, repo, git_ref, end_line::BIGINT AS end_line, len(calls)::BIGINT AS n_calls FROM sym",
+    "python_blocks": f"""WITH {_FILES}, m1 AS (SELECT src_id, array_to_string(list_transform(string_split(coalesce(content, ''), '\"\"\"'), lambda x, i: CASE WHEN i % 2 = 0 THEN regexp_replace(x, '[^\n]', '', 'g') ELSE x END), '\"\"\"') AS c FROM files WHERE path LIKE '%.py'),
+m2 AS (SELECT src_id, array_to_string(list_transform(string_split(c, {sql_text("'''")}), lambda x, i: CASE WHEN i % 2 = 0 THEN regexp_replace(x, '[^\n]', '', 'g') ELSE x END), {sql_text("'''")}) AS c FROM m1),
+ls AS (SELECT src_id, {sql_lines("c")} AS s FROM m2),
+ln AS (SELECT src_id, unnest(s) AS x, generate_subscripts(s, 1) AS pos FROM ls),
+rw AS (SELECT src_id, pos, length(regexp_extract(x, '^([ \t]*)', 1)) AS indent, regexp_matches(x, {sql_text(S.CLOSES)}) AS closes, nullif(regexp_extract(x, {sql_text(S.BLOCK)}, 1), '') AS name, regexp_matches(x, '^[ \t]*@') AS decorates FROM ln WHERE regexp_matches(x, '^[ \t]*[^\\s#]')),
+df AS (SELECT d.src_id, d.pos, d.indent, d.name, coalesce((SELECT min(r.pos) FROM rw r WHERE r.src_id = d.src_id AND r.pos > d.pos AND r.indent <= d.indent AND NOT r.closes), (SELECT len(s) + 1 FROM ls WHERE ls.src_id = d.src_id)) AS stop,
+  d.indent = 0 OR coalesce((SELECT max_by(r.name IS NOT NULL, r.pos) FROM rw r WHERE r.src_id = d.src_id AND r.pos < d.pos AND r.indent < d.indent AND NOT r.closes), false) AS inside FROM rw d WHERE d.name IS NOT NULL),
+dl AS (SELECT df.*, (SELECT max(r.pos) FROM rw r WHERE r.src_id = df.src_id AND r.pos < df.stop) AS last,
+  coalesce((SELECT max(r.pos) FROM rw r WHERE r.src_id = df.src_id AND r.pos < df.pos AND NOT (r.decorates AND r.indent = df.indent)), 0) + 1 AS first FROM df),
+ar AS (SELECT d.src_id, d.pos, string_agg(e.name, '.' ORDER BY e.pos) AS names, bool_and(e.inside) AS ok FROM dl d JOIN dl e ON e.src_id = d.src_id AND e.pos < d.pos AND e.indent < d.indent AND e.last >= d.pos GROUP BY 1, 2),
+bd AS (SELECT d.src_id, CASE WHEN ar.names IS NULL THEN d.name ELSE ar.names || '.' || d.name END AS qualified_name, d.pos, d.last,
+  regexp_replace(regexp_replace(regexp_replace(array_to_string(s[d.first:d.last], chr(10)), {sql_text(S.STRINGS)}, '\"\"', 'g'), '#[^\n]*', '', 'g'), '\\b(def|class)[ \t]+\\w+', '\\1', 'g') AS body
+  FROM dl d JOIN ls ON ls.src_id = d.src_id LEFT JOIN ar ON ar.src_id = d.src_id AND ar.pos = d.pos WHERE d.inside AND coalesce(ar.ok, true))
+SELECT src_id, qualified_name, pos::BIGINT AS start_line, last::BIGINT AS end_line, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(body, {sql_text(S.CALL)}, 1)), lambda x: NOT list_contains({S.PYTHON_WORDS}, x))), ' ') AS calls FROM bd""",
     "text_dependencies": f"WITH {_FILES}, {_DEPS} SELECT src_id, specifier, dependency FROM deps",
     "caller_edges": f"WITH {_EDGES} SELECT * FROM edges",
     "callers_depth2": f"WITH {_EDGES}, {_TWO} SELECT *, 1 AS depth FROM one UNION ALL SELECT *, 2 FROM two",
