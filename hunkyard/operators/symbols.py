@@ -126,6 +126,17 @@ def with_blocks(files: DataFrame, keep: list[str], content: str) -> DataFrame:
     return f.select(*keep, F.filter(F.transform("__defs", finish), lambda b: b.isNotNull()).alias("blocks"))
 
 
+def with_parsed(files: DataFrame, keep: list[str], content: str, language: Column) -> DataFrame:
+    """``keep`` and ``symbols``, an array of name, qualified_name, start_line, end_line, calls: of Python by its blocks, of
+    other languages, and of Python texts without any block, by the forms of lines."""
+    f = files.withColumn("__python", F.when(language == "python", F.col(content)))
+    f = with_blocks(f, [*keep, content], "__python")
+    f = f.withColumn("__other", F.when(F.size("blocks") == 0, F.col(content)))
+    f = with_symbols(f, [*keep, "blocks"], "__other")
+    plain = F.transform("symbols", lambda s: F.struct(s["name"].alias("name"), s["name"].alias("qualified_name"), s["start_line"].alias("start_line"), s["end_line"].alias("end_line"), s["calls"].alias("calls")))
+    return f.select(*keep, F.when(F.size("blocks") > 0, F.col("blocks")).otherwise(plain).alias("symbols"))
+
+
 def normal_dependency(c: Column) -> Column:
     """The short name by which an import is looked up: no leading dots, last path part, no source suffix."""
     t = F.trim(c)

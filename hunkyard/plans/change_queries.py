@@ -14,7 +14,7 @@ from hunkyard.operators.responses import parse_plans
 from hunkyard.operators.retrieve import nearest
 from hunkyard.plans.diff_queries import ORACLES as DIFF_SQL
 from hunkyard.plans.diff_queries import sql_first_match, sql_lookup
-from hunkyard.plans.graph_queries import _DEPENDENTS, _dependencies_of, _sql_symbols, _symbols_of
+from hunkyard.plans.graph_queries import _DEPENDENTS, _dependencies_of, _symbols_of, sql_parsed
 from hunkyard.session import durable, spread
 from hunkyard.sources.tables import table
 
@@ -98,7 +98,7 @@ def _changes(spark: SparkSession, d: str) -> DataFrame:
     lang = T.index_language(F.col("path"))
     imports = F.when(lang.isNotNull() & (lang != "json") & F.col("full_content").isNotNull(), S.specifiers(F.col("full_content"), lang)).otherwise(F.array().cast("array<string>"))
     keep = ["src_id", *G.NS, "path", "fetched_at"]
-    p = S.with_symbols(s.withColumn("specifiers", imports), [*keep, "patch", "specifiers"], "full_content")
+    p = S.with_parsed(s.withColumn("specifiers", imports), [*keep, "patch", "specifiers"], "full_content", F.coalesce(lang, F.lit("")))
     p = D.with_added(p, [*keep, "specifiers", "symbols"])
     last = p.groupBy(*G.NS, "path").agg(F.max_by(F.struct("src_id", "symbols", "specifiers", "added"), F.struct("fetched_at", "src_id")).alias("v"))
     return last.select("v.src_id", *G.NS, "path", "v.symbols", "v.specifiers", "v.added")
@@ -111,7 +111,7 @@ def change_impact(spark: SparkSession, d: str) -> DataFrame:
     edges = durable(G.caller_edges(symbols))
     touched = F.filter("symbols", lambda x: F.exists("added", lambda n: n.between(x["start_line"], x["end_line"])))
     files = parsed.select(*G.NS, "path", F.when(F.size("added") == 0, F.col("symbols")).otherwise(touched).alias("changed"))
-    changed = files.select(*G.NS, "path", F.inline("changed")).withColumn("id", G.symbol_id(F.col("path"), F.col("name"), F.col("start_line")))
+    changed = files.select(*G.NS, "path", F.inline("changed")).withColumn("id", G.symbol_id(F.col("path"), F.col("qualified_name"), F.col("start_line")))
     c = G.callers_of_files(changed, edges).groupBy(*G.NS, "path").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") == 2).alias("second"))
     k = G.dependents(_dependencies_of(parsed), parsed.select(*G.NS, "path")).groupBy(*G.NS, "path").agg(F.count("*").alias("depend"))
     names = F.array_join(F.array_sort(F.array_distinct(F.transform("changed", lambda x: x["name"]))), " ")
@@ -150,8 +150,7 @@ def _added() -> str:
     return DIFF_SQL["added_lines_index"].partition("WITH ")[2].replace("SELECT DISTINCT diff_id, new_line FROM c WHERE add", "added AS (SELECT DISTINCT diff_id, new_line FROM c WHERE add)").rstrip().replace("FROM a)\n added", "FROM a),\n added")
 
 
-_IMPACT = f"""WITH {_added()}, {_CHANGED}, {_sql_symbols("files", "src_id", "content", "t")},
-sym AS (SELECT repo, git_ref, path, src_id, name, start_line, end_line, calls, path || ':' || name || ':' || start_line AS id FROM tsym JOIN files USING (src_id)),
+_IMPACT = f"""WITH {_added()}, {_CHANGED}, {sql_parsed()},
 calls AS (SELECT DISTINCT repo, git_ref, id AS caller_id, unnest(calls) AS name FROM sym),
 edges AS (SELECT DISTINCT k.repo, k.git_ref, s.id AS callee_id, k.caller_id FROM calls k JOIN sym s ON s.repo = k.repo AND s.git_ref = k.git_ref AND s.name = k.name WHERE s.id <> k.caller_id),
 {_DEPENDENTS},

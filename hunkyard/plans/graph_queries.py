@@ -47,14 +47,14 @@ def _parsed(spark: SparkSession, d: str, with_bindings: bool = False) -> DataFra
     found = ["specifiers", "bindings"] if with_bindings else ["specifiers"]
     s = s.withColumn("specifiers", imports)
     s = s.withColumn("bindings", bindings) if with_bindings else s
-    p = S.with_symbols(s, ["src_id", *G.NS, "path", "fetched_at", *found], "content")
+    p = S.with_parsed(s, ["src_id", *G.NS, "path", "fetched_at", *found], "content", F.coalesce(lang, F.lit("")))
     last = p.groupBy(*G.NS, "path").agg(F.max_by(F.struct("src_id", "symbols", *found), F.struct("fetched_at", "src_id")).alias("v"))
     return last.select("v.src_id", *G.NS, "path", "v.symbols", *(f"v.{x}" for x in found))
 
 
 def _symbols_of(parsed: DataFrame) -> DataFrame:
     s = parsed.select("src_id", *G.NS, "path", F.inline("symbols"))
-    return s.withColumn("id", G.symbol_id(F.col("path"), F.col("name"), F.col("start_line")))
+    return s.withColumn("id", G.symbol_id(F.col("path"), F.col("qualified_name"), F.col("start_line")))
 
 
 def _dependencies_of(parsed: DataFrame) -> DataFrame:
@@ -85,10 +85,19 @@ class Snapshot:
 
 
 def text_symbols(spark: SparkSession, d: str) -> DataFrame:
-    s = _symbols_of(_parsed(spark, d))
+    """Symbols by the forms of lines alone, whatever the language."""
+    t = spread(table(spark, d, "source_files").select("src_id", *G.NS, "path", "fetched_at", "content"))
+    p = S.with_symbols(t, ["src_id", *G.NS, "path", "fetched_at"], "content")
+    last = p.groupBy(*G.NS, "path").agg(F.max_by(F.struct("src_id", "symbols"), F.struct("fetched_at", "src_id")).alias("v"))
+    s = last.select(*G.NS, "path", F.inline("v.symbols")).withColumn("id", G.symbol_id(F.col("path"), F.col("name"), F.col("start_line")))
     return s.select("id", "repo", "git_ref", F.col("end_line").cast("bigint").alias("end_line"), F.size("calls").cast("bigint").alias("n_calls"))
 
 
+def parsed_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols as the graph has them: of Python by its blocks, of other files by the forms of lines."""
+    return _symbols_of(_parsed(spark, d)).select("id", "repo", "git_ref", "name", F.col("end_line").cast("bigint").alias("end_line"), F.array_join("calls", " ").alias("calls"))
+
+
 def text_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return _dependencies_of(_parsed(spark, d)).select("src_id", "specifier", "dependency")
 
@@ -185,7 +194,7 @@ def snapshot_cap(spark: SparkSession, d: str) -> DataFrame:
     return snapshot(_latest(spark, d, F.col("size_bytes")), G.NS, F.coalesce("size_bytes", F.lit(0))).select(*G.NS, "path", "src_id")
 
 
-QUERIES = {f.__name__: f for f in (text_symbols, text_dependencies, python_symbols, python_blocks, python_imports, caller_edges, callers_depth2, import_resolve, script_imports, import_callers, dependents, changed_symbols, context_topk, impact_risk, repo_map, test_targets, snapshot_cap)}
+QUERIES = {f.__name__: f for f in (text_symbols, parsed_symbols, text_dependencies, python_symbols, python_blocks, python_imports, caller_edges, callers_depth2, import_resolve, script_imports, import_callers, dependents, changed_symbols, context_topk, impact_risk, repo_map, test_targets, snapshot_cap)}
 
 _NAME = "CASE " + " ".join(f"WHEN regexp_matches(line, {sql_text(p)}) THEN regexp_extract(line, {sql_text(p)}, 1)" for p in S.DEFINITIONS) + " END"
 
@@ -199,15 +208,40 @@ def _sql_symbols(source: str, key: str, content: str, prefix: str) -> str:
 {prefix}sym AS (SELECT *, list_filter(list_distinct(regexp_extract_all(body, {sql_text(S.CALL)}, 1)), lambda x: x <> name) AS calls FROM {prefix}b)"""
 
 
+_EXT = "regexp_matches(path, '[.](py|js|jsx|ts|tsx)$') AND NOT list_has_any(string_split(path, '/'), " + str(T.INDEX_SKIPPED_PARTS) + ") AND regexp_matches(string_split(path, '/')[-1], '[^.]\\.')"
+_PYTHON = _EXT.replace("py|js|jsx|ts|tsx", "py")
 _FILES = """files AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, git_ref, path ORDER BY fetched_at DESC NULLS LAST, src_id DESC) AS rn FROM source_files) WHERE rn = 1)"""
-_SYM = f"""{_FILES}, {_sql_symbols("files", "src_id", "content", "t")},
+_BLOCKS = f"""m1 AS (SELECT src_id, array_to_string(list_transform(string_split(coalesce(content, ''), '\"\"\"'), lambda x, i: CASE WHEN i % 2 = 0 THEN regexp_replace(x, '[^\n]', '', 'g') ELSE x END), '\"\"\"') AS c FROM files WHERE path LIKE '%.py'),
+m2 AS (SELECT src_id, array_to_string(list_transform(string_split(c, {sql_text("'''")}), lambda x, i: CASE WHEN i % 2 = 0 THEN regexp_replace(x, '[^\n]', '', 'g') ELSE x END), {sql_text("'''")}) AS c FROM m1),
+ls AS (SELECT src_id, {sql_lines("c")} AS s FROM m2),
+ln AS (SELECT src_id, unnest(s) AS x, generate_subscripts(s, 1) AS pos FROM ls),
+rw AS (SELECT src_id, pos, length(regexp_extract(x, '^([ \t]*)', 1)) AS indent, regexp_matches(x, {sql_text(S.CLOSES)}) AS closes, nullif(regexp_extract(x, {sql_text(S.BLOCK)}, 1), '') AS name, regexp_matches(x, '^[ \t]*@') AS decorates FROM ln WHERE regexp_matches(x, '^[ \t]*[^\\s#]')),
+df AS (SELECT d.src_id, d.pos, d.indent, d.name, coalesce((SELECT min(r.pos) FROM rw r WHERE r.src_id = d.src_id AND r.pos > d.pos AND r.indent <= d.indent AND NOT r.closes), (SELECT len(s) + 1 FROM ls WHERE ls.src_id = d.src_id)) AS stop,
+  d.indent = 0 OR coalesce((SELECT max_by(r.name IS NOT NULL, r.pos) FROM rw r WHERE r.src_id = d.src_id AND r.pos < d.pos AND r.indent < d.indent AND NOT r.closes), false) AS inside FROM rw d WHERE d.name IS NOT NULL),
+dl AS (SELECT df.*, (SELECT max(r.pos) FROM rw r WHERE r.src_id = df.src_id AND r.pos < df.stop) AS last,
+  coalesce((SELECT max(r.pos) FROM rw r WHERE r.src_id = df.src_id AND r.pos < df.pos AND NOT (r.decorates AND r.indent = df.indent)), 0) + 1 AS first FROM df),
+ar AS (SELECT d.src_id, d.pos, string_agg(e.name, '.' ORDER BY e.pos) AS names, bool_and(e.inside) AS ok FROM dl d JOIN dl e ON e.src_id = d.src_id AND e.pos < d.pos AND e.indent < d.indent AND e.last >= d.pos GROUP BY 1, 2),
+bd AS (SELECT d.src_id, CASE WHEN ar.names IS NULL THEN d.name ELSE ar.names || '.' || d.name END AS qualified_name, d.pos, d.last,
+  regexp_replace(regexp_replace(regexp_replace(array_to_string(s[d.first:d.last], chr(10)), {sql_text(S.STRINGS)}, '\"\"', 'g'), '#[^\n]*', '', 'g'), '\\b(def|class)[ \t]+\\w+', '\\1', 'g') AS body, d.name AS short
+  FROM dl d JOIN ls ON ls.src_id = d.src_id LEFT JOIN ar ON ar.src_id = d.src_id AND ar.pos = d.pos WHERE d.inside AND coalesce(ar.ok, true)),
+blk AS (SELECT src_id, short, qualified_name, pos::BIGINT AS start_line, last::BIGINT AS end_line, list_sort(list_filter(list_distinct(regexp_extract_all(body, {sql_text(S.CALL)}, 1)), lambda x: NOT list_contains({S.PYTHON_WORDS}, x))) AS calls FROM bd)"""
+_LINE_SYM = f"""{_FILES}, {_sql_symbols("files", "src_id", "content", "t")},
 sym AS (SELECT repo, git_ref, path, name, start_line, end_line, calls, path || ':' || name || ':' || start_line AS id FROM tsym JOIN files USING (src_id))"""
+
+
+def sql_parsed() -> str:
+    """The CTE ``sym`` of the symbols of the CTE ``files``: blocks of Python, and lines of all files without any."""
+    return f"""{_BLOCKS.replace("WHERE path LIKE '%.py'", f"WHERE {_PYTHON}")}, {_sql_symbols("(SELECT * FROM files WHERE src_id NOT IN (SELECT src_id FROM blk))", "src_id", "content", "t")},
+allsym AS (SELECT src_id, short AS name, qualified_name, start_line, end_line, calls FROM blk UNION ALL SELECT src_id, name, name, start_line, end_line, calls FROM tsym),
+sym AS (SELECT src_id, repo, git_ref, path, name, start_line, end_line, calls, path || ':' || qualified_name || ':' || start_line AS id FROM allsym JOIN files USING (src_id))"""
+
+
+_SYM = f"{_FILES}, {sql_parsed()}"
 _EDGES = f"""{_SYM},
 calls AS (SELECT DISTINCT repo, git_ref, id AS caller_id, unnest(calls) AS name FROM sym),
 edges AS (SELECT DISTINCT c.repo, c.git_ref, s.id AS callee_id, c.caller_id FROM calls c JOIN sym s ON s.repo = c.repo AND s.git_ref = c.git_ref AND s.name = c.name WHERE s.id <> c.caller_id)"""
 _TWO = """one AS (SELECT repo, git_ref, callee_id AS symbol_id, caller_id FROM edges),
 two AS (SELECT DISTINCT a.repo, a.git_ref, a.symbol_id, b.caller_id FROM one a JOIN one b ON b.repo = a.repo AND b.git_ref = a.git_ref AND b.symbol_id = a.caller_id EXCEPT SELECT * FROM one)"""
-_EXT = "regexp_matches(path, '[.](py|js|jsx|ts|tsx)$') AND NOT list_has_any(string_split(path, '/'), " + str(T.INDEX_SKIPPED_PARTS) + ") AND regexp_matches(string_split(path, '/')[-1], '[^.]\\.')"
 _NORM = "CASE WHEN starts_with(trim(specifier), '.') THEN regexp_replace(trim(specifier), '^[./]+', '') ELSE trim(specifier) END"
 _DEPS = f"""spec AS (SELECT DISTINCT src_id, repo, git_ref, path, unnest(CASE WHEN path LIKE '%.py' THEN
   list_concat(list_transform(flatten(list_transform(regexp_extract_all(content, {sql_text(S.PYTHON_IMPORT)}, 1), lambda x: string_split(x, ','))), lambda x: string_split(trim(x), '.')[1]), regexp_extract_all(content, {sql_text(S.PYTHON_FROM)}, 1))
@@ -251,21 +285,9 @@ t AS (SELECT repo, git_ref, path AS test_path, {_STEM("path")} AS ts FROM files
 SELECT f.repo, f.git_ref, f.path, test_path FROM f LEFT JOIN t ON t.repo = f.repo AND t.git_ref = f.git_ref AND (contains(ts, stem) OR contains(stem, ts))""",
     "snapshot_cap": f"""WITH {_FILES}, r AS (SELECT repo, git_ref, path, src_id, row_number() OVER (PARTITION BY repo, git_ref ORDER BY path) AS n FROM files
  WHERE {_EXT.replace("jsx|ts|tsx)", "jsx|ts|tsx|json)")} AND coalesce(size_bytes, 0) <= 250000) SELECT repo, git_ref, path, src_id FROM r WHERE n <= 500""",
-    "text_symbols": f"WITH {_SYM} SELECT id, repo, git_ref, end_line::BIGINT AS end_line, len(calls)::BIGINT AS n_calls FROM sym",
-    "python_blocks": f"""WITH {_FILES}, m1 AS (SELECT src_id, array_to_string(list_transform(string_split(coalesce(content, ''), '\"\"\"'), lambda x, i: CASE WHEN i % 2 = 0 THEN regexp_replace(x, '[^\n]', '', 'g') ELSE x END), '\"\"\"') AS c FROM files WHERE path LIKE '%.py'),
-m2 AS (SELECT src_id, array_to_string(list_transform(string_split(c, {sql_text("'''")}), lambda x, i: CASE WHEN i % 2 = 0 THEN regexp_replace(x, '[^\n]', '', 'g') ELSE x END), {sql_text("'''")}) AS c FROM m1),
-ls AS (SELECT src_id, {sql_lines("c")} AS s FROM m2),
-ln AS (SELECT src_id, unnest(s) AS x, generate_subscripts(s, 1) AS pos FROM ls),
-rw AS (SELECT src_id, pos, length(regexp_extract(x, '^([ \t]*)', 1)) AS indent, regexp_matches(x, {sql_text(S.CLOSES)}) AS closes, nullif(regexp_extract(x, {sql_text(S.BLOCK)}, 1), '') AS name, regexp_matches(x, '^[ \t]*@') AS decorates FROM ln WHERE regexp_matches(x, '^[ \t]*[^\\s#]')),
-df AS (SELECT d.src_id, d.pos, d.indent, d.name, coalesce((SELECT min(r.pos) FROM rw r WHERE r.src_id = d.src_id AND r.pos > d.pos AND r.indent <= d.indent AND NOT r.closes), (SELECT len(s) + 1 FROM ls WHERE ls.src_id = d.src_id)) AS stop,
-  d.indent = 0 OR coalesce((SELECT max_by(r.name IS NOT NULL, r.pos) FROM rw r WHERE r.src_id = d.src_id AND r.pos < d.pos AND r.indent < d.indent AND NOT r.closes), false) AS inside FROM rw d WHERE d.name IS NOT NULL),
-dl AS (SELECT df.*, (SELECT max(r.pos) FROM rw r WHERE r.src_id = df.src_id AND r.pos < df.stop) AS last,
-  coalesce((SELECT max(r.pos) FROM rw r WHERE r.src_id = df.src_id AND r.pos < df.pos AND NOT (r.decorates AND r.indent = df.indent)), 0) + 1 AS first FROM df),
-ar AS (SELECT d.src_id, d.pos, string_agg(e.name, '.' ORDER BY e.pos) AS names, bool_and(e.inside) AS ok FROM dl d JOIN dl e ON e.src_id = d.src_id AND e.pos < d.pos AND e.indent < d.indent AND e.last >= d.pos GROUP BY 1, 2),
-bd AS (SELECT d.src_id, CASE WHEN ar.names IS NULL THEN d.name ELSE ar.names || '.' || d.name END AS qualified_name, d.pos, d.last,
-  regexp_replace(regexp_replace(regexp_replace(array_to_string(s[d.first:d.last], chr(10)), {sql_text(S.STRINGS)}, '\"\"', 'g'), '#[^\n]*', '', 'g'), '\\b(def|class)[ \t]+\\w+', '\\1', 'g') AS body
-  FROM dl d JOIN ls ON ls.src_id = d.src_id LEFT JOIN ar ON ar.src_id = d.src_id AND ar.pos = d.pos WHERE d.inside AND coalesce(ar.ok, true))
-SELECT src_id, qualified_name, pos::BIGINT AS start_line, last::BIGINT AS end_line, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(body, {sql_text(S.CALL)}, 1)), lambda x: NOT list_contains({S.PYTHON_WORDS}, x))), ' ') AS calls FROM bd""",
+    "parsed_symbols": f"WITH {_SYM} SELECT id, repo, git_ref, name, end_line::BIGINT AS end_line, array_to_string(list_sort(calls), ' ') AS calls FROM sym",
+    "text_symbols": f"WITH {_LINE_SYM} SELECT id, repo, git_ref, end_line::BIGINT AS end_line, len(calls)::BIGINT AS n_calls FROM sym",
+    "python_blocks": f"""WITH {_FILES}, {_BLOCKS} SELECT src_id, qualified_name, start_line, end_line, array_to_string(calls, ' ') AS calls FROM blk""",
     "text_dependencies": f"WITH {_FILES}, {_DEPS} SELECT src_id, specifier, dependency FROM deps",
     "caller_edges": f"WITH {_EDGES} SELECT * FROM edges",
     "callers_depth2": f"WITH {_EDGES}, {_TWO} SELECT *, 1 AS depth FROM one UNION ALL SELECT *, 2 FROM two",
