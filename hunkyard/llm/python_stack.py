@@ -17,15 +17,20 @@ ALONE = frozenset("pass break continue".split())
 RESERVED = COMPOUND | VALUES | ALONE | frozenset("and as assert await del elif else except finally from global import in is lambda nonlocal not or raise return yield".split())
 BINARY = frozenset("+ - * / // % @ ** & | ^ << >> < > <= >= == != and or in is".split())
 AUGMENTED = frozenset("+= -= *= /= //= %= @= **= &= |= ^= <<= >>=".split())
+KEYED = RESERVED | {"...", "match", "case", "type"}
+MAX_SEEN = 100_000
+_seen: dict[tuple[str, ...], str] = {}
 PAIR = {"(": ")", "[": "]", "{": "}"}
 
 _TOKEN = re.compile(
-    r"(?P<b>[ \t\f]+|\\\r?\n)|(?P<c>#[^\n]*)|(?P<l>\r?\n)"
-    r"|(?P<s>(?:[rRbBuUfF]|[rR][bBfF]|[bBfF][rR])?(?:'''(?:[^\\']|\\[\s\S]|'(?!''))*'''|\"\"\"(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*\"\"\"|(?!'{3})'(?:[^'\\\n]|\\[\s\S])*'|(?!\"{3})\"(?:[^\"\\\n]|\\[\s\S])*\"))"
-    r"|(?P<w>[^\W\d]\w*)"
-    r"|(?P<n>(?:0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*\.?(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?))"
-    r"|(?P<o>\*\*=|//=|>>=|<<=|\.\.\.|:=|->|[+\-*/%@&|^]=|==|!=|<=|>=|\*\*|//|<<|>>|[+\-*/%@&|^~<>()\[\]{},:.;=])"
+    r"[ \t\f]*(?:\\\r?\n[ \t\f]*)*(?:(#[^\n]*)|(\r?\n)"
+    r"|((?:[rRbBuUfF]|[rR][bBfF]|[bBfF][rR])?(?:'''(?:[^\\']|\\[\s\S]|'(?!''))*'''|\"\"\"(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*\"\"\"|(?!'{3})'(?:[^'\\\n]|\\[\s\S])*'|(?!\"{3})\"(?:[^\"\\\n]|\\[\s\S])*\"))"
+    r"|([^\W\d]\w*)"
+    r"|((?:0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*\.?(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?))"
+    r"|(\*\*=|//=|>>=|<<=|\.\.\.|:=|->|[+\-*/%@&|^]=|==|!=|<=|>=|\*\*|//|<<|>>|[+\-*/%@&|^~<>()\[\]{},:.;=])|(\Z)|([\s\S]))"
 )
+_COMMENT, _NEWLINE, _STRING, _WORD, _NUMBER, _SIGN, _STOP, _OTHER = range(1, 9)
+_KINDS = ("", "c", "l", "s", "w", "n", "o")
 _CONFLICT = re.compile(r"(?:<{7} |>{7} |={7}\r?\n)")
 
 
@@ -83,30 +88,6 @@ class _Frame:
         self.comprehension, self.colons, self.empty = False, 0, True
 
 
-def _tokens(text: str):
-    """Kind, token and whether it begins a line, for every token; kinds are those of the lexer's groups."""
-    at, n = 0, len(text)
-    while at < n:
-        m = _TOKEN.match(text, at)
-        if m and m.lastgroup == "s" and "{" in m[0] and "f" in m[0][:2].lower():
-            end = _formatted_end(text, at)
-            yield "s", text[at:end], at
-            at = end
-            continue
-        if not m:
-            if text[at] in "\"'":
-                raise Bad("unterminated literal")
-            raise Bad("invalid character")
-        at = m.end()
-        k = m.lastgroup
-        if k == "n" and re.fullmatch(r"0[\d_]*[1-9][\d_]*", m[0]):
-            raise Bad("invalid literal")
-        if k == "n" and at < n and (text[at].isalnum() or text[at] == "_") and not re.match(r"(?:and|else|for|if|in|is|or|not)\b", text[at:]):
-            raise Bad("invalid literal")
-        yield k, m[0], m.start()
-    yield "l", "\n", n
-
-
 def _statement(tokens: list[tuple[str, str]]) -> str:
     """Checks one logical line; the word that opens a block, or an empty text where none is opened."""
     first = tokens[0][1] if tokens[0][0] == "w" else ""
@@ -392,70 +373,116 @@ def _else_follows(tokens: list[tuple[str, str]], at: int) -> bool:
     return False
 
 
-def python_problem(text: str) -> str | None:
-    """Why the text is no Python, as far as lexer, stacks and the automaton of lines can tell, or None."""
-    indents, line, brackets = [0], [], []
-    last: dict[int, str] = {}
-    wants_block = False
-    column, fresh = 0, True
-    try:
-        for k, t, pos in _tokens(text):
-            if k == "c":
+def _number(text: str, token: str, end: int) -> None:
+    """Raises where a number runs into a name, or begins with zeros that it may not have."""
+    if token[0] == "0" and re.fullmatch(r"0[\d_]*[1-9][\d_]*", token):
+        raise Bad("invalid literal")
+    if end < len(text) and (text[end].isalnum() or text[end] == "_") and not re.match(r"(?:and|else|for|if|in|is|or|not)\b", text[end:]):
+        raise Bad("invalid literal")
+
+
+class _Lines:
+    """The logical lines of a text, checked one by one, with the blocks they stand in."""
+
+    def __init__(self) -> None:
+        self.indents = [0]
+        self.last: dict[int, str] = {}
+        self.wants_block = False
+
+    def begin(self, column: int) -> None:
+        """A logical line begins at this column: it opens the block that the line above asked for, or closes some."""
+        indents, last = self.indents, self.last
+        if self.wants_block:
+            if column <= indents[-1]:
+                raise Bad("missing block")
+            indents.append(column)
+            last[column] = ""
+        elif column > indents[-1]:
+            raise Bad("unexpected indent")
+        else:
+            while column < indents[-1]:
+                if last.pop(indents.pop(), "") == "try":
+                    raise Bad("missing block")
+            if column != indents[-1]:
+                raise Bad("unexpected indent")
+        self.wants_block = False
+
+    def check(self, line: list[tuple[str, str]]) -> None:
+        level = self.indents[-1]
+        if self.last.get(level) == "try" and line[0][1] not in ("except", "finally"):
+            raise Bad("missing block")
+        if len(line) > 1 and line[0] == ("o", "@"):
+            _expression(line, 1, "", False, True)
+            return
+        # a line's verdict rests on its kinds, signs and reserved words alone, and lines of one shape are many
+        shape = tuple([t if k == "o" or t in KEYED else k for k, t in line])
+        word = _seen.get(shape)
+        if word is None:
+            word = _statement(line)
+            if len(shape) < 100:
+                if len(_seen) >= MAX_SEEN:
+                    _seen.clear()
+                _seen[shape] = word
+        if not word:
+            self.last[level] = ""
+            return
+        opened = word.rpartition(" ")[2]
+        if opened in FOLLOWERS and self.last.get(level) not in FOLLOWERS[opened]:
+            raise Bad("misplaced word")
+        self.last[level] = opened
+        self.wants_block = not word.startswith("inline")
+
+
+def _scan(text: str) -> None:
+    lines, line, brackets = _Lines(), [], []
+    fresh, at = True, 0
+    while True:
+        for m in _TOKEN.finditer(text, at):
+            k = m.lastindex
+            if k == _COMMENT:
                 continue
-            if k == "b":
-                if fresh and t[0] != "\\":
-                    column = len(t.expandtabs(8)) if "\f" not in t else len(t.rpartition("\f")[2].expandtabs(8))
+            if k == _NEWLINE:
+                if not brackets:
+                    if line:
+                        lines.check(line)
+                        line = []
+                    fresh = True
                 continue
-            if k == "l":
-                if brackets and pos < len(text):
-                    continue
+            if k == _STOP:
+                if brackets:
+                    raise Bad("premature end")
                 if line:
-                    if brackets:
-                        raise Bad("premature end")
-                    if last.get(indents[-1]) == "try" and line[0][1] not in ("except", "finally"):
-                        raise Bad("missing block")
-                    if len(line) > 1 and line[0] == ("o", "@"):
-                        _expression(line, 1, "", False, True)
-                    else:
-                        word = _statement(line)
-                        level = indents[-1]
-                        if word:
-                            opened = word.rpartition(" ")[2]
-                            if opened in FOLLOWERS and last.get(level) not in FOLLOWERS[opened]:
-                                raise Bad("misplaced word")
-                            last[level] = opened
-                            wants_block = not word.startswith("inline")
-                        else:
-                            last[level] = ""
-                    line = []
-                column, fresh = 0, True
-                continue
-            if fresh and not brackets and not line:
-                if t in ("<<", "==", ">>") and _CONFLICT.match(text, pos):
+                    lines.check(line)
+                if lines.wants_block or "try" in lines.last.values():
+                    raise Bad("premature end")
+                return
+            t = m[k]
+            if k == _OTHER:
+                raise Bad("unterminated literal" if t in "\"'" else "invalid character")
+            if fresh:
+                if t in ("<<", "==", ">>") and _CONFLICT.match(text, m.start(k)):
                     raise Bad("merge conflict")
-                if wants_block:
-                    if column <= indents[-1]:
-                        raise Bad("missing block")
-                    indents.append(column)
-                    last[column] = ""
-                elif column > indents[-1]:
-                    raise Bad("unexpected indent")
-                else:
-                    while column < indents[-1]:
-                        if last.pop(indents.pop(), "") == "try":
-                            raise Bad("missing block")
-                    if column != indents[-1]:
-                        raise Bad("unexpected indent")
-                wants_block = False
-            fresh = False
-            if k == "o":
+                gap = text[m.start() : m.start(k)]
+                lines.begin(len(gap.rpartition("\f")[2].expandtabs(8)) if gap else 0)
+                fresh = False
+            if k == _SIGN:
                 if t in PAIR:
                     brackets.append(PAIR[t])
                 elif t in ")]}" and (not brackets or brackets.pop() != t):
                     raise Bad("unbalanced delimiter")
-            line.append((k, t))
-        if wants_block or "try" in last.values():
-            raise Bad("premature end")
+            elif k == _NUMBER:
+                _number(text, t, m.end())
+            elif k == _STRING and "{" in t and "f" in t[:2].lower():
+                at = _formatted_end(text, m.start(k))
+                line.append(("s", t))
+                break
+            line.append((_KINDS[k], t))
+
+
+def python_problem(text: str) -> str | None:
+    """Why the text is no Python, as far as lexer, stacks and the automaton of lines can tell, or None."""
+    try:
+        _scan(text)
     except Bad as e:
         return "merge conflict" if re.search(r"(?m)^(?:<{7} |>{7} |={7}\r?$)", text) else str(e)
     return None
