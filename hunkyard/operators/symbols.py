@@ -102,28 +102,31 @@ def with_blocks(files: DataFrame, keep: list[str], content: str) -> DataFrame:
     some = F.filter(F.transform("__lines", lambda x, i: F.when(F.rlike(x, F.lit(r"^[ \t]*[^\s#]")), one(x, i))), lambda r: r.isNotNull())
     f = f.select(*keep, "__lines", some.alias("__rows"))
 
-    def block(d: Column) -> Column:
-        below = F.filter("__rows", lambda r: (r["at"] > d["at"]) & (r["indent"] <= d["indent"]) & ~r["closes"])
-        stop = F.coalesce(F.get(below, F.lit(0))["at"], F.size("__lines") + 1)
-        last = F.array_max(F.transform(F.filter("__rows", lambda r: r["at"] < stop), lambda r: r["at"]))
-        above = F.filter("__rows", lambda r: (r["at"] < d["at"]) & (r["indent"] < d["indent"]) & ~r["closes"])
-        inside = (d["indent"] == 0) | F.coalesce(F.get(above, F.size(above) - 1)["name"].isNotNull(), F.lit(False))
-        other = F.filter("__rows", lambda r: (r["at"] < d["at"]) & ~(r["decorates"] & (r["indent"] == d["indent"])))
-        first = F.coalesce(F.get(other, F.size(other) - 1)["at"], F.lit(0)) + 1  # its decorators, with calls of their own
-        return F.struct(d["at"].alias("at"), d["indent"].alias("indent"), d["name"].alias("name"), first.alias("first"), last.alias("last"), inside.alias("inside"))
-
-    defs = F.transform(F.filter("__rows", lambda r: r["name"].isNotNull()), block)
-    f = f.select(*keep, "__lines", defs.alias("__defs"))
+    # one pass with a stack of the lines that the next one may stand inside; a definition is done when a line stands no deeper
+    entry = "struct<indent:int,name:string,at:int,first:int,ok:boolean,qualified:string>"
+    found = "struct<at:int,first:int,last:int,name:string,qualified:string>"
+    closed = "transform(filter(a.stack, e -> {test}e.ok), e -> named_struct('at', e.at, 'first', e.first, 'last', a.prev, 'name', e.name, 'qualified', e.qualified))"
+    fold = F.expr(f"""
+        aggregate(__rows, named_struct('stack', cast(array() as array<{entry}>), 'done', cast(array() as array<{found}>), 'prev', 0, 'plain', 0),
+          (a, r) -> if(r.closes, named_struct('stack', a.stack, 'done', a.done, 'prev', r.at, 'plain', r.at),
+            named_struct(
+              'stack', array_append(filter(a.stack, e -> e.indent < r.indent), named_struct('indent', r.indent, 'name', r.name, 'at', r.at, 'first', a.plain + 1,
+                 'ok', r.name is not null and forall(a.stack, e -> e.indent >= r.indent or e.name is not null),
+                 'qualified', concat_ws('.', transform(filter(a.stack, e -> e.indent < r.indent), e -> e.name), r.name))),
+              'done', concat(a.done, {closed.format(test="e.indent >= r.indent and ")}),
+              'prev', r.at, 'plain', if(r.decorates, a.plain, r.at))),
+          a -> array_sort(concat(a.done, {closed.format(test="")})))""")
+    f = f.select(*keep, "__lines", fold.alias("__defs"))
 
     def finish(d: Column) -> Column:
-        around = F.filter("__defs", lambda e: (e["at"] < d["at"]) & (e["indent"] < d["indent"]) & (e["last"] >= d["at"]))
         plain = F.regexp_replace(F.regexp_replace(F.array_join(F.slice("__lines", d["first"], d["last"] - d["first"] + 1), "\n"), STRINGS, "\"\""), r"#[^\n]*", "")
         plain = F.regexp_replace(plain, r"\b(def|class)[ \t]+\w+", "$1")
         calls = F.array_sort(F.array_except(F.array_distinct(F.regexp_extract_all(plain, F.lit(CALL), F.lit(1))), F.array(*map(F.lit, PYTHON_WORDS))))
-        ok = d["inside"] & F.forall(around, lambda e: e["inside"])
-        return F.when(ok, F.struct(d["name"].alias("name"), F.array_join(F.array_append(F.transform(around, lambda e: e["name"]), d["name"]), ".").alias("qualified_name"), d["at"].alias("start_line"), d["last"].alias("end_line"), calls.alias("calls")))
+        return F.struct(d["name"].alias("name"), d["qualified"].alias("qualified_name"), d["at"].alias("start_line"), d["last"].alias("end_line"), calls.alias("calls"))
 
-    return f.select(*keep, F.filter(F.transform("__defs", finish), lambda b: b.isNotNull()).alias("blocks"))
+    # the lines are looked at once for each definition, so they stand in a column that is used twice
+    f = f.select(*keep, F.when(F.size("__lines") > 0, F.transform("__defs", finish)).alias("blocks"))
+    return f.withColumn("blocks", F.coalesce("blocks", F.array().cast("array<struct<name:string,qualified_name:string,start_line:int,end_line:int,calls:array<string>>>")))
 
 
 def with_parsed(files: DataFrame, keep: list[str], content: str, language: Column) -> DataFrame:

@@ -84,6 +84,69 @@ def test_imported_callers(spark):
     assert {r.callee_id for r in G.imported_callers(s, b.where("local_name = 'all'"), t).collect()} == {"m.ts:add:1", "m.ts:sub:2"}
 
 
+BLOCKS = '''"""Module."""
+import os
+
+
+@cached(1)
+def outer(a,
+          b=dict(x=1)):
+    """It says "def no(): pass".
+
+    class Neither:
+    """
+    # call(this)
+    def inner():
+        return deep("gone(1)")
+
+    if a:
+        def hidden():
+            lost()
+    return inner() and not (a)
+
+
+class Shape:
+    async def area(self):
+        return await compute(
+            self.x,
+        )
+
+    class Part:
+        pass
+x = done()
+'''
+
+
+def test_blocks_agree_with_the_syntax_tree(spark):
+    import ast
+    import glob
+    import os
+
+    def tree(text):
+        out, stack = set(), [(ast.parse(text).body, "")]
+        while stack:
+            body, prefix = stack.pop()
+            for n in body:
+                if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                    calls = {c.func.id if isinstance(c.func, ast.Name) else c.func.attr for c in ast.walk(n) if isinstance(c, ast.Call) and isinstance(c.func, (ast.Name, ast.Attribute))}
+                    out.add((prefix + n.name, n.lineno, n.end_lineno, tuple(sorted(calls))))
+                    stack.append((n.body, f"{prefix}{n.name}."))
+        return out
+
+    texts = [BLOCKS] + [open(f, encoding="utf-8").read() for f in sorted(glob.glob(os.path.dirname(os.__file__) + "/[a-d]*.py"))[:12]]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(-1, None, "x"), (-2, "", "x"), (-3, "x = 1\n", "x")], "id int, content string, name string")
+    got = {r.id: {(b.qualified_name, b.start_line, b.end_line, tuple(b.calls)) for b in r.blocks} for r in S.with_blocks(df, ["id"], "content").collect()}
+    assert got[-1] == got[-2] == got[-3] == set() and got[0] == tree(BLOCKS)
+    names = [({x[:2] for x in got[i]}, {x[:2] for x in tree(t)}) for i, t in enumerate(texts)]
+    assert sum(a == b for a, b in names) >= len(names) - 1  # three quotes inside a string of one quote lead astray
+
+
+def test_symbols_by_language(spark):
+    df = spark.createDataFrame([(1, "python", "class A:\n    def f(self):\n        g()\n"), (2, "javascript", "function f() {\n  g();\n}\n"), (3, "python", "if x:\n    def f():\n        g()\n"), (4, None, "def f(): g()\n"), (5, "python", None)], "id int, lang string, content string")
+    got = {r.id: [(s.qualified_name, s.start_line, s.end_line, s.calls) for s in r.symbols] for r in S.with_parsed(df, ["id"], "content", F.coalesce("lang", F.lit(""))).collect()}
+    assert got == {1: [("A", 1, 3, ["g"]), ("A.f", 2, 3, ["g"])], 2: [("f", 1, 3, ["g"])], 3: [("f", 2, 3, ["g"])], 4: [("f", 1, 1, ["g"])], 5: []}
+
+
 def test_bindings_of_scripts(spark):
     text = "import type { A } from './a';\nimport D, { x as y, z } from \"./b\"\nimport * as ns from 'c';\nconst { p, q: r } = require('./d');\nlet whole = require('e');\nimport 'f';\n// import no from 'g'\nimport {\n  one,\n  two as zwei,\n} from './h';\n"
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, content string")
