@@ -110,7 +110,11 @@ def sentences(text: str) -> list[str]:
         s = s.strip()
         if s:
             s = _SPACED.sub(lambda m: re.sub(r"[ .\-_*·]", "", m[0]), s)
-            out.append(_ID.sub(" # ", _HAN_GAP.sub("", s)))
+            if not s.isascii():
+                s = _HAN_GAP.sub("", s)
+            if "`" in s or "/" in s or "_" in s or "." in s:  # no identifier without one of these
+                s = _ID.sub(" # ", s)
+            out.append(s)
     return out
 
 
@@ -348,7 +352,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
             found = pa.array([described(t) for t in b.column("text").to_pylist()], pa.list_(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), found, b.column("share")], ["doc_id", "found", "share"])
 
-    rows = spread(texts).mapInArrow(run, "doc_id bigint, found array<array<int>>, share double").orderBy("doc_id").toArrow()
+    rows = spread(texts).mapInArrow(run, "doc_id bigint, found array<array<int>>, share double").toArrow().sort_by("doc_id")
     return fit_described([([tuple(f) for f in fs], s) for fs, s in zip(rows.column("found").to_pylist(), rows.column("share").to_pylist())])
 
 
