@@ -352,7 +352,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
             found = pa.array([described(t) for t in b.column("text").to_pylist()], pa.list_(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), found, b.column("share")], ["doc_id", "found", "share"])
 
-    rows = spread(texts).mapInArrow(run, "doc_id bigint, found array<array<int>>, share double").toArrow().sort_by("doc_id")
+    rows = texts.mapInArrow(run, "doc_id bigint, found array<array<int>>, share double").toArrow().sort_by("doc_id")
     return fit_described([([tuple(f) for f in fs], s) for fs, s in zip(rows.column("found").to_pylist(), rows.column("share").to_pylist())])
 
 
