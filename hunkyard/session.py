@@ -48,8 +48,11 @@ def durable(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df``, or where it has fewer partitions than there are cores (a small file is one task), spread over them.
 
-    For work that costs far more than moving a row does. A scan of many files is left as it is, without a shuffle.
+    For work that costs far more than moving a row does. A scan of many files is left as it is, without a shuffle, and so
+    is a plan with exchanges of its own, whose partitions are known only once it has run.
     """
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
