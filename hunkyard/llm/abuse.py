@@ -62,7 +62,8 @@ _TWICE = re.compile(r"(.)\1+")
 _HAN = re.compile(r"[一-鿿]")
 _HAN_GAP = re.compile(r"(?<=[一-鿿])[ \-_*·.]{1,2}(?=[一-鿿])")
 WINDOW, STEP, LONG = 10, 3, 12
-PREFIXES = (5,)
+# Lengths of the beginnings of words that are features too; measured, they add nothing to whole words, pairs and threes.
+PREFIXES: tuple[int, ...] = ()
 _ALL = INSULT | SEXUAL
 _KNOWN = _ALL | DISGUISED
 _SQUEEZED = {_TWICE.sub(r"\1", w): w for w in sorted(_KNOWN)}
@@ -142,8 +143,7 @@ def _mix(*parts: int) -> int:
 
 @lru_cache(200_000)
 def token(w: str) -> Token:
-    """One word or run of Chinese signs; its parts of three to five signs are features too, so that related forms of a
-    word, known or not, share what the labels say of them."""
+    """One word or run of Chinese signs, with the beginnings of ``PREFIXES`` as features of its own."""
     if w in ("'", '"'):
         return Token(0, (), frozenset(), False, True, False)
     if _HAN.match(w):
